@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .piece import piece_digests
+from .token_counts import token_budget
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +26,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_budget(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), budget=1024)
