@@ -106,13 +106,13 @@ def word_hashes(b: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return span_hash(b[spread(starts, lengths)], offsets(lengths)[:-1], lengths)
 
 
-def map_texts(df: DataFrame, keys: list[str], text: str, fn: Callable, schema: str) -> DataFrame:
+def map_texts(df: DataFrame, keys: list[str], text: str, fn: Callable, schema: str, kind: str = "string") -> DataFrame:
     """Run fn(keys: dict of lists, texts: list of str or None) -> dict of columns over slices of each batch.
 
     Only `keys` and `text` are read, under positional names, so other columns and their names play no part.
     """
     names = [f"k{i}" for i in range(len(keys))]
-    src = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], F.col(f"`{text}`").cast("string").alias("t"))
+    src = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], F.col(f"`{text}`").cast(kind).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

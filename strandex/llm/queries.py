@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .jpeg import media_features, text_media
 from .piece import piece_digests
 from .token_counts import token_budget
 
@@ -31,3 +33,10 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_budget(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), budget=1024)
+
+
+@query
+def op8_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = media_features(text_media(documents(spark, sf_dir)))
+    feature = F.format_string("%dx%d:%s:%s", "width", "height", F.substring("thumb_sha256", 1, 16), "thumb_hash")
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
