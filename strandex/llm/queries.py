@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunk_store import store_digests, write_store
 from .jpeg import media_features, text_media
 from .piece import piece_digests
 from .token_counts import token_budget
@@ -40,3 +41,9 @@ def op8_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media_features(text_media(documents(spark, sf_dir)))
     feature = F.format_string("%dx%d:%s:%s", "width", "height", F.substring("thumb_sha256", 1, 16), "thumb_hash")
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+@query
+def op5_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = write_store(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return store_digests(spark, store)
