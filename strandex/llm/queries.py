@@ -12,6 +12,7 @@ from .chunk_store import store_digests, write_store
 from .jpeg import media_features, text_media
 from .piece import piece_digests
 from .token_counts import token_budget
+from .warc_zip import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +48,27 @@ def op8_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = write_store(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return store_digests(spark, store)
+
+
+@query
+def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op6_warc_zip"] = """
+WITH own AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (
+  SELECT page_id, payload_bytes, hex,
+    list_aggregate(list_transform(range(1, 41), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', hex[i])]), 'string_agg', '') AS b
+  FROM own),
+named AS (
+  SELECT page_id, payload_bytes, hex,
+    list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+      1 + 16 * (b[5 * i + 1])::INT + 8 * (b[5 * i + 2])::INT + 4 * (b[5 * i + 3])::INT + 2 * (b[5 * i + 4])::INT + (b[5 * i + 5])::INT]), 'string_agg', '') AS payload_digest
+  FROM bits)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN page_id = min(page_id) OVER (PARTITION BY hex) THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = min(page_id) OVER (PARTITION BY hex) THEN NULL ELSE min(page_id) OVER (PARTITION BY hex) END AS refers_to
+FROM named"""
