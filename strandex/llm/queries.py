@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .chunk_store import store_digests, write_store
 from .jpeg import media_features, text_media
+from .langid import held_out, learn, predict
 from .piece import piece_digests
+from .quality import quality_verdicts
 from .token_counts import token_budget
 from .warc_zip import round_trip
 
@@ -72,3 +74,17 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
   CASE WHEN page_id = min(page_id) OVER (PARTITION BY hex) THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = min(page_id) OVER (PARTITION BY hex) THEN NULL ELSE min(page_id) OVER (PARTITION BY hex) END AS refers_to
 FROM named"""
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = learn(docs.filter(~held_out()))
+    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = quality_verdicts(documents(spark, sf_dir), labels, risk=0.01, level=0.05)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
