@@ -169,7 +169,7 @@ def judge(feats: DataFrame, cuts: list[tuple[str | None, dict[str, int]]]) -> Da
     return joined.withColumn("base_failed", base).withColumn("rejected_by", why).withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("cut_stratum", *[f"cut_{r}" for r in RULES])
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """key, the counts, base_failed, rejected_by, kept for every row of docs."""
     feats = written(features(docs, key, text, stratum), "quality-features")
     return judge(feats, cutoffs(feats, labels, risk, level, key)).withColumnRenamed("key", key)

@@ -86,5 +86,5 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = quality_verdicts(documents(spark, sf_dir), labels, risk=0.01, level=0.05)
+    rows = quality_verdicts(documents(spark, sf_dir), labels, risk=0.02, level=0.05)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
