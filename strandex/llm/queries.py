@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chunk_store import store_digests, write_store
 from .jpeg import media_features, text_media
 from .langid import held_out, learn, predict
+from .pii import find_personal_data
 from .piece import piece_digests
 from .quality import quality_verdicts
 from .token_counts import token_budget
@@ -88,3 +89,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = quality_verdicts(documents(spark, sf_dir), labels, risk=0.02, level=0.05)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+
+
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = find_personal_data(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
