@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chunk_store import store_digests, write_store
 from .jpeg import media_features, text_media
 from .langid import held_out, learn, predict
+from .minhash import near_duplicates
 from .pii import find_personal_data
 from .piece import piece_digests
 from .quality import quality_verdicts
@@ -95,3 +96,27 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find_personal_data(documents(spark, sf_dir))
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+@query
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), size=2, percent=80)
+
+
+ORACLES["op7_minhash"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words),
+classes AS (SELECT list_sort(s) AS c, min(doc_id) AS rep FROM sets WHERE len(s) > 0 GROUP BY ALL),
+items AS (SELECT rep, len(c) AS n, unnest(c) AS x FROM classes),
+shared AS (
+  SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS c FROM items a JOIN items b ON a.x = b.x AND a.rep < b.rep
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * c >= 80 * (na + nb - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT rep AS node, rep AS root FROM classes UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.node),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(roots.root, sets.doc_id) AS component_id, sets.doc_id = coalesce(roots.root, sets.doc_id) AS kept
+FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.c LEFT JOIN roots ON roots.node = classes.rep"""
