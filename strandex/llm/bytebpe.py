@@ -14,12 +14,14 @@ from functools import lru_cache
 
 import numpy as np
 
-from .bpe import Merges
+from .bpe import HashTable, Merges
 from .flat import codepoints, offsets, span_hash, spread, sums
 
 SPACE, LETTER, NUMBER, OTHER, SPECIAL = range(5)
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _AT = 0x110000  # stands for the first special token, _AT + 1 for the second, ...
+#: Pretokens that stay known, and the slots of their table.
+_KNOWN, _KNOWN_BITS = 700_000, 22
 _ORD = {c: ord(c) for c in "'stdmrevl"}
 
 
@@ -54,6 +56,7 @@ class ByteBPE:
                 self.of_byte[b[0]] = i
         pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
         self.merges = Merges([vocab[a] for a, _ in pairs], [vocab[b] for _, b in pairs], range(len(pairs)), [vocab[a + b] for a, b in pairs])
+        self.seen: HashTable | None = None
         self.specials = [(t["content"], t["id"]) for t in spec["added_tokens"]]
 
     def pretokens(self, texts: list[str]):
@@ -112,23 +115,55 @@ class ByteBPE:
         """Distinct pretokens of texts, as (bytes, byte counts, special ids or -1, representative (starts, lengths), which, by document, code points)."""
         cps, starts, counts, docs = self.pretokens(texts)
         _, one, which = np.unique(span_hash(cps, starts, counts), return_index=True, return_inverse=True)
-        first, n = starts[one], counts[one]
+        raw, size, special = self._raw(cps, starts[one], counts[one])
+        return raw, size, special, (starts, counts), which, docs, cps
+
+    @staticmethod
+    def _raw(cps, first, n):
+        """UTF-8 of pretokens, bytes of each, and their special token or -1."""
         flat = cps[spread(first, n)]
         special = np.where(cps[first] >= _AT, cps[first].astype(np.int64) - _AT, -1) if len(first) else np.zeros(0, np.int64)
         flat = np.where(flat >= _AT, np.uint32(63), flat)
         width = 1 + (flat > 0x7F).astype(np.int64) + (flat > 0x7FF) + (flat > 0xFFFF)
         raw = np.frombuffer(flat.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
-        return raw, sums(width, offsets(n)), special, (starts, counts), which, docs, cps
+        return raw, sums(width, offsets(n)), special
+
+    def known(self, texts: list[str]):
+        """(token counts by known pretoken, pretoken of each occurrence, occurrences by document); ids of pretoken w begin at self.at[w] of self.ids.
+
+        Pretokens stay known from slice to slice, up to a bound.
+        """
+        cps, starts, counts, docs = self.pretokens(texts)
+        h = span_hash(cps, starts, counts)
+        if self.seen is None or self.seen.used > _KNOWN or len(h) > (1 << _KNOWN_BITS) // 2 - _KNOWN:
+            bits = max(_KNOWN_BITS, int(2 * len(h)).bit_length())
+            self.seen = HashTable(np.zeros(0, np.uint64), np.zeros(0, np.int32), bits)
+            self.ids, self.n = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        which = self.seen.get(h)
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            u, one, back = np.unique(h[new], return_index=True, return_inverse=True)
+            raw, size, special = self._raw(cps, starts[new[one]], counts[new[one]])
+            ids, n = self.merges.encode(self.of_byte[raw], size)
+            at = offsets(n)
+            for w in np.flatnonzero(special >= 0).tolist():
+                ids[at[w]] = self.specials[special[w]][1]
+            first = len(self.n)
+            self.seen.add(u, np.arange(first, first + len(u)))
+            self.ids, self.n = np.concatenate([self.ids, ids]), np.concatenate([self.n, n])
+            which[new] = first + back
+        self.at = offsets(self.n)
+        return self.n, which, docs
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and the offsets of the texts in them."""
-        raw, size, special, _, which, docs, _ = self.distinct(texts)
-        ids, n = self.merges.encode(self.of_byte[raw], size)
-        at = offsets(n)
-        for w in np.flatnonzero(special >= 0).tolist():
-            ids[at[w]] = self.specials[special[w]][1]
+        n, which, docs = self.known(texts)
         per = n[which]
-        return ids[spread(at[:-1][which], per)], offsets(sums(per, docs))
+        return self.ids[spread(self.at[which], per)], offsets(sums(per, docs))
+
+    def count(self, texts: list[str]) -> np.ndarray:
+        n, which, docs = self.known(texts)
+        return sums(n[which], docs)
 
 
 @lru_cache(maxsize=2)
