@@ -12,6 +12,7 @@ from .chunk_store import store_digests, write_store
 from .jpeg import media_features, text_media
 from .langid import held_out, learn, predict
 from .minhash import near_duplicates
+from .packing import pack_documents
 from .pii import find_personal_data
 from .piece import piece_digests
 from .quality import quality_verdicts
@@ -120,3 +121,8 @@ reach AS (SELECT rep AS node, rep AS root FROM classes UNION SELECT ways.b, reac
 roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
 SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(roots.root, sets.doc_id) AS component_id, sets.doc_id = coalesce(roots.root, sets.doc_id) AS kept
 FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.c LEFT JOIN roots ON roots.node = classes.rep"""
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
