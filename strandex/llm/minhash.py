@@ -11,7 +11,7 @@ classes are found in two passes that need no pairs of all members of a bucket:
      is nearest to, and what is linked becomes components;
   2. in each bucket with several components left, signatures of members of different
      components are compared, block by block for large buckets, and pairs that come near
-     the threshold are checked.
+     the threshold are checked, in the first band they have in common.
 Every link counts only after the Jaccard index of the full sets of 64-bit shingle hashes.
 A pair at the threshold shares no bucket with probability 1e-7, and misses the signature
 check with 3e-7; nothing else is dropped, and no bucket or group has a cap.
@@ -38,7 +38,8 @@ from .storage import written
 ROWS, BANDS = 5, 40
 COORDS = ROWS * BANDS
 PLACES = 1 << 20
-BLOCK = 1024  # members of a bucket that one block holds
+#: Members and shingles of a bucket that one block holds, about.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 _SEED = 20240611
 
 
@@ -119,9 +120,10 @@ def signatures(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
 
 def _sets(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
     def run(keys, texts):
-        return {"key": keys[key], "set": [s.tobytes() for s in shingle_sets([t or "" for t in texts], size)]}
+        sets = shingle_sets([t or "" for t in texts], size)
+        return {"key": keys[key], "n": list(map(len, sets)), "set": [s.tobytes() for s in sets], "sig": [signature(s).tobytes() if len(s) else None for s in sets]}
 
-    return map_texts(df, [key], text, run, "key long, set binary")
+    return map_texts(df, [key], text, run, "key long, n long, set binary, sig binary")
 
 
 def _map(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
@@ -198,56 +200,120 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _crossing(buckets: DataFrame, reps: DataFrame, root: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of a bucket in different components whose sizes and signatures allow a link."""
-    named = buckets.join(root, "rep")
-    mixed = named.groupBy("bucket").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+def _blocks(buckets: DataFrame, reps: DataFrame, root: DataFrame) -> DataFrame:
+    """bucket, i, j, rep, root, mine: members of buckets with several components, once for each pair of blocks (i <= j) that has theirs."""
+    named = buckets.join(root, "rep").join(reps.select("rep", "n"), "rep")
+    count = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    mixed = named.groupBy("bucket").agg(count.alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket", "blocks")
     own = named.join(mixed, "bucket").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = own.select("bucket", "rep", "root", "mine", other.alias("with")).select("bucket", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "rep", "root", "mine")
-    rows = dealt.join(reps.select("rep", "n", "sig"), "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    least = _near(percent)
-
-    def compare(t: pa.Table):
-        if not t.num_rows:
-            return None
-        sig = _signature_rows(t.column("sig"))
-        rep, root_, n, mine = (t.column(c).to_numpy() for c in ("rep", "root", "n", "mine"))
-        key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("bucket", "i", "j")], 1)
-        new = np.concatenate([[True], (key[1:] != key[:-1]).any(1)])
-        start = np.flatnonzero(new)
-        left = np.repeat(np.append(start[1:], len(rep)), np.diff(np.append(start, len(rep)))) - np.arange(len(rep)) - 1  # members of the group behind each
-        cross = key[:, 1] != key[:, 2]
-        found, d = [], 1
-        at = np.flatnonzero(left >= d)
-        while len(at):
-            to = at + d
-            ok = (root_[at] != root_[to]) & (100 * np.minimum(n[at], n[to]) >= percent * np.maximum(n[at], n[to])) & (~cross[at] | (mine[at] != mine[to]))
-            for x, y in ((at[ok][k : k + 4096], to[ok][k : k + 4096]) for k in range(0, int(ok.sum()), 4096)):
-                near = (sig[x] == sig[y]).sum(1) >= least
-                found.append(np.stack([rep[x[near]], rep[y[near]]], 1))
-            d += 1
-            at = at[left[at] >= d]
-        pairs = np.sort(np.concatenate([*found, np.zeros((0, 2), np.int64)]), axis=1)
-        pairs = np.unique(pairs, axis=0)
-        return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+    return own.select("bucket", "rep", "root", "mine", other.alias("with")).select("bucket", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "rep", "root", "mine")
+
+
+def _near_pairs(t: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, equal coordinates) of pairs of a group in different components that may be links and have no earlier band in common."""
+    sig = _signature_rows(t.column("sig"))
+    root, n, mine = (t.column(c).to_numpy() for c in ("root", "n", "mine"))
+    key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("bucket", "i", "j")], 1)
+    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+    size = np.diff(np.append(start, len(key)))
+    left = np.repeat(start + size, size) - np.arange(len(key)) - 1  # members of the group behind each
+    cross, least = key[:, 1] != key[:, 2], _near(percent)
+    d, at = 1, np.flatnonzero(left >= 1)
+    while len(at):
+        to = at + d
+        ok = (root[at] != root[to]) & (100 * np.minimum(n[at], n[to]) >= percent * np.maximum(n[at], n[to])) & (~cross[at] | (mine[at] != mine[to]))
+        x, y = at[ok], to[ok]
+        for k in range(0, len(x), 4096):
+            p, q = x[k : k + 4096], y[k : k + 4096]
+            equal = sig[p] == sig[q]
+            total = equal.sum(1)
+            near = np.flatnonzero(total >= least)
+            if len(near):
+                band = equal[near].reshape(-1, BANDS, ROWS).all(2).argmax(1)
+                near = near[_bucket_of(sig[p[near]], band) == key[p[near], 0]]
+                yield p[near], q[near], total[near]
+        d += 1
+        at = at[left[at] >= d]
+
+
+def _bucket_of(sig: np.ndarray, band: np.ndarray) -> np.ndarray:
+    rows = sig.astype(U8).reshape(-1, BANDS, ROWS)[np.arange(len(sig)), band]
+    h = band.astype(U8) + U8(1)
+    for k in range(ROWS):
+        h = mix(h * U8(3) + rows[:, k])
+    return _signed(h)
+
+
+def _by_group(df: DataFrame, fn: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """fn on tables of whole groups (bucket, i, j), which are of bounded size."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []  # rows of the last, unfinished group
         for batch in batches:
-            t = pa.Table.from_batches([*held, batch]).combine_chunks()
-            if not t.num_rows:
+            if not batch.num_rows:
                 continue
-            last = [t.column(c)[-1].as_py() for c in ("bucket", "i", "j")]
+            t = pa.Table.from_batches([*held, batch]).combine_chunks()
             b, i, j = (t.column(c).to_numpy() for c in ("bucket", "i", "j"))
-            cut = int(np.argmax((b == last[0]) & (i == last[1]) & (j == last[2])))
-            if (out := compare(t.slice(0, cut))) is not None:
-                yield out
+            cut = int(np.argmax((b == b[-1]) & (i == i[-1]) & (j == j[-1])))
+            if cut:
+                yield fn(t.slice(0, cut))
             held = t.slice(cut).to_batches()
-        if held and (out := compare(pa.Table.from_batches(held).combine_chunks())) is not None:
-            yield out
+        if held:
+            yield fn(pa.Table.from_batches(held).combine_chunks())
+
+    return df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, schema)
+
+
+def _crossing_links(buckets: DataFrame, reps: DataFrame, sets: DataFrame, root: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join the components of each bucket, confirmed on full sets.
+
+    Signatures first tell the members of a group that have a near member in another
+    component; only these come back with their sets. Then the pairs of a group are
+    checked from the nearest on, those already joined by a link not at all, so a group
+    gives at most one link for each member, whatever the number of its pairs.
+    """
+    dealt = _blocks(buckets, reps, root).join(reps.select("rep", "n", "sig"), "rep")
+
+    def involved(t: pa.Table) -> pa.RecordBatch:
+        hit = np.zeros(t.num_rows, bool)
+        for x, y, _ in _near_pairs(t, percent):
+            hit[x] = hit[y] = True
+        rows = t.filter(pa.array(hit)).combine_chunks()
+        return pa.RecordBatch.from_pydict({c: rows.column(c).combine_chunks() for c in ("bucket", "i", "j", "rep", "root", "mine")})
+
+    some = written(_by_group(dealt, involved, "bucket long, i int, j int, rep long, root long, mine int"), "crossing-members")
+    whole = some.join(sets.withColumnRenamed("key", "rep"), "rep")
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        found = [np.stack(x) for x in _near_pairs(t, percent)]
+        pairs = np.concatenate([*found, np.zeros((3, 0), np.int64)], axis=1).astype(np.int64)
+        pairs = pairs[:, np.argsort(-pairs[2], kind="stable")]
+        up: dict[int, int] = {}
+
+        def top(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = y = up.get(y, y)
+                x = y
+            return x
+
+        rep, root_, raw = t.column("rep").to_pylist(), t.column("root").to_pylist(), t.column("set")
+        own: dict[int, np.ndarray] = {}
+        a, b = [], []
+        for x, y in pairs[:2].T.tolist():
+            p, q = top(root_[x]), top(root_[y])
+            if p == q:
+                continue
+            for z in (x, y):
+                if z not in own:
+                    own[z] = np.frombuffer(raw[z].as_py(), U8)
+            if jaccard_at_least(own[x], own[y], percent):
+                up[p] = q
+                a.append(rep[x])
+                b.append(rep[y])
+        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.select("bucket", "i", "j", "rep", "root", "n", "mine", "sig").mapInArrow(run, "a long, b long").distinct()
+    return _by_group(whole.select("bucket", "i", "j", "rep", "root", "mine", "n", "sig", "set"), links, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,8 +335,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
     first = written(_confirmed(nearest, sets, percent), "first-links")
     root = components(first)
     named = shared.select("rep").distinct().join(root, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root"))
-    crossing = _crossing(shared.select("bucket", "rep"), reps, written(named, "first-components"), percent)
-    second = written(_confirmed(crossing, sets, percent), "second-links")
+    second = written(_crossing_links(shared.select("bucket", "rep"), reps, sets, written(named, "first-components"), percent), "second-links")
     root = components(first.union(second))
     member = sigs.join(classes, ["fa", "fb"], "left").join(root, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("root", "rep", "key")
