@@ -132,7 +132,8 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> LanguageFi
     counts = src.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = written(counts, "language-grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    large = totals.join(F.broadcast(totals.agg(F.sum("total").alias("everything"))), F.col("total") >= SHARE * F.col("everything")).select("lang", "total")
+    everything = totals.agg(F.sum("total")).first()[0] or 0
+    large = totals.filter(F.col("total") >= SHARE * everything)
     rated = counts.join(F.broadcast(large), "lang").withColumn("rate", F.col("n") / F.col("total"))  # at most 1 / SHARE rows
     top = rated.groupBy("gram").agg(F.max("rate").alias("top")).filter(F.col("top") >= RATE)
     kept = rated.filter(F.col("rate") >= RATE).join(top, "gram").filter(F.col("rate") >= RELATIVE * F.col("top")).select("lang", "gram").toPandas()

@@ -8,13 +8,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cut_bytes, excerpt, fold_udf, identifiers, query_tokens
+from ..functions.text import cut_bytes, excerpt, fold_udf, query_tokens
 from ..functions.vectors import is_valid
 from ..plans.query import Root, Scope, Synonyms, candidate_bound, compile_query, content_terms, guard_atoms, query_variants, resolve_scope
 from ..plans.query import fold as fold_text
 from . import lexical
+from .freshness import refresh_set
 from .fusion import fuse
-from .vector import RELATIVE_FLOOR, SCORE_FLOOR, cosine, relative_floor, same_ticket
+from .vector import RELATIVE_FLOOR, SCORE_FLOOR, cosine, same_ticket
 
 
 @dataclass(frozen=True)
@@ -97,8 +98,6 @@ def lexical_hits(index: Index, query: str, scope: Scope, bound: int, policies: P
 
 def stale_paths(index: Index, query: str, **scope) -> DataFrame:
     """Paths of strict hits whose source is gone or changed: what a refresh should visit."""
-    from .freshness import refresh_set
-
     own = index.scope(scope.get("project"), scope.get("root_id"), scope.get("all_projects", False))
     compiled = compile_query(fold_text(query))
     hits = index.sections.filter(F.lit(False)) if own.empty or compiled.empty else lexical.lane(index.indexed, list(compiled.clauses), where=lexical.scope_condition(own)).join(index.sections, "section_id")
@@ -126,13 +125,13 @@ def search(index: Index, query: str, project: str | None = None, root_id: str |
         return _lexical_result(spark, hits, limit)
     ranked = cosine(seen, query_vector, limit=bound)
     ranked = ranked.withColumn("vector_rank", F.row_number().over(Window.orderBy(F.desc("vector_score"), "section_id")))
-    lex = hits if hits is not None else None
+    lex = hits
     if lex is None:
         lex = index.sections.filter(F.lit(False)).select("section_id", F.lit(0).alias("lexical_rank"), F.lit(0.0).alias("score"), F.lit("").alias("reason"), F.lit(0.0).alias("fts_score"))
     if policies.ticket_id_cross_reference_filter and (ids := _query_ids(query)):
         text = F.concat_ws("\n", F.array_join("heading_path", "\n"), "text")
         ranked = same_ticket(ranked.join(index.sections.select("section_id", "heading_path", "text"), "section_id"), ids, text).select("section_id", "vector_score", "vector_rank")
-    ranked = relative_floor(ranked, lex, None, policies.relative_semantic_score_floor) if policies.semantic_score_floor is None else relative_floor(ranked, lex, 0.0, None).transform(lambda d: _relative(d, lex, policies))
+    ranked = _relative(ranked, lex, policies)
     atoms = guard_atoms(query)
     one = lambda d: d.withColumn("query_id", F.lit(1))
     protected = None
@@ -230,6 +229,3 @@ def batch_all_terms(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     score = F.round(F.aggregate(F.transform("parts", part), F.lit(0.0), lambda a, x: a + x), 6)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return rows.select("query_id", "doc_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-__all__ = ["Index", "Policies", "batch_all_terms", "identifiers", "lexical_hits", "read_section", "search", "semantic_with", "stale_paths"]

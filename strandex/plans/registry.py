@@ -22,6 +22,8 @@ def query(oracle: str | None = None):
     return put
 
 
-@query("SELECT doc_id FROM documents WHERE lang = 'en'")
-def bm25_strict_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en'").select("doc_id")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from . import catalog_evaluation, catalog_retrieval, catalog_sources  # noqa: E402, F401  they register themselves
