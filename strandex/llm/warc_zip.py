@@ -165,7 +165,7 @@ class ZipReader:
         tail_at = max(0, size - 65557)
         tail = self.range(tail_at, size - tail_at)
         at = tail.rfind(b"PK\5\6")
-        while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+        while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
             at = tail.rfind(b"PK\5\6", 0, at)
         if at < 0:
             raise ValueError("no end record")
