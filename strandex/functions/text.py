@@ -4,27 +4,30 @@
 case folding, byte-exact truncation); everything else is a built-in expression.
 """
 
-from __future__ import annotations
-
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words of a query: identifiers such as abc-12 whole, else runs of letters, digits, _.
 QUERY_TOKEN = r"[A-Za-z][A-Za-z0-9]*-[0-9]+|[\p{L}\p{N}_]+"
+#: White space of a text, that of Unicode too.
+WHITE = r"[\x09-\x0D\x1C-\x1F\x85\p{Z}]+"
 #: Words of the index: runs of letters and digits.
 INDEX_TOKEN = r"[\p{L}\p{N}]+"
 IDENTIFIER = r"[A-Za-z][A-Za-z0-9]*-[0-9]+"
 BOOSTED_IDENTIFIER = r"[a-z]{2,}-[0-9]+"
 
+# The words that a relaxed query leaves out.
 STOPWORDS = tuple(
-    """a i be he me we if of am an in on do no so to up or as is us at it by my had did and she the are off all him can own who
-    too her for nor our has was his its not but out you how now why any once same some done here were more else have each such
-    with both will them whom from than been then when upon also into ever over your does this hers ours that what most just they
-    only very could would while there where these those whose being doing which until again under other after their yours about
-    should before itself myself during having theirs through whether whatever""".split()
+    """a about after again all also am an and any are as at be been before being both but by can could did do does doing done
+    during each else ever for from had has have having he her here hers him his how i if in into is it its itself just me more
+    most my myself no nor not now of off on once only or other our ours out over own same she should so some such than that the
+    their theirs them then there these they this those through to too under until up upon us very was we were what whatever
+    when where whether which while who whom whose why will with would you your yours""".split()
 )
 
 
@@ -38,13 +41,13 @@ def index_form(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", fold(text)) if unicodedata.category(c) != "Mn")
 
 
-@F.pandas_udf("string")
-def fold_udf(s):
+@F.pandas_udf(StringType())
+def fold_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else fold(t))
 
 
-@F.pandas_udf("string")
-def index_form_udf(s):
+@F.pandas_udf(StringType())
+def index_form_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else index_form(t))
 
 
@@ -54,12 +57,12 @@ def cut_bytes(text: str, limit: int, marker: str = "\n[truncated]") -> str:
     if len(raw) <= limit:
         return text
     room = max(0, limit - len(marker.encode()))
-    return (raw[:room].decode(errors="ignore") + marker).encode()[:limit].decode(errors="ignore")
+    return (raw[:room].decode(errors="ignore").rstrip() + marker).encode()[:limit].decode(errors="ignore")
 
 
 def lower_form(c: Column) -> Column:
     """Lower case with collapsed white space: what `fold` gives for ASCII."""
-    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), WHITE, " "))
 
 
 def query_tokens(c: Column) -> Column:
@@ -81,9 +84,9 @@ def identifiers(c: Column) -> Column:
 
 
 def excerpt(c: Column, limit: int = 500) -> Column:
-    """White space collapsed; longer texts end in `...` within the limit."""
-    flat = F.trim(F.regexp_replace(c, r"\s+", " "))
-    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, limit - 3)), F.lit("...")))
+    """White space collapsed; of a longer text, its first `limit` characters and `...`."""
+    flat = F.trim(F.regexp_replace(c, WHITE, " "))
+    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, limit)), F.lit("...")))
 
 
 _LINK = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]|\[[^\]]*\]\(([^)\s]+)[^)]*\)"

@@ -41,29 +41,30 @@ def admit(lexical: DataFrame, semantic: DataFrame, bound: int, interleave: bool)
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, bound: int, limit: int, guarded: bool = False, balanced: bool = True, protected: DataFrame | None = None, floor: float | None = None) -> DataFrame:
-    """The ranked union: query_id, section_id, rank, fused_score, lexical_rank, vector_rank, vector_score, lane, atom.
+    """The ranked union: query_id, section_id, rank, fused_score, lexical_rank, vector_rank, vector_score, lane, guard_reason.
 
-    protected: query_id, section_id, atom, primary_rank of sections that match a guard
-    atom; those with a lexical rank come first. A semantic row below `floor` gives no
-    vector credit; a section that has no credit left is dropped.
+    protected: query_id, section_id, atom, primary_rank; a lexical hit among them comes
+    before all others. Semantic rows below `floor` take no part, not even in the admission.
     """
-    rows = admit(lexical, semantic, bound, balanced and not guarded)
     if floor is not None:
-        low = F.col("vector_score") < floor
-        rows = rows.withColumns({"vector_rank": F.when(~low, F.col("vector_rank")), "vector_score": F.when(~low, F.col("vector_score"))})
-        rows = rows.filter("lexical_rank IS NOT NULL OR vector_rank IS NOT NULL")
+        semantic = semantic.filter(F.coalesce("vector_score", F.lit(0.0)) >= floor)
+    rows = admit(lexical, semantic, bound, balanced and not guarded)
     part = lambda c: F.coalesce(1.0 / (RANK_CONSTANT + F.col(c)), F.lit(0.0))
     rows = rows.withColumn("fused_score", part("lexical_rank") + part("vector_rank"))
-    lane = F.when(F.col("lexical_rank").isNotNull() & F.col("vector_rank").isNotNull(), "both").when(F.col("lexical_rank").isNotNull(), "lexical").otherwise("semantic")
-    rows = rows.withColumn("lane", lane)
+    lanes = F.array(F.when(F.col("lexical_rank").isNotNull(), "lexical"), F.when(F.col("vector_rank").isNotNull(), "semantic"))
+    rows = rows.withColumn("lane", F.array_join(lanes, "+"))
     if protected is None:
         rows = rows.withColumns({"atom": F.lit(None).cast("int"), "primary_rank": F.lit(None).cast("int")})
     else:
-        rows = rows.join(protected.select("query_id", "section_id", "atom", "primary_rank"), ["query_id", "section_id"], "left")
+        own = protected.filter("primary_rank IS NOT NULL").select("query_id", "section_id", "atom", "primary_rank")
+        rows = rows.join(own, ["query_id", "section_id"], "left")
         rows = rows.withColumn("atom", F.when(F.col("lexical_rank").isNotNull(), F.col("atom")))
     ranks = [F.coalesce("lexical_rank", F.lit(_LAST)), F.coalesce("vector_rank", F.lit(_LAST)), F.col("section_id")]
     rest = [F.col("lexical_rank").isNull(), *ranks] if guarded else [F.desc("fused_score"), *ranks]
-    own = [F.when(F.col("atom").isNotNull(), c) for c in (F.col("lexical_rank"), F.coalesce("primary_rank", F.lit(_LAST)), F.col("atom"))]
-    order = Window.partitionBy("query_id").orderBy(F.col("atom").isNull(), *own, *rest)
-    out = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-    return out.select("query_id", "section_id", "rank", "fused_score", "lexical_rank", "vector_rank", "vector_score", "lane", "atom")
+    first = [F.when(F.col("atom").isNotNull(), F.col(c)) for c in ("lexical_rank", "primary_rank", "atom")]
+    by_query = Window.partitionBy("query_id")
+    some = F.max(F.col("atom").isNotNull()).over(by_query)
+    guard = F.when(F.col("atom").isNotNull(), F.concat(F.lit("protected:atom-"), F.col("atom"))).when(some, "not-protected:guard-active").otherwise("bypassed:no-protected-hit:candidate" if guarded else "not-applicable:candidate")
+    order = by_query.orderBy(F.col("atom").isNull(), *first, *rest)
+    out = rows.withColumns({"rank": F.row_number().over(order), "guard_reason": guard}).filter(F.col("rank") <= limit)
+    return out.select("query_id", "section_id", "rank", "fused_score", "lexical_rank", "vector_rank", "vector_score", "lane", "guard_reason")

@@ -47,8 +47,21 @@ def occurrences(words: Column, phrase: Phrase) -> Column:
     return F.size(F.filter(places, lambda i: F.slice(words, i, len(phrase)) == whole))
 
 
+def _placed(field: str, phrase: Phrase) -> Column:
+    """The same from the places of each word (a map, see `postings.matches`)."""
+    none = F.array().cast("array<int>")
+    starts = [F.coalesce(F.element_at("places", F.lit(f"{field}:{w}")), none) for w in phrase]
+
+    def moved(c: Column, k: int) -> Column:
+        return F.transform(c, lambda i: i - F.lit(k)) if k else c
+
+    return F.size(reduce(F.array_intersect, [moved(c, k) for k, c in enumerate(starts)]))
+
+
 def phrase_counts(indexed: DataFrame, phrases: list[Phrase], fields: tuple[str, ...] = FIELDS) -> list[Column]:
-    return [reduce(lambda a, b: a + b, [occurrences(F.col(f"{f}_words"), p) for f in fields]) for p in phrases]
+    """Occurrences of each phrase in the fields; of an index with words, or of the matches of a query."""
+    one = _placed if "places" in indexed.columns else lambda f, p: occurrences(F.col(f"{f}_words"), p)
+    return [reduce(lambda a, b: a + b, [one(f, p) for f in fields]) for p in phrases]
 
 
 @dataclass(frozen=True)
@@ -63,9 +76,13 @@ class Statistics:
 
 
 def statistics(indexed: DataFrame, phrases: list[Phrase], fields: tuple[str, ...] = FIELDS) -> Statistics:
-    """One pass, one row: N, mean length and the rows that hold each phrase."""
-    got = indexed.agg(F.count(F.lit(1)), F.avg("n_words"), *[F.count_if(c > 0) for c in phrase_counts(indexed, phrases, fields)]).first()
-    return Statistics(got[0], float(got[1] or 0.0), tuple(got[2:]))
+    """One pass, one row: N, mean length and the rows that hold each phrase.
+
+    Matches of a query carry N and the mean length of the index that they come from.
+    """
+    size = [F.max("corpus_rows"), F.max("corpus_mean")] if "places" in indexed.columns else [F.count(F.lit(1)), F.avg("n_words")]
+    got = indexed.agg(*size, *[F.count_if(c > 0) for c in phrase_counts(indexed, phrases, fields)]).first()
+    return Statistics(got[0] or 0, float(got[1] or 0.0), tuple(n or 0 for n in got[2:]))
 
 
 def bm25(counts: list[Column], stats: Statistics, length: Column) -> Column:
@@ -134,8 +151,11 @@ def reason(is_global: Column, partial: Column, identifier: Column, heading: Colu
     return F.when(joined == "", "text match").otherwise(joined)
 
 
-def relaxed(indexed: DataFrame, tokens: tuple[str, ...], quoted: bool, scope: Scope, bound: int, strict: DataFrame, fold_tokens=None) -> DataFrame | None:
-    """section_id, fts_score, matched, weight of sections that cover enough content terms; None where the query allows no relaxation."""
+def relaxed(indexed: DataFrame, tokens: tuple[str, ...], quoted: bool, scope: Scope, bound: int, strict: DataFrame, fold_tokens=None, headings: DataFrame | None = None) -> DataFrame | None:
+    """section_id, fts_score, matched, weight of sections that cover enough content terms; None where the query allows no relaxation.
+
+    headings: section_id, heading_path, where `indexed` has no heading_path.
+    """
     terms = [] if quoted else content_terms(tokens)
     needed = required_terms(len(terms))
     if len(terms) < 2 or needed >= len({t.casefold() for t in tokens}):
@@ -147,9 +167,12 @@ def relaxed(indexed: DataFrame, tokens: tuple[str, ...], quoted: bool, scope: Sc
     idf = [math.log((stats.rows - n + 0.5) / (n + 0.5) + 1.0) for n in stats.frequencies]
     rows = lane(indexed, list(phrases), every=False, where=scope_condition(scope), limit=min(MAX_RELAXED, 4 * bound), stats=stats)
     rows = rows.join(strict.select("section_id"), "section_id", "left_anti").join(indexed, "section_id")
+    if headings is not None:
+        rows = rows.drop("heading_path").join(headings.select("section_id", "heading_path"), "section_id")
     path = (fold_tokens or (lambda c: F.transform(query_tokens(c), F.lower)))(F.array_join("heading_path", "\n"))
     rows = rows.withColumn("path_tokens", path)
-    inside = [(occurrences(F.col("heading_words"), p) > 0, F.array_contains("path_tokens", t), occurrences(F.col("text_words"), p) > 0) for t, p in zip(terms, phrases, strict=True)]
+    heads, bodies = (phrase_counts(indexed, list(phrases), (f,)) for f in FIELDS)
+    inside = [(h > 0, F.array_contains("path_tokens", t), b > 0) for t, h, b in zip(terms, heads, bodies, strict=True)]
     weight = [F.when(h, WEIGHTS["heading"]).when(a, WEIGHTS["heading_path"]).when(b, WEIGHTS["text"]).otherwise(0.0) for h, a, b in inside]
     total = lambda cs: reduce(lambda a, b: a + b, cs)
     rows = rows.withColumns({

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -10,12 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cut_bytes, excerpt, fold_udf, query_tokens
 from ..functions.vectors import is_valid
-from ..plans.query import Root, Scope, Synonyms, candidate_bound, compile_query, content_terms, guard_atoms, query_variants, resolve_scope
+from ..plans.query import Root, Scope, Synonyms, candidate_bound, compile_query, content_terms, guard_atoms, index_words, query_variants, resolve_scope
 from ..plans.query import fold as fold_text
 from . import lexical
-from .freshness import refresh_set
+from .freshness import fresh_hits, refresh_set
 from .fusion import fuse
-from .vector import RELATIVE_FLOOR, SCORE_FLOOR, cosine, same_ticket
+from .postings import matches
+from .vector import RELATIVE_FLOOR, SCORE_FLOOR, cosine, relative_floor, same_ticket
 
 
 @dataclass(frozen=True)
@@ -32,11 +34,18 @@ class Policies:
             v = getattr(self, name)
             if v is not None and (isinstance(v, bool) or not isinstance(v, (int, float)) or not 0 <= v <= 1):
                 raise ValueError(f"{name} must be between 0 and 1, or None")
+        for name in ("ticket_id_cross_reference_filter", "balanced_admission", "synonym_expansion", "relaxed_matching"):
+            if not isinstance(getattr(self, name), bool):
+                raise ValueError(f"{name} must be true or false")
 
 
 @dataclass
 class Index:
-    """sections (with root_id, path, content_hash), live files (path, content_hash; None: not checked) and vectors."""
+    """sections (columns of SECTION), live files (path, content_hash; None: not checked) and vectors.
+
+    With postings (a table of `postings.write`, and n_rows and mean_length of the index) a
+    query reads the postings of its words; without, it scans the sections.
+    """
 
     sections: DataFrame
     roots: list[Root]
@@ -44,40 +53,72 @@ class Index:
     live: DataFrame | None = None
     vectors: DataFrame | None = None
     synonyms: Synonyms = Synonyms()
+    postings: DataFrame | None = None
+    n_rows: int = 0
+    mean_length: float = 0.0
 
     def __post_init__(self):
-        self.indexed = lexical.index(self.sections)
-
-    def scope(self, project, root_id, all_projects) -> Scope:
+        for name, kind in SECTION.items():
+            if name not in self.sections.columns:
+                self.sections = self.sections.withColumn(name, F.lit(None).cast(kind))
+
+    def view(self, forms, atoms=()) -> DataFrame:
+        """What the lexical operators need for compiled queries and guard atoms."""
+        if self.postings is None:
+            return lexical.index(self.sections)
+        words = {w for f in forms for c in (*f.clauses, *map(index_words, f.tokens)) for w in c} | {w for a in atoms for w in index_words(a)}
+        return matches(self.postings, words, self.n_rows, self.mean_length)
+
+    def scope(self, project=None, root_id=None, all_projects=False) -> Scope:
         return resolve_scope(self.roots, self.global_paths, project, root_id, all_projects)
 
 
+SECTION = {
+    "section_id": "string", "path": "string", "root_id": "string", "content_hash": "string", "heading": "string",
+    "heading_path": "array<string>", "line_start": "int", "line_end": "int", "text": "string",
+    "note_type": "string", "updated_date": "string", "created_date": "string",
+}
+SCORES = {"lexical_score": "double", "vector_score": "double", "fused_score": "double", "lexical_rank": "int", "vector_rank": "int"}
+#: Columns of a result: a section, how it was found, and its excerpt.
+RESULT = ["rank", *SECTION, "project", "score", "reason", "lane", "guard_reason", *SCORES, "excerpt"]
+
+
 def _folded_tokens(column):
     return query_tokens(fold_udf(column))
 
 
-def lexical_hits(index: Index, query: str, scope: Scope, bound: int, policies: Policies) -> DataFrame | None:
-    """section_id, path, content_hash, heading, heading_path, text, fts_score, score, reason, lexical_rank; None for an empty query or scope."""
+@dataclass
+class Lane:
+    """Ranked lexical hits whose sources are as they were indexed, and the paths of those that are not."""
+
+    hits: DataFrame
+    stale: DataFrame | None
+
+
+def lexical_lane(index: Index, query: str, scope: Scope, bound: int, policies: Policies) -> Lane | None:
+    """hits: section_id, lexical_score, score, reason, lexical_rank; None for an empty query or scope."""
     norm = fold_text(query)
     compiled = compile_query(norm)
     if scope.empty or compiled.empty:
         return None
     variants = [compile_query(v) for v in query_variants(norm, index.synonyms)] if policies.synonym_expansion else []
     forms = [compiled, *[v for v in variants if not v.empty]]
-    parts = lexical.lanes(index.indexed, compiled, scope, bound)
+    view = index.view(forms)
+    parts = lexical.lanes(view, compiled, scope, bound)
     for n, v in enumerate(forms[1:], 1):
-        parts = parts.unionByName(lexical.lanes(index.indexed, v, scope, bound, n))
+        parts = parts.unionByName(lexical.lanes(view, v, scope, bound, n))
     expanded = len(forms) > 1
     strict = lexical.merge_lanes(parts, expanded)
     rows = strict.select("section_id", "fts_score", F.lit(None).cast("int").alias("matched"), F.lit(None).cast("int").alias("of_terms"), F.lit(None).cast("double").alias("weight"))
     if policies.relaxed_matching:
-        loose = lexical.relaxed(index.indexed, compiled.tokens, '"' in norm, scope, bound, strict, _folded_tokens)
+        loose = lexical.relaxed(view, compiled.tokens, '"' in norm, scope, bound, strict, _folded_tokens, index.sections)
         if loose is not None:
             rows = rows.unionByName(loose)
-    columns = ["section_id", "path", "root_id", "content_hash", "heading", "heading_path", "text"]
-    rows = rows.join(index.sections.select(*columns), "section_id")
+    rows = rows.join(index.sections.select("section_id", "path", "content_hash", "heading", "heading_path", "text"), "section_id")
+    stale = None
     if index.live is not None:
-        rows = rows.join(index.live.select("path", "content_hash"), ["path", "content_hash"], "left_semi")
+        stale = refresh_set(rows, index.live)
+        rows = fresh_hits(rows, index.live)
     is_relaxed = F.col("matched").isNotNull()
     heading, body, path = (_folded_tokens(c) for c in (F.coalesce("heading", F.lit("")), F.col("text"), F.array_join("heading_path", "\n")))
     rows = rows.withColumns({"h": heading, "b": body, "p": path}).withColumn("h", F.when(is_relaxed, F.array_union("h", "p")).otherwise(F.col("h")))
@@ -89,105 +130,92 @@ def lexical_hits(index: Index, query: str, scope: Scope, bound: int, policies: P
     partial = F.when(is_relaxed, F.format_string("partial match (%d/%d terms)", "matched", "of_terms"))
     is_global = F.col("path").isin(index.global_paths) if index.global_paths else F.lit(False)
     rows = rows.withColumn("reason", lexical.reason(is_global, partial, ident, head, inside))
-    first = F.when(~is_relaxed, F.col("fts_score") if expanded else -F.col("score"))
-    order = Window.orderBy(is_relaxed, first, F.desc("weight"), F.desc("score"), "section_id")
-    # at most a few hundred rows are left
+    # strict hits by score (with variants by BM25 alone), then the relaxed ones by weight, then score
+    key = F.when(is_relaxed, -F.col("weight")).otherwise(F.col("fts_score") if expanded else -F.col("score"))
+    order = Window.orderBy(is_relaxed, key, F.when(is_relaxed, -F.col("score")), "section_id")
+    # at most a few bounds of rows are left
     rows = rows.withColumn("lexical_rank", F.row_number().over(order)).filter(F.col("lexical_rank") <= bound)
-    return rows.select(*columns, "fts_score", "score", "reason", "lexical_rank")
-
-
-def stale_paths(index: Index, query: str, **scope) -> DataFrame:
-    """Paths of strict hits whose source is gone or changed: what a refresh should visit."""
-    own = index.scope(scope.get("project"), scope.get("root_id"), scope.get("all_projects", False))
-    compiled = compile_query(fold_text(query))
-    hits = index.sections.filter(F.lit(False)) if own.empty or compiled.empty else lexical.lane(index.indexed, list(compiled.clauses), where=lexical.scope_condition(own)).join(index.sections, "section_id")
-    return refresh_set(hits, index.live)
-
+    return Lane(rows.select("section_id", F.col("fts_score").alias("lexical_score"), "score", "reason", "lexical_rank"), stale)
 
-RESULT = ["rank", "section_id", "path", "root_id", "heading", "heading_path", "excerpt", "score", "fts_score", "lexical_rank", "vector_rank", "vector_score", "lane", "reason", "atom"]
 
+def search(index: Index, query: str, project: str | None = None, root_id: str | None = None, all_projects: bool = False, limit: int = 20, query_vector: list[float] | None = None, policies: Policies | None = None, refresh: set[str] | None = None) -> DataFrame:
+    """The ranked sections for a query (columns of RESULT); with a query vector and an index of vectors, fused.
 
-def search(index: Index, query: str, project: str | None = None, root_id: str | None = None, all_projects: bool = False, limit: int = 8, query_vector: list[float] | None = None, policies: Policies | None = None) -> DataFrame:
-    """The ranked sections for a query; with a query vector and an index of vectors, fused.
-
-    If a section in scope is stale, or a vector is not valid, the result is lexical.
+    If a hit's source is not as it was indexed, or a vector in scope is not valid, the
+    result is lexical, and the paths to refresh are added to `refresh`.
     """
     policies, bound = policies or Policies(), candidate_bound(limit)
     scope = index.scope(project, root_id, all_projects)
-    hits = lexical_hits(index, query, scope, bound, policies)
-    spark = index.sections.sparkSession
+    lane = lexical_lane(index, query, scope, bound, policies)
+    hits = lane.hits if lane else None
+    stale = _paths(lane.stale) if lane and lane.stale is not None else set()
     if query_vector is None or index.vectors is None or scope.empty:
-        return _lexical_result(spark, hits, limit)
-    vectors = index.vectors.join(index.sections.select("section_id", "path", "root_id", "content_hash"), ["section_id", "content_hash"])
+        _add(refresh, stale)
+        return _lexical_result(index, hits, limit)
+    vectors = index.vectors.select("section_id", "content_hash", "vector").join(index.sections.select("section_id", "path", "root_id", "content_hash"), ["section_id", "content_hash"])
     seen = vectors.filter(lexical.scope_condition(scope))
-    broken = ~is_valid(F.col("vector"), len(query_vector))
-    if not seen.filter(broken).isEmpty() or _stale(index, hits, seen, query_vector, bound):
-        return _lexical_result(spark, hits, limit)
-    ranked = cosine(seen, query_vector, limit=bound)
-    ranked = ranked.withColumn("vector_rank", F.row_number().over(Window.orderBy(F.desc("vector_score"), "section_id")))
-    lex = hits
-    if lex is None:
-        lex = index.sections.filter(F.lit(False)).select("section_id", F.lit(0).alias("lexical_rank"), F.lit(0.0).alias("score"), F.lit("").alias("reason"), F.lit(0.0).alias("fts_score"))
-    if policies.ticket_id_cross_reference_filter and (ids := _query_ids(query)):
-        text = F.concat_ws("\n", F.array_join("heading_path", "\n"), "text")
-        ranked = same_ticket(ranked.join(index.sections.select("section_id", "heading_path", "text"), "section_id"), ids, text).select("section_id", "vector_score", "vector_rank")
-    ranked = _relative(ranked, lex, policies)
+    stale |= _paths(seen.filter(~is_valid(F.col("vector"), len(query_vector))).select("path"), bound)
+    near = cosine(seen.filter(is_valid(F.col("vector"), len(query_vector))), query_vector, limit=bound)
+    if index.live is not None:
+        stale |= _paths(refresh_set(near.join(index.sections.select("section_id", "path", "content_hash"), "section_id"), index.live))
+    _add(refresh, stale)
+    if stale:
+        return _lexical_result(index, hits, limit)
+    ranked = near.withColumn("vector_rank", F.row_number().over(Window.orderBy(F.desc("vector_score"), "section_id")))
+    lex = hits if hits is not None else index.sections.select("section_id", F.lit(0).alias("lexical_rank"), F.lit(0.0).alias("lexical_score"), F.lit(0.0).alias("score"), F.lit("").alias("reason")).filter(F.lit(False))
     atoms = guard_atoms(query)
+    own = [a for a in atoms if re.fullmatch(r"[a-z][a-z0-9]*-\d+", a)]
+    if policies.ticket_id_cross_reference_filter and own:
+        text = fold_udf(F.concat_ws("\n", F.array_join("heading_path", "\n"), "text"))
+        ranked = same_ticket(ranked.join(index.sections.select("section_id", "heading_path", "text"), "section_id"), own, text).select("section_id", "vector_score", "vector_rank")
+    ranked = relative_floor(ranked, lex, policies.semantic_score_floor, policies.relative_semantic_score_floor)
     one = lambda d: d.withColumn("query_id", F.lit(1))
     protected = None
     if atoms and hits is not None:
-        marks = lexical.atom_matches(index.indexed, atoms, scope)
-        primary = lexical.primary_ranks(index.indexed, compile_query(fold_text(query)), scope, bound)
-        protected = one(marks.join(primary, "section_id", "left"))
+        compiled = compile_query(fold_text(query))
+        view = index.view([compiled], atoms)
+        marks = lexical.atom_matches(view, atoms, scope)
+        protected = one(marks.join(lexical.primary_ranks(view, compiled, scope, bound), "section_id"))
     out = fuse(one(lex), one(ranked), bound, limit, bool(atoms), policies.balanced_admission, protected, policies.semantic_score_floor)
-    return _result(out, index, lex)
+    reason = F.coalesce(F.when(F.col("lexical_rank").isNotNull(), F.col("lexical_reason")), F.when(_is_global(index), "global-note inclusion, semantic match").otherwise("semantic match"))
+    found = out.join(lex.select("section_id", "lexical_score", F.col("reason").alias("lexical_reason")), "section_id", "left").join(index.sections, "section_id")
+    found = found.withColumns({"reason": F.concat_ws(", ", reason, F.concat("lane", F.lit(" lane")), F.lit("fused score")), "score": F.col("fused_score")})
+    return _result(index, found.withColumn("lexical_score", F.when(F.col("lexical_rank").isNotNull(), F.col("lexical_score"))))
 
 
-def _relative(d: DataFrame, lex: DataFrame, policies: Policies) -> DataFrame:
-    """The relative floor with the absolute one as its least value; lexical hits are exempt here, the absolute floor takes their credit in the fusion."""
-    if policies.relative_semantic_score_floor is None:
-        return d
-    marked = d.join(lex.select("section_id", F.lit(True).alias("own")), "section_id", "left")
-    best = marked.filter("own").agg(F.max("vector_score")).first()[0]
-    if best is None:
-        return d
-    least = max(policies.semantic_score_floor or 0.0, policies.relative_semantic_score_floor * best)
-    return marked.filter(F.col("own").isNotNull() | (F.col("vector_score") >= least)).drop("own")
+def _paths(rows: DataFrame, most: int = 1000) -> set[str]:
+    """Paths of a few hundred hits at most."""
+    return {r["path"] for r in rows.select("path").limit(most).collect()}
 
 
-def _query_ids(query: str) -> list[str]:
-    return [a for a in guard_atoms(query.replace('"', " ")) if a]
+def _add(refresh: set[str] | None, paths: set[str]) -> None:
+    if refresh is not None:
+        refresh.update(paths)
 
 
-def _stale(index: Index, hits, vectors: DataFrame, query_vector: list[float], bound: int) -> bool:
-    if index.live is None:
-        return False
-    near = cosine(vectors, query_vector, limit=bound).join(vectors, "section_id").select("path", "content_hash")
-    return not near.join(index.live, ["path", "content_hash"], "left_anti").isEmpty()
+def _is_global(index: Index):
+    return F.col("path").isin(index.global_paths) if index.global_paths else F.lit(False)
 
 
-def _lexical_result(spark, hits: DataFrame | None, limit: int) -> DataFrame:
-    if hits is None:
-        kinds = "rank int, section_id string, path string, root_id string, heading string, heading_path array<string>, excerpt string, score double, fts_score double, lexical_rank int, vector_rank int, vector_score double, lane string, reason string, atom int"
-        return spark.createDataFrame([], kinds)
-    none = {"vector_rank": F.lit(None).cast("int"), "vector_score": F.lit(None).cast("double"), "lane": F.lit("lexical"), "atom": F.lit(None).cast("int")}
-    rows = hits.filter(F.col("lexical_rank") <= limit).withColumn("rank", F.col("lexical_rank")).withColumn("excerpt", excerpt(F.col("text"))).withColumns(none)
-    return rows.select(*RESULT).orderBy("rank")
+def _result(index: Index, rows: DataFrame) -> DataFrame:
+    names = [x for r in index.roots for x in (F.lit(r.id), F.lit(r.project))]
+    project = F.create_map(*names)[F.col("root_id")] if names else F.lit(None).cast("string")
+    return rows.withColumns({"project": project, "excerpt": excerpt(F.col("text"))}).select(*RESULT).orderBy("rank")
 
 
-def _result(out: DataFrame, index: Index, lex: DataFrame) -> DataFrame:
-    wide = index.sections.select("section_id", "path", "root_id", "heading", "heading_path", excerpt(F.col("text")).alias("excerpt"))
-    reasons = lex.select("section_id", "fts_score", F.col("reason").alias("lexical_reason"))
-    rows = out.join(wide, "section_id").join(reasons, "section_id", "left")
-    mark = F.when(F.col("atom").isNotNull(), F.concat(F.lit("protected:atom-"), F.col("atom")))
-    reason = F.concat_ws(", ", F.when(F.col("lexical_rank").isNotNull(), F.col("lexical_reason")), F.when(F.col("vector_rank").isNotNull(), "semantic match"), mark)
-    return rows.withColumns({"reason": reason, "score": F.col("fused_score")}).select(*RESULT).orderBy("rank")
+def _lexical_result(index: Index, hits: DataFrame | None, limit: int) -> DataFrame:
+    if hits is None:
+        none = {c: F.lit(None).cast(k) for c, k in (SCORES | {"rank": "int", "score": "double", "reason": "string", "lane": "string", "guard_reason": "string"}).items()}
+        return _result(index, index.sections.filter(F.lit(False)).withColumns(none))
+    rows = hits.filter(F.col("lexical_rank") <= limit).join(index.sections, "section_id")
+    none = {c: F.lit(None).cast(SCORES[c]) for c in ("vector_rank", "vector_score", "fused_score")}
+    return _result(index, rows.withColumns({"rank": F.col("lexical_rank"), "lane": F.lit("lexical"), "guard_reason": F.lit(None).cast("string"), **none}))
 
 
-def semantic_with(index: Index, encoder: Callable[[list[str]], list[list[float]]], query: str, **options) -> DataFrame:
-    """Search with an encoder; any failure of it gives the lexical result."""
+def semantic_with(index: Index, encoder: Callable[[list[str]], list[list[float]]] | object, query: str, **options) -> DataFrame:
+    """Search with an encoder (a callable, or an object with `encode`); any failure of it gives the lexical result."""
     try:
-        vector = encoder([query])[0]
+        vector = getattr(encoder, "encode", encoder)([query])[0]
     except Exception:  # an encoder is foreign code
         vector = None
     return search(index, query, query_vector=vector, **options)
@@ -195,10 +223,14 @@ def semantic_with(index: Index, encoder: Callable[[list[str]], list[list[float]]
 
 def read_section(index: Index, path: str, heading: str | None = None, limit: int = 20000) -> str:
     """The text of a note's sections, or of those under a heading (by title or by its path joined with ` > `)."""
+    if limit < 1:
+        raise ValueError("the limit must be positive")
     rows = index.sections.filter(F.col("path") == path)
     if heading is not None:
         rows = rows.filter((F.col("heading") == heading) | (F.array_join("heading_path", " > ") == heading))
     parts = rows.orderBy("line_start").select("text").collect()  # one note
+    if not parts:
+        raise ValueError(f"no such note or heading: {path} {heading or ''}".rstrip())
     return cut_bytes("\n\n".join(r["text"] for r in parts), limit)
 
 

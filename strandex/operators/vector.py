@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,34 +48,64 @@ def cosine(vectors: DataFrame, query: list[float], where: Column | None = None,
     return rows.orderBy(F.desc("vector_score"), "section_id").limit(limit) if limit else rows
 
 
-def cosine_batch(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, digits: int = 6) -> DataFrame:
-    """query_id, section_id, vector_score, vector_rank: the best k for each of a stated list of queries.
+def cosine_batch(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int = 4096) -> DataFrame:
+    """query_id, section_id, vector_score, vector_rank: the best k rows (vectors of unit length) for each of many queries (query_id, vector).
 
-    One scan serves all queries: they are one literal array, each row yields one score
-    for each of them, and Spark keeps the best k of each before the shuffle (the
-    window's group limit).
+    Queries go in blocks of a stated size, each broadcast once: one scan of the vectors
+    serves a block by a matrix product for each batch, which yields the best k of the
+    batch for each query, so what is shuffled is k rows for each query and batch. Scores
+    are rounded before the ranks, so equal vectors tie on their id. Vectors that are null,
+    of another size or not finite are no results; as queries they are errors.
     """
-    rows = vectors.select("section_id", F.transform("vector", lambda x: x.cast("double")).alias("v"))
-    each = F.array(*[F.struct(F.lit(q).alias("query_id"), literal(unit(v)).alias("q")) for q, v in queries])
-    scored = rows.select("section_id", "v", F.explode(each).alias("x")).select("section_id", F.col("x.query_id").alias("query_id"), F.round(dot(F.col("v"), F.col("x.q")), digits).alias("vector_score"))
+    spark, parts = vectors.sparkSession, []
+    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").orderBy("query_id").toLocalIterator()
+    while held := list(islice(rows, block)):
+        own = np.array([unit(list(r["vector"])) for r in held])
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in held]), own))
+        parts.append(valid_vectors(vectors, own.shape[1]).select(F.col("section_id").cast("string").alias("section_id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_best_of_batch(shared, k, digits), "query_id long, section_id string, vector_score double"))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "query_id long, section_id string, vector_score double, vector_rank int")
+    scored = reduce(DataFrame.unionByName, parts).withColumn("vector_score", F.round("vector_score", digits))
     order = Window.partitionBy("query_id").orderBy(F.desc("vector_score"), "section_id")
     return scored.withColumn("vector_rank", F.row_number().over(order)).filter(F.col("vector_rank") <= k)
 
 
+def _best_of_batch(shared, k: int, digits: int):
+    """A task's work: of each batch, the rows that may be among the best k (ties after rounding included)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        for batch in batches:
+            lists = batch.column("vector")
+            if not len(lists):
+                continue
+            m = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+            scores = m @ q.T
+            least = np.partition(scores, len(m) - k, axis=0)[len(m) - k] if len(m) > k else np.full(len(ids), -np.inf)
+            row, query = np.nonzero(scores >= least - 10.0**-digits)
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[query], pa.int64()), "section_id": batch.column("section_id").take(pa.array(row)), "vector_score": pa.array(scores[row, query], pa.float64())})
+
+    return run
+
+
 def normalise_vectors(vectors: DataFrame, vector: str = "vector") -> DataFrame:
     return vectors.withColumn(vector, normalised(F.col(vector)).cast("array<float>"))
 
 
 def relative_floor(semantic: DataFrame, lexical: DataFrame, floor: float | None = SCORE_FLOOR, relative: float | None = RELATIVE_FLOOR) -> DataFrame:
-    """Hits that are lexical too, or reach max(floor, relative * best score of a lexical hit); then `floor` for all."""
+    """Hits that are lexical too, or reach max(floor, relative * best score of a lexical hit).
+
+    Without a lexical hit all stay; lexical hits are exempt here, not from the absolute
+    floor, which the fusion applies to all.
+    """
+    if relative is None:
+        return semantic
     marked = semantic.join(lexical.select("section_id", F.lit(True).alias("is_lexical")), "section_id", "left")
-    if relative is not None:
-        best = marked.filter("is_lexical").agg(F.max("vector_score")).first()[0]
-        if best is not None:
-            marked = marked.filter(F.col("is_lexical").isNotNull() | (F.col("vector_score") >= max(floor or 0.0, relative * best)))
-    if floor is not None:
-        marked = marked.filter(F.col("vector_score") >= floor)
-    return marked.drop("is_lexical")
+    best = marked.filter("is_lexical").agg(F.max("vector_score")).first()[0]
+    if best is None:
+        return semantic
+    least = relative * best if floor is None else max(floor, relative * best)
+    return marked.filter(F.col("is_lexical").isNotNull() | (F.col("vector_score") >= least)).drop("is_lexical")
 
 
 def same_ticket(rows: DataFrame, query_ids: list[str], text: Column) -> DataFrame:

@@ -40,22 +40,24 @@ marked AS (SELECT c.case_id, c.category, c.abstain, ks.k, h.rank, h.path, h.rank
   FROM cases c CROSS JOIN ks LEFT JOIN hits h ON h.case_id = c.case_id),
 got AS (SELECT case_id, category, abstain, k, count_if(seen) AS n_hits, count(DISTINCT CASE WHEN seen AND ok THEN path END) AS found, min(CASE WHEN seen AND ok THEN rank END) AS first,
     count(DISTINCT CASE WHEN seen AND bad THEN path END) AS n_forbidden FROM marked GROUP BY ALL),
-scores AS (SELECT case_id, category, k, abstain, n_hits, CASE WHEN NOT abstain THEN found / 12e0 END AS recall, CASE WHEN NOT abstain THEN CASE WHEN n_hits > 0 THEN found / n_hits::DOUBLE ELSE 0e0 END END AS precision,
-    CASE WHEN NOT abstain THEN coalesce(1e0 / first, 0e0) END AS rr, n_forbidden, CASE WHEN abstain THEN n_hits = 0 ELSE found = 12 AND n_forbidden = 0 END AS passed FROM got)"""
+scores AS (SELECT *, score >= 5e-1 AS passed FROM (SELECT case_id, category, k, abstain, n_hits, CASE WHEN NOT abstain THEN found / 12e0 END AS recall, CASE WHEN NOT abstain THEN CASE WHEN n_hits > 0 THEN found / n_hits::DOUBLE ELSE 0e0 END END AS precision,
+    CASE WHEN NOT abstain THEN coalesce(1e0 / first, 0e0) END AS rr, n_forbidden,
+    CASE WHEN abstain THEN (n_hits = 0 AND n_forbidden = 0)::INT::DOUBLE WHEN n_forbidden > 0 THEN 0e0 ELSE found / 12e0 END AS score,
+    CASE WHEN abstain THEN n_hits = 0 AND n_forbidden = 0 ELSE found = 12 AND n_forbidden = 0 END AS complete FROM got))"""
 
 
 def scores(spark, sf_dir):
     return evaluate.score_cases(hits(spark, sf_dir), cases(spark))
 
 
-@query(f"WITH {SCORES} SELECT case_id, category, k, abstain, n_hits::BIGINT AS n_hits, round(recall, 6) AS recall, round(precision, 6) AS precision, round(rr, 6) AS rr, n_forbidden::BIGINT AS n_forbidden, passed FROM scores")
+@query(f"WITH {SCORES} SELECT case_id, category, k, abstain, n_hits::BIGINT AS n_hits, round(recall, 6) AS recall, round(precision, 6) AS precision, round(rr, 6) AS rr, n_forbidden::BIGINT AS n_forbidden, round(score, 6) AS score, passed, complete FROM scores")
 def score_cases_at_k(spark, sf_dir):
     r = lambda c: F.round(c, 6).alias(c)
-    return scores(spark, sf_dir).select("case_id", "category", "k", "abstain", "n_hits", r("recall"), r("precision"), r("rr"), "n_forbidden", "passed")
+    return scores(spark, sf_dir).select("case_id", "category", "k", "abstain", "n_hits", r("recall"), r("precision"), r("rr"), "n_forbidden", r("score"), "passed", "complete")
 
 
 MEASURES = """count(*) AS n_cases, round(coalesce(avg(recall), 1e0), 6) AS recall, round(coalesce(avg(precision), 1e0), 6) AS precision, round(coalesce(avg(rr), 1e0), 6) AS mrr,
-  round(coalesce(avg(CASE WHEN abstain THEN passed::INT END), 1e0), 6) AS abstention_accuracy, sum(n_forbidden)::BIGINT AS forbidden, round(avg(passed::INT), 6) AS accuracy"""
+  round(coalesce(avg(CASE WHEN abstain THEN passed::INT END), 1e0), 6) AS abstention_accuracy, sum(n_forbidden)::BIGINT AS forbidden, round(avg(passed::INT), 6) AS accuracy, round(avg(score), 6) AS mean_score"""
 
 
 @query(f"WITH {SCORES} SELECT k, category, {MEASURES} FROM scores GROUP BY GROUPING SETS ((k), (k, category))")
@@ -165,3 +167,48 @@ def evidence_outcomes(spark, sf_dir):
     t = t.select(F.concat(F.lit("c"), n).alias("question_id"), F.concat(F.lit("p"), (n * 13 + F.col("k")) % 97).alias("path"), F.concat_ws("/", n, "k").alias("evidence_id"), F.lit(2).alias("line_start"), F.lit(3).alias("line_end"))
     r = lambda c: F.round(c, 6).alias(c)
     return evaluate.evidence_outcome(h, t, (10, 20)).select("question_id", "k", r("recall"), r("precision"), r("mrr"))
+
+
+OUTCOMES = """outcomes AS (SELECT o_orderpriority AS category, k, o_orderkey % 4 AS relevant, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 4) / 4e0 END AS recall,
+  CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 4) / k::DOUBLE END AS "precision", CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 3) / 2e0 END AS mrr,
+  (o_custkey % 3) / 2e0 AS score, CASE WHEN o_custkey % 11 = 0 THEN 'judge_error' END AS error FROM orders, (SELECT unnest([10, 20]) AS k))"""
+
+
+def outcomes(spark, sf_dir):
+    """An outcome for each order and cutoff, with its priority as the category."""
+    o = table(spark, sf_dir, "orders").withColumn("k", F.explode(F.array(F.lit(10), F.lit(20))))
+    n = F.col("o_orderkey")
+    some = lambda c: F.when(n % 5 > 0, c)
+    return o.select(
+        F.col("o_orderpriority").alias("category"), "k", (n % 4).alias("relevant"), some((n % 4) / 4.0).alias("recall"), some((n % 4) / F.col("k")).alias("precision"),
+        some((n % 3) / 2.0).alias("mrr"), ((F.col("o_custkey") % 3) / 2.0).alias("score"), F.when(F.col("o_custkey") % 11 == 0, "judge_error").alias("error"),
+    )
+
+
+@query(f"""WITH {OUTCOMES} SELECT k, category, count(*) AS total, sum(relevant)::BIGINT AS relevant, round(avg(coalesce(recall, 0)), 6) AS recall, round(avg(coalesce("precision", 0)), 6) AS "precision", round(avg(coalesce(mrr, 0)), 6) AS mrr
+FROM outcomes GROUP BY GROUPING SETS ((k), (k, category))""")
+def retrieval_groups(spark, sf_dir):
+    return evaluate.retrieval_groups(outcomes(spark, sf_dir))
+
+
+@query(f"""WITH {OUTCOMES} SELECT k, category, count(*) AS total, count_if(score >= 5e-1)::BIGINT AS correct, round(100e0 * count_if(score >= 5e-1) / count(*), 6) AS accuracy, round(100e0 * avg(score), 6) AS mean_score, count(error) AS errors
+FROM outcomes GROUP BY GROUPING SETS ((k), (k, category))""")
+def answer_groups(spark, sf_dir):
+    return evaluate.answer_groups(outcomes(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT conv_id AS question_id, count_if(turn > 2) AS n_hits, CASE WHEN conv_id % 13 = 5 THEN 'timeout' WHEN conv_id % 13 = 6 THEN 'fallback' END AS reason FROM conversations GROUP BY conv_id)
+SELECT question_id, k, least(n_hits, k)::BIGINT AS injected, CASE WHEN reason IS NULL THEN least(n_hits, k) = 0 END AS abstained, coalesce((reason IS NULL AND least(n_hits, k) = 0)::INT::DOUBLE, 0e0) AS score,
+  CASE WHEN reason IS NOT NULL THEN 'retrieval_error' END AS error, reason FROM r, (SELECT unnest([1, 4]) AS k)""")
+def abstention_outcomes(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("question_id")).agg(F.count_if(F.col("turn") > 2).alias("n_hits"))
+    kind = F.col("question_id") % 13
+    d = F.struct(F.when(kind == 5, "timeout").otherwise("ok").alias("status"), (kind == 6).alias("fallback"), F.lit(None).cast("string").alias("failure_reason"))
+    return evaluate.abstention_outcomes(c.withColumn("diagnostics", d), (1, 4)).withColumn("injected", F.col("injected").cast("long"))
+
+
+@query("""WITH h AS (SELECT 'c' || (o_custkey % 60) AS case_id, o_totalprice AS price FROM orders)
+SELECT case_id, count(*) AS n, round(min(price), 6) AS min, round(max(price), 6) AS max, round(avg(price), 6) AS mean, quantile_disc(price, 0.5) AS p50, quantile_disc(price, 0.95) AS p95 FROM h GROUP BY case_id""")
+def injected_score_summary(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey") % 60).alias("case_id"), F.col("o_totalprice").alias("price"))
+    return o.groupBy("case_id").agg(*score_summary("price"))

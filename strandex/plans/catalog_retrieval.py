@@ -239,13 +239,14 @@ def cosine_topk_scoped(spark, sf_dir):
     return vector.cosine(vectors(spark, sf_dir), query_vector(spark, sf_dir, 0), F.col("label").isin(2, 5), 50, 6)
 
 
-@query(f"""WITH q AS (SELECT vec_id AS query_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt({_dot("embedding", "embedding")})) AS q FROM embeddings WHERE vec_id IN (1, 2, 3, 5, 8))
+@query(f"""WITH q AS (SELECT vec_id AS query_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt({_dot("embedding", "embedding")})) AS q FROM embeddings WHERE vec_id % 100 = 0)
 SELECT query_id, vec_id::VARCHAR AS section_id, round({_dot("embedding", "q")}, 6) AS vector_score, row_number() OVER (PARTITION BY query_id ORDER BY round({_dot("embedding", "q")}, 6) DESC, vec_id::VARCHAR) AS vector_rank
 FROM embeddings, q QUALIFY vector_rank <= 20""")
 def cosine_batch(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isin(1, 2, 3, 5, 8)).collect()  # the stated queries
-    got = vector.cosine_batch(vectors(spark, sf_dir), [(r["vec_id"], list(r["embedding"])) for r in rows], 20)
-    return got.select(F.col("query_id").cast("long").alias("query_id"), "section_id", "vector_score", F.col("vector_rank").cast("long").alias("vector_rank"))
+    """The stated query set, every vector whose id 100 divides, against all vectors: the best 20 of each."""
+    rows = vectors(spark, sf_dir)
+    queries = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    return vector.cosine_batch(rows, queries, 20).withColumn("vector_rank", F.col("vector_rank").cast("long"))
 
 
 @query("SELECT label, count(*) AS n, count_if(vec_id % 7 <> 0 AND vec_id % 11 <> 0)::BIGINT AS valid FROM embeddings GROUP BY label")
@@ -258,7 +259,8 @@ def vector_validity(spark, sf_dir):
 SELECT vec_id::VARCHAR AS section_id, v AS vector_score FROM s, b WHERE v >= 5e-2 AND (label = 4 OR v >= greatest(5e-2, 7e-1 * b))""")
 def semantic_floors(spark, sf_dir):
     scored = vector.cosine(vectors(spark, sf_dir), query_vector(spark, sf_dir, 0), digits=6)
-    return vector.relative_floor(scored, vectors(spark, sf_dir).filter("label = 4"), 0.05, 0.7).select("section_id", "vector_score")
+    kept = vector.relative_floor(scored, vectors(spark, sf_dir).filter("label = 4"), 0.05, 0.7)
+    return kept.filter("vector_score >= 0.05").select("section_id", "vector_score")
 
 
 @query("SELECT event_id FROM events WHERE NOT (event_type <> 'click' AND user_id % 3 = 1)")
@@ -296,7 +298,7 @@ adm AS (SELECT section_id, min(CASE WHEN pos = first THEN lane END) AS l0, max(C
 crd AS (SELECT section_id, CASE WHEN l0 = 0 THEN lr END AS lexical_rank, vr AS vector_rank FROM adm),
 sco AS (SELECT c.section_id, lexical_rank, vector_rank, coalesce(1e0 / (60 + lexical_rank), 0e0) + coalesce(1e0 / (60 + vector_rank), 0e0) AS s, CASE WHEN lexical_rank IS NOT NULL THEN atom END AS atom FROM crd c {prot})
 SELECT section_id, row_number() OVER (ORDER BY atom IS NULL, CASE WHEN atom IS NOT NULL THEN lexical_rank END, {order}, coalesce(lexical_rank, 201), coalesce(vector_rank, 201), section_id) AS rank, round(s, 9) AS fused_score,
-  CASE WHEN lexical_rank IS NOT NULL AND vector_rank IS NOT NULL THEN 'both' WHEN lexical_rank IS NOT NULL THEN 'lexical' ELSE 'semantic' END AS lane FROM sco QUALIFY rank <= 50"""
+  CASE WHEN lexical_rank IS NOT NULL AND vector_rank IS NOT NULL THEN 'lexical+semantic' WHEN lexical_rank IS NOT NULL THEN 'lexical' ELSE 'semantic' END AS lane FROM sco QUALIFY rank <= 50"""
 
 
 def _fused(df):

@@ -70,7 +70,10 @@ def distinct_terms_stopwords(spark, sf_dir):
     return d.filter("n_terms > 0")
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS norm FROM documents")
+WHITE = r"[\x09-\x0D\x1C-\x1F\x{85}\p{Z}]+"
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(lower(text), '{WHITE}', ' ', 'g')) AS norm FROM documents")
 def normalize_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", lower_form(F.col("text")).alias("norm"))
 
@@ -80,8 +83,8 @@ def normalize_text_folded(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fold_udf("text").alias("norm"))
 
 
-@query(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
-SELECT doc_id, CASE WHEN length(t) <= 500 THEN t ELSE rtrim(substr(t, 1, 497)) || '...' END AS excerpt FROM f""")
+@query(f"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '{WHITE}', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) <= 500 THEN t ELSE rtrim(substr(t, 1, 500)) || '...' END AS excerpt FROM f""")
 def excerpt_500(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", excerpt(F.col("text")).alias("excerpt"))
 
@@ -204,7 +207,8 @@ SELECT conv_id, session, row_number() OVER (PARTITION BY conv_id ORDER BY d IS N
 def ordered_sessions(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
     day = F.date_add(F.to_date(F.lit("2023-01-01")), (F.col("conv_id") * 37 % 400).cast("int"))
-    form = F.when(F.col("conv_id") % 4 == 0, F.date_format(day, "yyyy-MM-dd")).when(F.col("conv_id") % 4 == 1, F.date_format(day, "d MMMM, yyyy")).when(F.col("conv_id") % 4 == 2, F.date_format(day, "d MMMM yyyy")).otherwise("soon")
+    forms = ["yyyy-MM-dd", "'12:00 am on 'd MMMM, yyyy", "yyyy-MM-dd'T00:00:00.000Z'"]
+    form = F.coalesce(*[F.when(F.col("conv_id") % 4 == n, F.date_format(day, f)) for n, f in enumerate(forms)], F.lit("soon"))
     rows = c.select((F.col("conv_id") % 10).alias("conv_id"), F.col("conv_id").alias("session"), form.alias("session_date"))
     return conversations.ordered_sessions(rows).select("conv_id", "session", F.col("place").cast("long").alias("place"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
 import json
 import os
@@ -26,6 +27,7 @@ class Config:
     global_notes: tuple[str, ...] = ()
     section_bytes: int = 12000
     synonyms: Synonyms = Synonyms()
+    bundle: str | None = None
 
     @property
     def fingerprint(self) -> str:
@@ -89,7 +91,29 @@ def read_config(path: str) -> Config:
     if not store:
         raise ConfigError("no database")
     table = read_synonyms(where(raw["synonym_table"])) if raw.get("synonym_table") else Synonyms()
-    return Config(tuple(roots), where(store), tuple(_one_of(raw, "private_paths", "private", default=[])), notes, size, table)
+    bundle = _one_of(raw | {"semantic.bundle_dir": raw["semantic"]["bundle_dir"]} if "bundle_dir" in raw.get("semantic", {}) else raw, "semantic.bundle_dir", "semantic_bundle", "model_bundle")
+    if bundle not in (None, "hash"):  # `hash` names the encoder that needs no bundle
+        bundle = where(bundle)
+    config = Config(tuple(roots), where(store), tuple(_one_of(raw, "private_paths", "private", default=[])), notes, size, table, bundle)
+    for n in notes:
+        if any(path_excluded(n, r, list(config.private)) for r in roots if _inside(n, r.path)):
+            raise ConfigError(f"global note {n} is excluded")
+    return config
+
+
+def path_excluded(path: str, root: Root, private: list[str]) -> bool:
+    """The rule of the scan for one path, on the driver: secrets files, private paths and globs, and the root's globs, on every ancestor too."""
+    if not _inside(path, root.path):
+        return True
+    parts = os.path.relpath(path, root.path).split(os.sep)
+    for n in range(1, len(parts) + 1):
+        relative, name = "/".join(parts[:n]), parts[n - 1]
+        whole = os.path.join(root.path, relative)
+        if name.startswith(".env") or any(whole == g.rstrip("/") or any(fnmatch.fnmatchcase(x, g) for x in (whole, relative, name)) for g in private):
+            return True
+        if any(fnmatch.fnmatchcase(x, g) for g in root.exclude for x in (relative, name)):
+            return True
+    return False
 
 
 def read_synonyms(path: str) -> Synonyms:

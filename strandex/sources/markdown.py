@@ -5,10 +5,9 @@
 follows (ids, links, hashes) is plain columns.
 """
 
-from __future__ import annotations
-
 import fnmatch
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -16,9 +15,11 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from ..functions.text import links
+from ..functions.text import cut_bytes, links
 from ..plans.query import Root
+from .config import path_excluded
 
 DOCUMENT = "(document)"
 _HEADING = re.compile(r"(#{1,6})[ \t]+(.*)$")
@@ -189,6 +190,13 @@ def _glob(pattern: str) -> str:
     return "(?s)^" + fnmatch.translate(pattern).removeprefix("(?s:").rsplit(")", 1)[0] + "$"
 
 
+@F.pandas_udf(BooleanType())
+def _inside(path: pd.Series, root: pd.Series) -> pd.Series:
+    """Does a local path end below the root once links are followed? Paths of other stores have no links."""
+    top = {r: os.path.realpath(r) for r in root.unique()}
+    return pd.Series([not os.path.isabs(p) or os.path.realpath(p).startswith(top[r] + os.sep) for p, r in zip(path, root, strict=True)])
+
+
 def scan(spark: SparkSession, roots: list[Root], private: list[str] | None = None) -> DataFrame:
     """path, root_id, content, content_hash of the Markdown files below the roots; the last root wins for a path."""
     parts = []
@@ -196,7 +204,39 @@ def scan(spark: SparkSession, roots: list[Root], private: list[str] | None = Non
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.path)
         path = F.regexp_replace("path", "^file:/*", "/")
         rows = files.select(path.alias("path"), "content").filter(F.lower("path").rlike(r"\.(md|markdown)$") & ~excluded(F.col("path"), root, private or []))
+        rows = rows.filter(_inside("path", F.lit(root.path)))
         parts.append(rows.select("path", F.lit(root.id).alias("root_id"), "content", F.lit(n).alias("turn")))
     rows = reduce(DataFrame.unionByName, parts)
     last = rows.groupBy("path").agg(F.max("turn").alias("turn"))
     return rows.join(last, ["path", "turn"], "left_semi").select("path", "root_id", "content", F.sha2("content", 256).alias("content_hash"))
+
+
+def read_source(spark: SparkSession, config, path: str, heading: str | None = None, limit: int = 20000) -> str:
+    """A note as it is now, or its sections under a heading; the path may be relative to a root or to the working folder."""
+    if limit < 1:
+        raise ValueError("the limit must be positive")
+    found = safe_source(config, path)
+    if found is None:
+        raise ValueError(f"{path} is outside all roots, excluded, or does not exist")
+    got = spark.read.format("binaryFile").load(found[1]).select("content").first()  # one note
+    text = bytes(got["content"]).decode("utf-8")
+    if heading is not None:
+        parts = [s["text"] for s in split_note(found[1], text.encode(), max(limit, 256)) if s["heading"] == heading or " > ".join(s["heading_path"]) == heading]
+        if not parts:
+            raise ValueError(f"no heading {heading} in {path}")
+        text = "\n\n".join(parts)
+    return cut_bytes(text, limit)
+
+
+def safe_source(config, path: str) -> tuple[Root, str] | None:
+    """The root of a path, and the path without links; None if it is in no root, excluded or not there."""
+    tries = [path] if os.path.isabs(path) else [os.path.abspath(path), *[os.path.join(r.path, path) for r in config.roots]]
+    for t in tries:
+        real = os.path.realpath(t)
+        for root in config.roots:
+            top = os.path.realpath(root.path)
+            if os.path.isfile(real) and os.path.commonpath([real, top]) == top:
+                own = os.path.join(root.path, os.path.relpath(real, top))
+                if not path_excluded(own, root, list(config.private)):
+                    return root, own
+    return None

@@ -2,24 +2,30 @@
 
 A refresh writes a whole new generation beside the current one, compares the sources once
 more, and moves the pointer by a rename; readers resolve the pointer once, so they see
-one generation. Unchanged files keep their rows (and vectors), so only new and changed
-content is split and encoded.
+one generation. Unchanged files keep their rows (sections, postings, vectors), so only new
+and changed content is split, tokenised and encoded.
+
+The pointer carries what a query needs of the whole index (rows, mean length), the state
+of the vectors and why they are not ready: a fixed, small document.
 """
 
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.encoder import DISABLED, MANIFEST_CHANGED, READY, REFRESH_FAILED, STALE, VECTOR_TABLE_CORRUPT
+from ..functions.vectors import is_valid
+from ..operators import lexical, postings
 from ..operators.freshness import delete_by, diff, needs_embedding, same_sources
-from . import markdown
-from .config import Config, write_json
+from ..operators.search import Index
+from . import files, markdown
+from .config import Config, canonical_json
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 POINTER = "current.json"
 
 
@@ -29,84 +35,135 @@ class StoreError(RuntimeError):
 
 class Store:
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
 
     def pointer(self) -> dict | None:
-        try:
-            with open(os.path.join(self.path, POINTER), encoding="utf-8") as f:
-                got = json.load(f)
-        except FileNotFoundError:
+        text = files.read_text(self.spark, f"{self.path}/{POINTER}")
+        if text is None:
             return None
+        got = json.loads(text)
         if got.get("schema") != SCHEMA_VERSION:
             raise StoreError(f"schema {got.get('schema')} instead of {SCHEMA_VERSION}: rebuild the index")
         return got
 
+    def folder(self, name: str, generation: int) -> str:
+        return f"{self.path}/g{generation:08d}/{name}"
+
     def table(self, name: str, generation: int | None = None) -> DataFrame:
         if generation is None:
             at = self.pointer()
             if at is None:
                 raise StoreError("no index")
             generation = at["generation"]
-        return self.spark.read.parquet(os.path.join(self.path, f"g{generation:08d}", name))
+        return self.spark.read.parquet(self.folder(name, generation))
 
     def write(self, df: DataFrame, name: str, generation: int) -> None:
-        df.write.mode("overwrite").parquet(os.path.join(self.path, f"g{generation:08d}", name))
+        df.write.mode("overwrite").parquet(self.folder(name, generation))
+
+    def last_generation(self) -> int:
+        return max([int(n[1:]) for n in files.names(self.spark, self.path) if n[:1] == "g" and n[1:].isdigit()], default=0)
+
+    def prune(self, keep: int = 2) -> None:
+        """Remove generations older than the current one and its predecessors, `keep` in all."""
+        at = self.pointer()
+        for n in files.names(self.spark, self.path):
+            if at and n[:1] == "g" and n[1:].isdigit() and int(n[1:]) <= at["generation"] - keep:
+                files.remove(self.spark, f"{self.path}/{n}")
 
 
 def build(spark: SparkSession, config: Config, rebuild: bool = False, encoder: Callable[[DataFrame], DataFrame] | None = None, encoder_version: str = "none") -> dict:
     """Bring the index up to date; returns the pointer.
 
     encoder: (section_id, text) rows -> section_id, vector. If it fails, the text index
-    is published all the same, without vectors, in state stale. If the sources change
-    while the generation is written, the old one stays current.
+    is published all the same, without the vectors of new content, in state stale. If the
+    sources change while the generation is written, the old one stays current.
     """
-    os.makedirs(config.store, exist_ok=True)
     store = Store(spark, config.store)
     try:
         old = None if rebuild else store.pointer()
     except StoreError:
         old = None  # another schema: start anew
-    generation = (old["generation"] if old else _last_generation(config.store)) + 1
-    notes = markdown.scan(spark, list(config.roots), list(config.private))
-    files = notes.select("path", "root_id", "content_hash")
+    generation = store.last_generation() + 1
+    scan = lambda: markdown.scan(spark, list(config.roots), list(config.private))
+    store.write(scan(), "notes", generation)
+    notes = store.table("notes", generation)
+    live = notes.select("path", "root_id", "content_hash")
+    store.write(live, "files", generation)
     if old:
-        change = diff(store.table("files"), files)
-        touched = change.filter("change <> 'unchanged'").select("path")
+        touched = diff(store.table("files", old["generation"]), live).filter("change <> 'unchanged'").select("path")
+        touched = touched.unionByName(live.select("path")) if old["section_bytes"] != config.section_bytes else touched
         new = markdown.split(notes.join(touched, "path", "left_semi"), config.section_bytes)
-        sections = delete_by(store.table("sections"), touched).unionByName(new)
+        kept = delete_by(store.table("sections", old["generation"]), touched)
     else:
-        sections = markdown.split(notes, config.section_bytes)
-    store.write(files, "files", generation)
-    store.write(sections, "sections", generation)
+        touched, kept, new = None, None, markdown.split(notes, config.section_bytes)
+    store.write(new, "new", generation)
+    new = store.table("new", generation)
+    store.write(new if kept is None else kept.unionByName(new), "sections", generation)
     sections = store.table("sections", generation)
-    state = {"state": "disabled", "reason": "NO_ENCODER"}
-    if encoder is not None:
-        state = _embed(store, old, sections, generation, encoder, encoder_version)
-    if not same_sources(store.table("files", generation), markdown.scan(spark, list(config.roots), list(config.private))):
+    own = postings.postings(lexical.index(new))
+    if old:
+        own = own.unionByName(delete_by(store.table("postings", old["generation"]), touched).select(*own.columns))
+    size = postings.postings_size(own)
+    postings.write(own, store.folder("postings", generation), parts=max(1, size["rows"] // (postings.FILE_ROWS * postings.BUCKETS)))
+    state = _embed(store, old, sections, generation, encoder, encoder_version)
+    changed = not same_sources(live, scan())
+    for name in ("notes", "new"):
+        files.remove(spark, store.folder(name, generation))
+    if changed:
         if old:
             return old
         raise StoreError("the sources changed while they were read")
-    pointer = {"schema": SCHEMA_VERSION, "generation": generation, "sections": sections.count(), "config": config.fingerprint, "encoder": encoder_version, **state}
-    write_json(os.path.join(config.store, POINTER), pointer)
+    count = sections.count()
+    pointer = {
+        "schema": SCHEMA_VERSION, "generation": generation, "sections": count, "section_bytes": config.section_bytes,
+        "mean_length": size["words"] / count if count else 0.0, "config": config.fingerprint, "encoder": encoder_version, **state,
+    }
+    files.replace_text(spark, f"{store.path}/{POINTER}", canonical_json(pointer) + "\n")
     return pointer
 
 
-def _last_generation(path: str) -> int:
-    return max([int(n[1:]) for n in os.listdir(path) if n[:1] == "g" and n[1:].isdigit()], default=0)
-
-
 def _embed(store: Store, old: dict | None, sections: DataFrame, generation: int, encoder, version: str) -> dict:
+    if encoder is None:
+        return {"state": DISABLED, "reason": "NO_ENCODER"}
     wanted = sections.select("section_id", "content_hash", "text").withColumn("encoder", F.lit(version))
+    kept = None
     try:
-        if old and old.get("state") == "ready":
-            before = store.table("vectors")
-            missing = needs_embedding(wanted, before, ["encoder"])
-            kept = before.join(wanted, ["section_id", "content_hash", "encoder"], "left_semi")
-        else:
-            missing, kept = wanted, None
+        if old and old.get("vectors") is not None:
+            before = store.table("vectors", old["generation"])
+            kept = before.filter(is_valid(F.col("vector"), old["size"])).join(wanted, ["section_id", "content_hash", "encoder"], "left_semi")
+        missing = wanted if kept is None else needs_embedding(wanted, kept, ["encoder"])
         made = encoder(missing.select("section_id", "text")).join(missing.drop("text"), "section_id").select("section_id", "content_hash", "encoder", F.col("vector").cast("array<float>").alias("vector"))
         store.write(made if kept is None else kept.unionByName(made), "vectors", generation)
-        complete = store.table("vectors", generation).count()
     except Exception as e:  # an encoder is foreign code: whatever it raises, the text index is good
-        return {"state": "stale", "reason": "REFRESH_FAILED", "error": type(e).__name__}
-    return {"state": "ready", "reason": None, "vectors": complete}
+        if kept is not None:
+            store.write(kept, "vectors", generation)
+        return {"state": STALE, "reason": REFRESH_FAILED, "error": type(e).__name__}
+    got = store.table("vectors", generation).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("size")).first()
+    return {"state": READY, "reason": None, "vectors": got["n"], "size": got["size"] or 0}
+
+
+def state_of(spark: SparkSession, config: Config, encoder_version: str | None = None) -> tuple[str, str | None]:
+    """State of the vectors of the current generation, and the reason if they are not ready."""
+    try:
+        at = Store(spark, config.store).pointer()
+    except (StoreError, ValueError):
+        return DISABLED, "INDEX_UNAVAILABLE"
+    if at is None:
+        return DISABLED, "INDEX_MISSING"
+    if at["state"] == READY and encoder_version is not None and at["encoder"] != encoder_version:
+        return STALE, MANIFEST_CHANGED
+    if at["state"] == READY and at["vectors"] != at["sections"]:
+        return STALE, VECTOR_TABLE_CORRUPT
+    return at["state"], at["reason"]
+
+
+def open_index(spark: SparkSession, config: Config, live: bool = True) -> Index | None:
+    """The current generation, or None before the first; with `live`, hits are compared with the files as they are now."""
+    store = Store(spark, config.store)
+    at = store.pointer()
+    if at is None:
+        return None
+    g = at["generation"]
+    now = markdown.scan(spark, list(config.roots), list(config.private)).select("path", "content_hash") if live else None
+    vectors = store.table("vectors", g) if at["state"] == READY else None
+    return Index(store.table("sections", g), list(config.roots), list(config.global_notes), now, vectors, config.synonyms, store.table("postings", g), at["sections"], at["mean_length"])
