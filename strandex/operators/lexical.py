@@ -75,14 +75,16 @@ class Statistics:
         return max(math.log((self.rows - n + 0.5) / (n + 0.5)), LEAST_IDF) if self.rows > n - 0.5 else LEAST_IDF
 
 
-def statistics(indexed: DataFrame, phrases: list[Phrase], fields: tuple[str, ...] = FIELDS) -> Statistics:
-    """One pass, one row: N, mean length and the rows that hold each phrase.
+def statistics(indexed: DataFrame, phrases: list[Phrase], *field_sets: tuple[str, ...]) -> list[Statistics]:
+    """One pass, one row: N, mean length and, for each set of fields, the rows that hold each phrase in them.
 
     Matches of a query carry N and the mean length of the index that they come from.
     """
     size = [F.max("corpus_rows"), F.max("corpus_mean")] if "places" in indexed.columns else [F.count(F.lit(1)), F.avg("n_words")]
-    got = indexed.agg(*size, *[F.count_if(c > 0) for c in phrase_counts(indexed, phrases, fields)]).first()
-    return Statistics(got[0] or 0, float(got[1] or 0.0), tuple(n or 0 for n in got[2:]))
+    counts = [c for fields in field_sets for c in phrase_counts(indexed, phrases, fields)]
+    n, mean, *found = indexed.agg(*size, *[F.count_if(c > 0) for c in counts]).first()
+    found = [f or 0 for f in found]
+    return [Statistics(n or 0, float(mean or 0.0), tuple(found[k : k + len(phrases)])) for k in range(0, len(found), len(phrases))]
 
 
 def bm25(counts: list[Column], stats: Statistics, length: Column) -> Column:
@@ -96,7 +98,7 @@ def lane(indexed: DataFrame, phrases: list[Phrase], fields: tuple[str, ...] = FI
 
     The scope filters rows before the limit; the statistics are those of the whole index.
     """
-    stats = stats or statistics(indexed, phrases, fields)
+    stats = stats or statistics(indexed, phrases, fields)[0]
     names = [f"f{k}" for k in range(len(phrases))]
     rows = indexed if where is None else indexed.filter(where)
     hits = rows.select("section_id", "n_words", *[c.alias(n) for c, n in zip(phrase_counts(indexed, phrases, fields), names, strict=True)])
@@ -117,8 +119,8 @@ def lanes(indexed: DataFrame, compiled: Compiled, scope: Scope, bound: int, vari
     """section_id, fts_score, step of all fields, heading and text, each for the scope and for its global notes."""
     parts = []
     phrases = list(compiled.clauses)
-    for n, fields in enumerate((FIELDS, ("heading",), ("text",))):
-        stats = statistics(indexed, phrases, fields)
+    field_sets = (FIELDS, ("heading",), ("text",))
+    for n, (fields, stats) in enumerate(zip(field_sets, statistics(indexed, phrases, *field_sets), strict=True)):
         wheres = [scope_condition(scope)] + ([F.col("path").isin(list(scope.globals))] if scope.globals else [])
         for k, where in enumerate(wheres):
             got = lane(indexed, phrases, fields, where=where, limit=bound, stats=stats)
@@ -163,7 +165,7 @@ def relaxed(indexed: DataFrame, tokens: tuple[str, ...], quoted: bool, scope: Sc
     phrases = [index_words(t) for t in terms]
     if not all(phrases):
         terms, phrases = zip(*[(t, p) for t, p in zip(terms, phrases, strict=True) if p], strict=True)
-    stats = statistics(indexed, list(phrases))
+    stats = statistics(indexed, list(phrases), FIELDS)[0]
     idf = [math.log((stats.rows - n + 0.5) / (n + 0.5) + 1.0) for n in stats.frequencies]
     rows = lane(indexed, list(phrases), every=False, where=scope_condition(scope), limit=min(MAX_RELAXED, 4 * bound), stats=stats)
     rows = rows.join(strict.select("section_id"), "section_id", "left_anti").join(indexed, "section_id")

@@ -19,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 256
-#: Rows of a bucket that a task writes; more rows mean more tasks.
-FILE_ROWS = 4_000_000
+#: Rows that a bucket should hold, and that a task writes of a bucket that holds more.
+BUCKET_ROWS, MOST_BUCKETS = 4_000_000, 4096
 SCHEMA = "term string, field string, section_id string, root_id string, path string, n_words int, places array<int>"
 
 
@@ -29,19 +28,19 @@ def postings(indexed: DataFrame) -> DataFrame:
     """Rows of SCHEMA of an indexed table (heading_words, text_words, n_words), without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("term", pa.string()), ("field", pa.string()), ("section_id", pa.string()), ("root_id", pa.string()), ("path", pa.string()), ("n_words", pa.int32()), ("places", pa.list_(pa.int32()))])
+        texts = [pa.string()] * 5
+        kinds = pa.schema(list(zip(("term", "field", "section_id", "root_id", "path", "n_words", "places"), [*texts, pa.int32(), pa.list_(pa.int32())], strict=True)))
         for batch in batches:
             keys = [batch.column(c).to_pylist() for c in ("section_id", "root_id", "path", "n_words")]
             for field in ("heading", "text"):
-                for sid, root, path, n, words in zip(*keys, batch.column(f"{field}_words").to_pylist(), strict=True):
+                for *own, words in zip(*keys, batch.column(f"{field}_words").to_pylist(), strict=True):
                     if not words:
                         continue
                     terms, which = np.unique(np.array(words, object).astype(str), return_inverse=True)
-                    order = np.argsort(which, kind="stable")
-                    ends = np.cumsum(np.bincount(which))
-                    places = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(order, pa.int32()))
-                    m = len(terms)
-                    yield pa.RecordBatch.from_arrays([pa.array(terms.tolist(), pa.string()), *(pa.array([v] * m, t) for v, t in ((field, pa.string()), (sid, pa.string()), (root, pa.string()), (path, pa.string()), (n, pa.int32()))), places], schema=kinds)
+                    ends = np.append(0, np.cumsum(np.bincount(which)))
+                    places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.argsort(which, kind="stable"), pa.int32()))
+                    same = [pa.array([v] * len(terms), t) for v, t in zip([field, *own], [*texts[1:], pa.int32()], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(terms.tolist(), pa.string()), *same, places], schema=kinds)
 
     return indexed.select("section_id", "root_id", "path", "n_words", "heading_words", "text_words").mapInArrow(run, SCHEMA)
 
@@ -52,31 +51,34 @@ def postings_size(rows: DataFrame) -> dict:
     return {"rows": got[0], "words": got[1] or 0}
 
 
-def bucket(term):
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def buckets_for(rows: int) -> int:
+    """A power of two from 4 to MOST_BUCKETS."""
+    return min(MOST_BUCKETS, 1 << max(2, (rows // BUCKET_ROWS).bit_length()))
 
 
-def write(rows: DataFrame, path: str, parts: int) -> None:
-    """The table at `path`; parts: tasks that share the rows of a bucket, about rows / FILE_ROWS / BUCKETS."""
-    own = rows.withColumn("bucket", bucket("term"))
-    dealt = own.repartition(BUCKETS * max(1, parts), "bucket", F.pmod(F.xxhash64("section_id"), F.lit(max(1, parts))))
+def bucket(term, buckets: int):
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write(rows: DataFrame, path: str, buckets: int, parts: int = 1) -> None:
+    """The table at `path`; parts: tasks that share the rows of a bucket, by section."""
+    own = rows.withColumn("bucket", bucket("term", buckets))
+    dealt = own.repartition(buckets * parts, "bucket", F.pmod(F.xxhash64("section_id"), F.lit(parts)))
     dealt.sortWithinPartitions("bucket", "term", "section_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def matches(table: DataFrame, words: Iterable[str], rows: int, mean_length: float) -> DataFrame:
+def matches(table: DataFrame, words: Iterable[str], rows: int, mean_length: float, buckets: int | None = None) -> DataFrame:
     """section_id, root_id, path, n_words, places (map of `field:word` to positions) of the sections that hold a word.
 
-    rows and mean_length are those of the whole index, for the scores. The bucket
-    numbers are computed on the driver, so the scan prunes its partitions.
+    rows and mean_length are those of the whole index, for the scores. With `buckets`,
+    the number that the table was written with, the words' buckets are computed on the
+    driver, so the scan prunes its partitions.
     """
     words = sorted(set(words))
-    spark = table.sparkSession
-    if not words:
-        some = table.filter(F.lit(False))
-    else:
-        numbers = sorted({r[0] for r in spark.createDataFrame([(w,) for w in words], "term string").select(bucket("term")).collect()})
-        own = F.col("term").isin(words)
-        some = table.filter(F.col("bucket").isin(numbers) & own) if "bucket" in table.columns else table.filter(own)
+    some = table.filter(F.col("term").isin(words) if words else F.lit(False))
+    if words and buckets:
+        found = table.sparkSession.createDataFrame([(w,) for w in words], "term string").select(bucket("term", buckets)).collect()
+        some = some.filter(F.col("bucket").isin(sorted({r[0] for r in found})))
     entry = F.struct(F.concat_ws(":", "field", "term"), "places")
     grouped = some.groupBy("section_id", "root_id", "path", "n_words").agg(F.map_from_entries(F.collect_list(entry)).alias("places"))
     return grouped.withColumns({"corpus_rows": F.lit(rows).cast("long"), "corpus_mean": F.lit(float(mean_length))})

@@ -56,6 +56,8 @@ class Index:
     postings: DataFrame | None = None
     n_rows: int = 0
     mean_length: float = 0.0
+    buckets: int | None = None
+    _held: list = field(default_factory=list)
 
     def __post_init__(self):
         for name, kind in SECTION.items():
@@ -67,7 +69,16 @@ class Index:
         if self.postings is None:
             return lexical.index(self.sections)
         words = {w for f in forms for c in (*f.clauses, *map(index_words, f.tokens)) for w in c} | {w for a in atoms for w in index_words(a)}
-        return matches(self.postings, words, self.n_rows, self.mean_length)
+        return self.hold(matches(self.postings, words, self.n_rows, self.mean_length, self.buckets))
+
+    def hold(self, rows: DataFrame) -> DataFrame:
+        """Keep rows that several plans of a query read (matches of its words, its hits) until `release`."""
+        self._held.append(rows.persist())
+        return self._held[-1]
+
+    def release(self) -> None:
+        while self._held:
+            self._held.pop().unpersist()
 
     def scope(self, project=None, root_id=None, all_projects=False) -> Scope:
         return resolve_scope(self.roots, self.global_paths, project, root_id, all_projects)
@@ -135,14 +146,15 @@ def lexical_lane(index: Index, query: str, scope: Scope, bound: int, policies: P
     order = Window.orderBy(is_relaxed, key, F.when(is_relaxed, -F.col("score")), "section_id")
     # at most a few bounds of rows are left
     rows = rows.withColumn("lexical_rank", F.row_number().over(order)).filter(F.col("lexical_rank") <= bound)
-    return Lane(rows.select("section_id", F.col("fts_score").alias("lexical_score"), "score", "reason", "lexical_rank"), stale)
+    return Lane(index.hold(rows.select("section_id", F.col("fts_score").alias("lexical_score"), "score", "reason", "lexical_rank")), stale)
 
 
 def search(index: Index, query: str, project: str | None = None, root_id: str | None = None, all_projects: bool = False, limit: int = 20, query_vector: list[float] | None = None, policies: Policies | None = None, refresh: set[str] | None = None) -> DataFrame:
     """The ranked sections for a query (columns of RESULT); with a query vector and an index of vectors, fused.
 
     If a hit's source is not as it was indexed, or a vector in scope is not valid, the
-    result is lexical, and the paths to refresh are added to `refresh`.
+    result is lexical, and the paths to refresh are added to `refresh`. What the plans of
+    a query share stays cached until `index.release()`.
     """
     policies, bound = policies or Policies(), candidate_bound(limit)
     scope = index.scope(project, root_id, all_projects)

@@ -126,8 +126,10 @@ class Engine:
     def _rows(self, query, vector, options) -> tuple[list[dict], set[str]]:
         refresh: set[str] = set()
         index = open_index(self.spark, self.config, self.live)
-        rows = [r.asDict() for r in search(index, query, query_vector=vector, refresh=refresh, **options).collect()]  # `limit` rows
-        return rows, refresh
+        try:
+            return [r.asDict() for r in search(index, query, query_vector=vector, refresh=refresh, **options).collect()], refresh  # `limit` rows
+        finally:
+            index.release()
 
     def _within(self, work, left: float | None):
         """The result of work, or Deadline after `left` seconds, with its jobs cancelled."""

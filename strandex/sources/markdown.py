@@ -32,6 +32,7 @@ SCHEMA = (
     "section_id string, path string, heading string, heading_path array<string>, line_start int, line_end int, "
     "root_id string, text string, content_hash string, note_type string, updated_date string, created_date string"
 )
+SECTION_SCHEMA = SCHEMA + ", links array<string>"
 
 
 def frontmatter(lines: list[str]) -> tuple[dict[str, str | None], int]:
@@ -157,7 +158,7 @@ def split(notes: DataFrame, section_bytes: int = 12000) -> DataFrame:
 
     sections = notes.select("path", "root_id", "content").mapInPandas(run, SCHEMA)
     own = notes.select("path", links(F.col("content").cast("string")).alias("links"))
-    return sections.join(own, "path")
+    return sections.join(own, "path").select(*[x.split(" ")[0] for x in SECTION_SCHEMA.split(", ")])
 
 
 # --- scanning

@@ -27,6 +27,15 @@ from .config import Config, canonical_json
 
 SCHEMA_VERSION = 2
 POINTER = "current.json"
+#: Known schemas: opening a table runs no job.
+SCHEMAS = {
+    "notes": "path string, root_id string, content binary, content_hash string",
+    "files": "path string, root_id string, content_hash string",
+    "new": markdown.SECTION_SCHEMA,
+    "sections": markdown.SECTION_SCHEMA,
+    "postings": postings.SCHEMA + ", bucket int",
+    "vectors": "section_id string, content_hash string, encoder string, vector array<float>",
+}
 
 
 class StoreError(RuntimeError):
@@ -55,7 +64,7 @@ class Store:
             if at is None:
                 raise StoreError("no index")
             generation = at["generation"]
-        return self.spark.read.parquet(self.folder(name, generation))
+        return self.spark.read.schema(SCHEMAS[name]).parquet(self.folder(name, generation))
 
     def write(self, df: DataFrame, name: str, generation: int) -> None:
         df.write.mode("overwrite").parquet(self.folder(name, generation))
@@ -104,7 +113,8 @@ def build(spark: SparkSession, config: Config, rebuild: bool = False, encoder: C
     if old:
         own = own.unionByName(delete_by(store.table("postings", old["generation"]), touched).select(*own.columns))
     size = postings.postings_size(own)
-    postings.write(own, store.folder("postings", generation), parts=max(1, size["rows"] // (postings.FILE_ROWS * postings.BUCKETS)))
+    buckets = postings.buckets_for(size["rows"])
+    postings.write(own, store.folder("postings", generation), buckets, parts=1 + size["rows"] // (postings.BUCKET_ROWS * buckets))
     state = _embed(store, old, sections, generation, encoder, encoder_version)
     changed = not same_sources(live, scan())
     for name in ("notes", "new"):
@@ -115,7 +125,7 @@ def build(spark: SparkSession, config: Config, rebuild: bool = False, encoder: C
         raise StoreError("the sources changed while they were read")
     count = sections.count()
     pointer = {
-        "schema": SCHEMA_VERSION, "generation": generation, "sections": count, "section_bytes": config.section_bytes,
+        "schema": SCHEMA_VERSION, "generation": generation, "sections": count, "section_bytes": config.section_bytes, "buckets": buckets,
         "mean_length": size["words"] / count if count else 0.0, "config": config.fingerprint, "encoder": encoder_version, **state,
     }
     files.replace_text(spark, f"{store.path}/{POINTER}", canonical_json(pointer) + "\n")
@@ -166,4 +176,4 @@ def open_index(spark: SparkSession, config: Config, live: bool = True) -> Index
     g = at["generation"]
     now = markdown.scan(spark, list(config.roots), list(config.private)).select("path", "content_hash") if live else None
     vectors = store.table("vectors", g) if at["state"] == READY else None
-    return Index(store.table("sections", g), list(config.roots), list(config.global_notes), now, vectors, config.synonyms, store.table("postings", g), at["sections"], at["mean_length"])
+    return Index(store.table("sections", g), list(config.roots), list(config.global_notes), now, vectors, config.synonyms, store.table("postings", g), at["sections"], at["mean_length"], at["buckets"])

@@ -174,7 +174,8 @@ def test_golden_cases(spark, tmp_path):
         conf.read_thresholds(f"{tmp_path}/t.toml")
 
 
-def test_run_of_cases(spark, tmp_path):
+def test_run_of_cases(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(evaluation, "ABLATIONS", {"relaxed_matching_disabled": evaluation.ABLATIONS["relaxed_matching_disabled"]})
     os.makedirs(tmp_path / "notes")
     (tmp_path / "notes/a.md").write_text("# Cache\nthe cache budget\n")
     (tmp_path / "notes/b.md").write_text("# Other\nsomething else\n")
@@ -182,7 +183,7 @@ def test_run_of_cases(spark, tmp_path):
     cases = spark.createDataFrame([("DRAFT", "one", "verbatim", "cache budget", ["a.md"], [], False, "p", None, False), ("DRAFT", "two", "abstention", "nowhere", [], [], True, "p", None, False)], conf.CASES)
     go = lambda **k: evaluation.run_cases(spark, config, cases, f"{tmp_path}/run", {"recall": 1.0, "abstention_accuracy": 1.0}, base=f"{tmp_path}/notes", **k)
     first = go(ablate=True)
-    assert first.metrics["passed"] and len(first.metrics["ablations"]) == 6 * 4 and all(d["d_recall"] == 0 for d in first.metrics["ablations"])
+    assert first.metrics["passed"] and len(first.metrics["ablations"]) == 4 and all(d["d_recall"] == 0 for d in first.metrics["ablations"])
     assert not first.metadata["resumed"] and go().metadata["resumed"]
     assert json.loads((tmp_path / "run/result.json").read_text())["metrics"]["passed"]
 
@@ -200,6 +201,6 @@ def test_synthetic_corpus(spark, tmp_path):
 
 
 def test_benchmark_report(spark):
-    report = benchmark.run(spark, 24, 20)
-    assert report["mix"]["valid"] and not report["gate"]["enforced"] and report["modes"]["multi"]["n"] == 12
+    report = benchmark.run(spark, 24, 4)
+    assert report["mix"]["valid"] and not report["gate"]["enforced"] and report["modes"]["multi"]["n"] == 4
     assert "warm_p95_ms" in benchmark.report_text(report)

@@ -78,15 +78,16 @@ def test_limits_come_after_the_scope(views):
 
 def test_postings_on_disk(spark, indexed, tmp_path):
     rows = postings.postings(indexed)
-    postings.write(rows, f"{tmp_path}/p", parts=2)
+    postings.write(rows, f"{tmp_path}/p", 8, parts=2)
     table = spark.read.parquet(f"{tmp_path}/p")
     assert table.count() == rows.count() and postings.postings_size(rows)["words"] == indexed.agg(F.sum("n_words")).first()[0]
-    some = postings.matches(table, ["alpha", "rare"], 120, 9.0)
+    some = postings.matches(table, ["alpha", "rare"], 120, 9.0, 8)
     scan = some._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in scan or "PartitionFilters: [bucket" in scan
     assert "PushedFilters: [In(term" in scan
     assert some.count() == indexed.filter("array_contains(heading_words, 'alpha') OR array_contains(text_words, 'alpha') OR array_contains(heading_words, 'rare') OR array_contains(text_words, 'rare')").count()
     assert postings.matches(table, [], 120, 9.0).count() == 0
+    assert [postings.buckets_for(n) for n in (0, 10**7, 10**12)] == [4, 4, 4096]
 
 
 def test_empty_index(spark):
