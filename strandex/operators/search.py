@@ -72,7 +72,7 @@ class Index:
         return self.hold(matches(self.postings, words, self.n_rows, self.mean_length, self.buckets))
 
     def hold(self, rows: DataFrame) -> DataFrame:
-        """Keep rows that several plans of a query read (matches of its words, its hits) until `release`."""
+        """Keep rows that several plans of a query read until `release`: of a generation only, which never changes, not of live files."""
         self._held.append(rows.persist())
         return self._held[-1]
 
@@ -144,17 +144,18 @@ def lexical_lane(index: Index, query: str, scope: Scope, bound: int, policies: P
     # strict hits by score (with variants by BM25 alone), then the relaxed ones by weight, then score
     key = F.when(is_relaxed, -F.col("weight")).otherwise(F.col("fts_score") if expanded else -F.col("score"))
     order = Window.orderBy(is_relaxed, key, F.when(is_relaxed, -F.col("score")), "section_id")
-    # at most a few bounds of rows are left
+    # at most a few bounds of rows are left; the best, 200 at most, are fetched once for the plans that read them
     rows = rows.withColumn("lexical_rank", F.row_number().over(order)).filter(F.col("lexical_rank") <= bound)
-    return Lane(index.hold(rows.select("section_id", F.col("fts_score").alias("lexical_score"), "score", "reason", "lexical_rank")), stale)
+    best = rows.select("section_id", F.col("fts_score").alias("lexical_score"), "score", "reason", "lexical_rank").toArrow()
+    return Lane(index.sections.sparkSession.createDataFrame(best), stale)
 
 
 def search(index: Index, query: str, project: str | None = None, root_id: str | None = None, all_projects: bool = False, limit: int = 20, query_vector: list[float] | None = None, policies: Policies | None = None, refresh: set[str] | None = None) -> DataFrame:
     """The ranked sections for a query (columns of RESULT); with a query vector and an index of vectors, fused.
 
     If a hit's source is not as it was indexed, or a vector in scope is not valid, the
-    result is lexical, and the paths to refresh are added to `refresh`. What the plans of
-    a query share stays cached until `index.release()`.
+    result is lexical, and the paths to refresh are added to `refresh`. The postings of
+    a query's words stay cached until `index.release()`.
     """
     policies, bound = policies or Policies(), candidate_bound(limit)
     scope = index.scope(project, root_id, all_projects)
