@@ -38,12 +38,19 @@ def index(sections: DataFrame, normalise=index_form_udf) -> DataFrame:
 
 
 def occurrences(words: Column, phrase: Phrase) -> Column:
-    """Times the phrase's words stand next to each other."""
+    """Times the phrase's words stand next to each other.
+
+    The words are bound to a lambda's variable: they are computed once, even where
+    Catalyst puts the tokenizer in the place of the column.
+    """
+    return F.element_at(F.transform(F.array(words), lambda w: _times(w, phrase)), 1)
+
+
+def _times(words: Column, phrase: Phrase) -> Column:
     if len(phrase) == 1:
         return F.size(F.filter(words, lambda x: x == phrase[0]))
     whole = F.array(*[F.lit(w) for w in phrase])
-    n = F.size(words) - len(phrase) + 1
-    places = F.when(n > 0, F.filter(F.transform(words, lambda x, i: F.when(x == phrase[0], i + 1)), lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
+    places = F.filter(F.transform(words, lambda x, i: F.when(x == phrase[0], i + 1)), lambda i: i.isNotNull())
     return F.size(F.filter(places, lambda i: F.slice(words, i, len(phrase)) == whole))
 
 
