@@ -3,12 +3,14 @@
 Base spans are emails, IP addresses, card numbers (Luhn) and phone numbers. Each is a
 protected entity. A term (a word within NEAR words of a mention) reveals entity c as
 far as the corpus lets one infer c from it: disclosure = PMI(c; t) / IC(c), with
-PMI = ln(joint * N / (docs(t) * docs(c))) and IC = ln(N / docs(c)). N, docs(t) and
-docs(c) count documents of the whole corpus, joint those with t near c; a term that
-occurs only near c has 1. Terms from REMOVE on are removed, those from GENERALISE on
-are generalised, if they stand near c in SUPPORT different surroundings at least (one
-text and its copies prove nothing). The counts take one row for each mention's
-neighbour, so they grow with the mentions, not with pairs of entities and terms.
+PMI = ln(share * N / docs(c)) and IC = ln(N / docs(c)). N, docs(t) and docs(c) count
+documents of the whole corpus, joint those with t near c. share is not joint / docs(t)
+itself but its lower confidence bound (level LEVEL, Chernoff), with as much evidence as
+there are different surroundings of t near c: one text and its copies are one observation,
+and every pair is rated, those seen once too. A term that occurs only near c comes the
+closer to 1 the more often it does so, and the larger the corpus is. Terms from REMOVE on
+are removed, those from GENERALISE on are generalised. The counts take one row for each
+mention's neighbour, so they grow with the mentions, not with pairs of entities and terms.
 
 Spans are code points, end exclusive; base spans are never changed by terms. Null text
 counts as empty. Repeated rows count as documents of their own and get the same spans.
@@ -21,6 +23,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +33,7 @@ from .storage import written
 
 KINDS = ("email", "ip", "card", "phone")
 REMOVED, GENERALISED = "removed", "generalised"
-NEAR, SUPPORT, GENERALISE, REMOVE = 3, 3, 0.75, 0.9
+NEAR, LEVEL, GENERALISE, REMOVE = 3, 0.2, 0.75, 0.9
 _SLOTS = 1 << 20  # of the filter for terms to be counted: its size does not depend on the corpus
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -193,19 +196,47 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _signed(h), np.searchsorted(np.cumsum(size), starts, side="right")
 
 
+def share_bound(share: np.ndarray, trials: np.ndarray) -> np.ndarray:
+    """The least q with trials * KL(share || q) <= ln(1 / LEVEL): a lower confidence bound of a share."""
+
+    def divergence(q):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rest = np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - q)), 0)
+            return share * np.log(share / q) + rest
+
+    lo, hi = np.zeros(len(share)), share.astype(float)
+    for _ in range(50):
+        mid = (lo + hi) / 2
+        far = trials * divergence(mid) > np.log(1 / LEVEL)
+        lo, hi = np.where(far, mid, lo), np.where(far, hi, mid)
+    return hi
+
+
 def disclosing_terms(df: DataFrame, base: DataFrame, text: str = "text") -> DataFrame:
     """entity, term, disclosure, action of the terms that reveal an entity."""
     near = base.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.around")
-    around = near.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count("*").alias("support")).filter(F.col("support") >= SUPPORT)
+    around = near.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count("*").alias("support"))
     joint = near.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("joint"))
     pairs = written(joint.join(around, ["entity", "term"]), "disclosure-pairs")
     entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("entity_docs"))
     docs = _term_documents(df, pairs.select("term"), text)
     rated = pairs.join(entities, "entity").join(docs, "term").withColumn("all_docs", F.lit(base.count()))
-    pmi = F.ln(F.col("joint") * F.col("all_docs") / (F.col("docs") * F.col("entity_docs")))
+    return _rated(rated)
+
+
+def _rated(pairs: DataFrame) -> DataFrame:
+    """entity, term, disclosure, action of the pairs with an action, from joint, support, docs, entity_docs, all_docs."""
+
+    @F.pandas_udf("double")
+    def bound(joint, support, docs):
+        share = np.minimum(joint.to_numpy() / docs.to_numpy(), 1.0)
+        # evidence in different texts: copies scale the counts, not the trials
+        return pd.Series(share_bound(share, np.minimum(support.to_numpy(), joint.to_numpy()) / share))
+
     ic = F.ln(F.col("all_docs") / F.col("entity_docs"))
+    pmi = F.ln(bound("joint", "support", "docs")) + ic
     action = F.when(F.col("disclosure") >= REMOVE, REMOVED).when(F.col("disclosure") >= GENERALISE, GENERALISED)
-    return rated.withColumn("disclosure", F.when(ic > 0, pmi / ic)).select("entity", "term", "disclosure", action.alias("action")).filter("action IS NOT NULL")
+    return pairs.withColumn("disclosure", F.when(ic > 0, pmi / ic)).select("entity", "term", "disclosure", action.alias("action")).filter("action IS NOT NULL")
 
 
 def find_personal_data(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -245,6 +245,14 @@ def test_terms_that_disclose_an_entity(spark):
     assert clean[1000].rep == 0.5 and pii.find_personal_data(table(spark, rows).limit(0)).collect() == []
 
 
+def test_terms_of_an_entity_mentioned_once(spark):
+    assert np.allclose(pii.share_bound(np.array([1.0, 1.0]), np.array([1.0, 6.0])), [pii.LEVEL, pii.LEVEL ** (1 / 6)])
+    rows = [(n, f"common words stand here alone number{n}", "en", "s") for n in range(3000)]
+    rows += [(5000, "common words Quagga once@corp.org stand here", "en", "s")]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(table(spark, rows)).collect()}
+    assert got[5000] == "generalised:13:19,email:20:33" and all(got[n] == "" for n in range(3000))
+
+
 # --- packing
 
 
