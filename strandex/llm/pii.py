@@ -1,16 +1,20 @@
-"""Personal data: patterns, then information-theoretic sanitisation of the terms around them.
+"""Personal data: patterns, then information-theoretic sanitisation of the terms that disclose it.
 
 Base spans are emails, IP addresses, card numbers (Luhn) and phone numbers. Each is a
-protected entity. A term (a word within NEAR words of a mention) reveals entity c as
-far as the corpus lets one infer c from it: disclosure = PMI(c; t) / IC(c), with
-PMI = ln(share * N / docs(c)) and IC = ln(N / docs(c)). N, docs(t) and docs(c) count
-documents of the whole corpus, joint those with t near c. share is not joint / docs(t)
-itself but its lower confidence bound (level LEVEL, Chernoff), with as much evidence as
-there are different surroundings of t near c: one text and its copies are one observation,
-and every pair is rated, those seen once too. A term that occurs only near c comes the
-closer to 1 the more often it does so, and the larger the corpus is. Terms from REMOVE on
-are removed, those from GENERALISE on are generalised. The counts take one row for each
-mention's neighbour, so they grow with the mentions, not with pairs of entities and terms.
+protected entity. A term (a word of three bytes or more, outside the base spans) reveals
+entity c as far as the corpus lets one infer c from it: disclosure = PMI(c; t) / IC(c),
+with PMI = ln(share * N / docs(c)) and IC = ln(N / docs(c)). N, docs(t) and docs(c) count
+documents of the whole corpus, joint those with both. share is not joint / docs(t) itself
+but its lower confidence bound (level LEVEL, Chernoff), with as much evidence as there are
+different texts with both: one text and its copies are one observation, and every pair is
+rated, those seen once too. A term that occurs only with c comes the closer to 1 the more
+often it does so, and the larger the corpus is. Terms from REMOVE on are removed, those
+from GENERALISE on are generalised, wherever they occur in the corpus.
+
+A term in more documents than rare_enough allows cannot reach GENERALISE with any entity of
+a text, so only the other terms are paired with the text's entities; no pair with an action
+is lost. The counts thus take a row for each word of the texts with entities, and pairs of
+their rare terms only. Occurrences are found by a filter of fixed size, then exactly.
 
 Spans are code points, end exclusive; base spans are never changed by terms. Null text
 counts as empty. Repeated rows count as documents of their own and get the same spans.
@@ -33,8 +37,9 @@ from .storage import written
 
 KINDS = ("email", "ip", "card", "phone")
 REMOVED, GENERALISED = "removed", "generalised"
-NEAR, LEVEL, GENERALISE, REMOVE = 3, 0.2, 0.75, 0.9
-_SLOTS = 1 << 20  # of the filter for terms to be counted: its size does not depend on the corpus
+LEVEL, GENERALISE, REMOVE = 0.2, 0.75, 0.9
+_HELD = 1 << 20  # terms counted in a task before they are given away
+_SLOTS = 1 << 24  # of the filter for terms to be found: its size does not depend on the corpus
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -42,7 +47,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(rb"[A-Za-z\x80-\xff]+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -92,110 +96,98 @@ def _hash(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
-def term_hashes(words: list[bytes]) -> np.ndarray:
-    if not words:
-        return np.zeros(0, np.int64)
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    return _signed(span_hash(np.frombuffer(b"".join(words), np.uint8), np.cumsum(n) - n, n))
-
-
 def entity(kind: int, value: str) -> int:
     norm = value.lower() if kind == 0 else value if kind == 1 else re.sub("[^0-9]", "", value)
     return _hash(f"{KINDS[kind]}:{norm}".encode())
 
 
-def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, bytes, int, int]]:
-    """(entity, surroundings, term, start, end) of the words near each span that are in no span themselves."""
-    out, reach = [], 24 * NEAR
-    for a, kind, b in spans:
-        before, after = text[max(0, a - reach) : a], text[b : b + reach]
-        raw = before.encode()
-        left = [m for m in _WORD.finditer(raw) if m.start() or a <= reach][-NEAR:]
-        got = [(max(0, a - reach) + len(raw[: m.start()].decode()), m.group()) for m in left]
-        raw = after.encode()
-        right = [m for m in _WORD.finditer(raw) if m.end() < len(raw) or b + reach >= len(text)][:NEAR]
-        got += [(b + len(raw[: m.start()].decode()), m.group()) for m in right]
-        words = [(s, w, s + len(w.decode())) for s, w in got]
-        around, who = _hash(b" ".join(w for _, w, _ in words)), entity(kind, text[a:b])
-        out += [(who, around, w.lower(), s, e) for s, w, e in words if len(w) > 2 and not any(s < y and x < e for x, _, y in spans)]
-    return out
-
-
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-_NEAR_TYPE = "array<struct<entity:long,around:long,term:long,start:long,end:long>>"
+def _outside(text: str, spans: list[tuple[int, int, int]], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Do the words (code points) overlap no base span?"""
+    if not spans:
+        return np.ones(len(starts), bool)
+    edge = np.zeros(len(text) + 2, np.int64)
+    for a, _, b in spans:
+        edge[a] += 1
+        edge[b] -= 1
+    covered = np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
+    return covered[ends] == covered[starts]
+
+
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each lower-cased word, its text, and its start and end in code points of that text."""
+    enc = [t.encode() + b"\n" for t in texts]
+    size = np.fromiter(map(len, enc), np.int64, len(enc))
+    b = np.frombuffer(b"".join(enc), np.uint8)
+    first = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+    b = b + (((b >= 65) & (b <= 90)).astype(np.uint8) << 5)
+    word = ((b >= 97) & (b <= 122)) | (b >= 0x80)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], word.view(np.int8), [0]])))
+    starts, n = edge[::2], edge[1::2] - edge[::2]
+    long = n > 2
+    starts, n = starts[long], n[long]
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 4
+    h = _signed(span_hash(b[spread(starts, n)], np.cumsum(n) - n, n))
+    doc = np.searchsorted(np.cumsum(size), starts, side="right")
+    origin = first[np.cumsum(size) - size][doc]
+    return h, doc, first[starts] - origin, first[starts + n] - origin
 
 
 def base_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """row, key, digest (of the text), counts and spans of every row, and the words near the spans."""
-    schema = f"key long, digest long, n_email long, n_ip long, n_card long, n_phone long, base string, near {_NEAR_TYPE}"
-    near = pa.list_(pa.struct([(n, pa.int64()) for n in ("entity", "around", "term", "start", "end")]))
+    """key, digest (of the text), counts and spans of every row; of those with spans the distinct entities and terms."""
+    schema = "key long, digest long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>, terms array<long>"
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column("t").to_pylist()]
-            counts, base, close, digest = [], [], [], []
-            for t in texts:
-                s = base_spans(t)
-                counts.append([sum(k == i for _, k, _ in s) for i in range(4)])
-                base.append(_joined(s))
-                found = neighbours(t, s) if s else []
-                terms = term_hashes([f[2] for f in found]).tolist()
-                close.append([{"entity": e, "around": c, "term": h, "start": a, "end": b} for (e, c, _, a, b), h in zip(found, terms, strict=True)])
-                digest.append(_hash(t.encode()) if s else 0)
-            cols = {f"n_{k}": pa.array([c[i] for c in counts], pa.int64()) for i, k in enumerate(KINDS)}
-            yield pa.RecordBatch.from_pydict({"key": batch.column("k"), "digest": pa.array(digest, pa.int64())} | cols | {"base": pa.array(base, pa.string()), "near": pa.array(close, near)})
+            keys, texts = batch.column("k"), [t or "" for t in batch.column("t").to_pylist()]
+            for lo, hi in slices(texts):
+                part = texts[lo:hi]
+                spans = [base_spans(t) for t in part]
+                who = [i for i, s in enumerate(spans) if s]
+                h, doc, starts, ends = _words([part[i] for i in who])
+                at = np.searchsorted(doc, np.arange(len(who) + 1))
+                entities, terms = [None] * len(part), [None] * len(part)
+                for j, i in enumerate(who):
+                    w = slice(at[j], at[j + 1])
+                    terms[i] = np.unique(h[w][_outside(part[i], spans[i], starts[w], ends[w])])
+                    entities[i] = sorted({entity(k, part[i][a:b]) for a, k, b in spans[i]})
+                cols = {f"n_{k}": pa.array([sum(x == n for _, x, _ in s) for s in spans], pa.int64()) for n, k in enumerate(KINDS)}
+                own = pa.array([_hash(t.encode()) for t in part], pa.int64())
+                lists = {"entities": pa.array(entities, pa.list_(pa.int64())), "terms": pa.array(terms, pa.list_(pa.int64()))}
+                yield pa.RecordBatch.from_pydict({"key": keys.slice(lo, hi - lo), "digest": own} | cols | {"base": pa.array(map(_joined, spans), pa.string())} | lists)
 
     src = df.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
-    return src.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+    return src.mapInArrow(run, schema)
 
 
-def _term_documents(df: DataFrame, terms: DataFrame, text: str) -> DataFrame:
-    """term, docs: the documents of the whole corpus that hold each of the terms (by a filter of fixed size, then exactly)."""
-    spark = df.sparkSession
-    slots = np.zeros(_SLOTS, bool)
-    # at most _SLOTS rows
-    slots[[r[0] for r in terms.select(F.pmod("term", F.lit(_SLOTS)).alias("s")).distinct().collect()]] = True
-    shared = spark.sparkContext.broadcast(np.packbits(slots))
+def _term_documents(df: DataFrame, text: str) -> DataFrame:
+    """term, docs: the documents of the whole corpus that hold each term."""
 
     def run(batches):
-        wanted = np.unpackbits(shared.value).astype(bool)
-        total: dict[int, int] = {}
+        held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             texts = [t or "" for t in batch.column("t").to_pylist()]
             for lo, hi in slices(texts):
-                h, doc = _words(texts[lo:hi])
-                hit = wanted[h % _SLOTS]
-                pairs = np.unique(np.stack([h[hit], doc[hit]]), axis=1)
-                for t, n in zip(*(x.tolist() for x in np.unique(pairs[0], return_counts=True)), strict=True):
-                    total[t] = total.get(t, 0) + n
-            if len(total) > _SLOTS:
-                yield pa.RecordBatch.from_pydict({"term": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
-                total = {}
-        yield pa.RecordBatch.from_pydict({"term": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
+                h, doc, _, _ = _words(texts[lo:hi])
+                order = np.lexsort((doc, h))
+                h, doc = h[order], doc[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                u, n = np.unique(h[new], return_counts=True)
+                held, back = np.unique(np.concatenate([held, u]), return_inverse=True)
+                counts = np.bincount(back, np.concatenate([counts, n]), len(held)).astype(np.int64)
+                if len(held) > _HELD:
+                    yield pa.RecordBatch.from_pydict({"term": pa.array(held), "n": pa.array(counts)})
+                    held, counts = held[:0], counts[:0]
+        yield pa.RecordBatch.from_pydict({"term": pa.array(held), "n": pa.array(counts)})
 
     return df.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("docs"))
 
 
-def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all lower-cased words, and the text of each."""
-    enc = [t.encode() + b"\n" for t in texts]
-    size = np.fromiter(map(len, enc), np.int64, len(enc))
-    b = np.frombuffer(b"".join(enc), np.uint8)
-    b = b + (((b >= 65) & (b <= 90)).astype(np.uint8) << 5)
-    word = ((b >= 97) & (b <= 122)) | (b >= 0x80)
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], word.view(np.int8), [0]])))
-    starts, n = edge[::2], edge[1::2] - edge[::2]
-    long = n > 2
-    starts, n = starts[long], n[long]
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = span_hash(b[spread(starts, n)], np.cumsum(n) - n, n)
-    return _signed(h), np.searchsorted(np.cumsum(size), starts, side="right")
-
-
 def share_bound(share: np.ndarray, trials: np.ndarray) -> np.ndarray:
     """The least q with trials * KL(share || q) <= ln(1 / LEVEL): a lower confidence bound of a share."""
 
@@ -212,16 +204,24 @@ def share_bound(share: np.ndarray, trials: np.ndarray) -> np.ndarray:
     return hi
 
 
+def rare_enough(entity_docs, all_docs):
+    """The documents that a term can be in at most if it is to reach GENERALISE: share is no more than entity_docs / docs."""
+    return F.pow(entity_docs, F.lit(GENERALISE)) * F.pow(all_docs, F.lit(1 - GENERALISE)) + F.lit(0.001)
+
+
 def disclosing_terms(df: DataFrame, base: DataFrame, text: str = "text") -> DataFrame:
     """entity, term, disclosure, action of the terms that reveal an entity."""
-    near = base.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.around")
-    around = near.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count("*").alias("support"))
-    joint = near.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("joint"))
-    pairs = written(joint.join(around, ["entity", "term"]), "disclosure-pairs")
-    entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("entity_docs"))
-    docs = _term_documents(df, pairs.select("term"), text)
-    rated = pairs.join(entities, "entity").join(docs, "term").withColumn("all_docs", F.lit(base.count()))
-    return _rated(rated)
+    everything = F.lit(base.count())
+    # a row for each text with entities, and how often the corpus has it
+    texts = base.filter("entities IS NOT NULL").groupBy("digest").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count("*").alias("copies"))
+    texts = written(texts, "private-texts")
+    own = texts.select("digest", "copies", F.explode("entities").alias("entity"))
+    entities = written(own.groupBy("entity").agg(F.sum("copies").alias("entity_docs")), "entities")
+    most = own.join(entities, "entity").groupBy("digest").agg(F.max(rare_enough(F.col("entity_docs"), everything)).alias("most"))
+    docs = _term_documents(df, text)
+    rare = texts.join(most, "digest").select("digest", "most", F.explode("terms").alias("term")).join(docs, "term").filter("docs <= most")
+    pairs = rare.join(own, "digest").groupBy("entity", "term").agg(F.sum("copies").alias("joint"), F.count("*").alias("support"), F.first("docs").alias("docs"))
+    return _rated(pairs.join(entities, "entity").withColumn("all_docs", everything))
 
 
 def _rated(pairs: DataFrame) -> DataFrame:
@@ -239,14 +239,44 @@ def _rated(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("disclosure", F.when(ic > 0, pmi / ic)).select("entity", "term", "disclosure", action.alias("action")).filter("action IS NOT NULL")
 
 
+def _slots_of(term) -> list:
+    return [F.pmod(term, F.lit(_SLOTS)), F.pmod(F.shiftrightunsigned(term, 32), F.lit(_SLOTS))]
+
+
+def _occurrences(df: DataFrame, terms: DataFrame, text: str) -> DataFrame:
+    """digest, terms (start, end, action): the places of the terms in every text that holds one."""
+    slot = terms.select(F.explode(F.array(*_slots_of(F.col("term")))).alias("slot"))
+    held = slot.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot & 63))")).alias("bits"))
+    table = np.zeros(_SLOTS // 64, np.int64)
+    rows = held.toPandas()  # at most _SLOTS / 64 rows
+    table[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    def has(slot):
+        return (shared.value[slot >> 6] >> (slot & 63)) & 1 == 1
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column("t").to_pylist()]
+            for lo, hi in slices(texts):
+                h, doc, starts, ends = _words(texts[lo:hi])
+                hit = has(h % _SLOTS) & has((h.view(np.uint64) >> np.uint64(32)).astype(np.int64) % _SLOTS)
+                h, doc, starts, ends = h[hit], doc[hit], starts[hit], ends[hit]
+                digest, free = np.zeros(len(h), np.int64), np.ones(len(h), bool)
+                for i in np.unique(doc).tolist():
+                    w, t = slice(*np.searchsorted(doc, [i, i + 1])), texts[lo + i]
+                    digest[w], free[w] = _hash(t.encode()), _outside(t, base_spans(t), starts[w], ends[w])
+                yield pa.RecordBatch.from_pydict({"digest": digest[free], "term": h[free], "start": starts[free], "end": ends[free]})
+
+    found = df.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, "digest long, term long, start long, end long").distinct()
+    return found.join(terms, "term").groupBy("digest").agg(F.collect_list(F.struct("start", "end", "action")).alias("terms"))
+
+
 def find_personal_data(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, digest, counts, base_sha256, spans (kind:start:end by start, then kind; terms last) of every row."""
     base = written(base_table(df, key, text), "pii-base")
-    terms = written(disclosing_terms(df, base, text), "disclosing-terms")
-    near = base.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.start", "x.end")
     # of several entities that a term reveals, the stricter action holds: removed > generalised
-    found = near.join(terms, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("action").alias("action"))
-    by_row = found.groupBy("row").agg(F.collect_list(F.struct("start", "end", "action")).alias("terms"))
+    terms = written(disclosing_terms(df, base, text).groupBy("term").agg(F.max("action").alias("action")), "disclosing-terms")
 
     def assemble(batches):
         for batch in batches:
@@ -254,14 +284,14 @@ def find_personal_data(df: DataFrame, key: str = "doc_id", text: str = "text") -
             for b, ts in zip(batch.column("base").to_pylist(), batch.column("terms").to_pylist(), strict=True):
                 sha.append(hashlib.sha256(b.encode()).hexdigest())
                 if ts:
-                    spans = [(int(s), KINDS.index(k), int(e), k) for k, s, e in (x.split(":") for x in b.split(","))]
+                    spans = [(int(s), KINDS.index(k), int(e), k) for k, s, e in (x.split(":") for x in b.split(",") if x)]
                     spans += [(t["start"], 4 + (t["action"] == REMOVED), t["end"], t["action"]) for t in ts]
                     b = ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(spans))
                 out.append(b)
             cols = {c: batch.column(c) for c in ("key", "digest", "n_email", "n_ip", "n_card", "n_phone")}
             yield pa.RecordBatch.from_pydict(cols | {"base_sha256": pa.array(sha, pa.string()), "spans": pa.array(out, pa.string())})
 
-    whole = base.drop("near").join(by_row, "row", "left")
+    whole = base.drop("entities", "terms").join(_occurrences(df, terms, text), "digest", "left")
     return whole.mapInArrow(assemble, "key long, digest long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string").withColumnRenamed("key", key)
 
 

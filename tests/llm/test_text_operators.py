@@ -253,6 +253,19 @@ def test_terms_of_an_entity_mentioned_once(spark):
     assert got[5000] == "generalised:13:19,email:20:33" and all(got[n] == "" for n in range(3000))
 
 
+def test_terms_are_found_far_from_the_mention_and_in_other_documents(spark):
+    common = "common words stand here alone"
+    rows = [(n, f"{common} number{n}", "en", "s") for n in range(3000)]
+    rows += [(5000 + n, f"é Quagga {common} {common} boss@corp.org {common} n{n} quagga", "en", "s") for n in range(6)]
+    rows += [(6000, f"{common} QUAGGA", "en", "s")]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(table(spark, rows)).collect()}
+    text = {r[0]: r[1] for r in rows}
+    marked = {n: [text[n][int(a) : int(b)] for k, a, b in (x.split(":") for x in got[n].split(",")) if k in (pii.REMOVED, pii.GENERALISED)] for n in (*range(5000, 5006), 6000)}
+    assert marked == {n: ["Quagga", "quagga"] for n in range(5000, 5006)} | {6000: ["QUAGGA"]}
+    assert all(got[n] == "" for n in range(3000))
+    assert pii.sanitise(text[6000], got[6000]) in (f"{common} ", f"{common} [term]")
+
+
 # --- packing
 
 
