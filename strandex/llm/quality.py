@@ -1,14 +1,21 @@
 """Quality rules with risk-controlled cutoffs.
 
 Each rule is a score that grows with junk. Labelled rows (quality 1: good, 0: bad) are
-the holdout: for every stratum and rule the cutoffs are tested from the loosest to the
-strictest, each with the exact binomial test of "more than `risk` / rules of the good
-rows are rejected", until one test fails (a fixed sequence, which needs no correction
-within itself); over strata and rules the level is divided by their number. So with
+the holdout. A fixed fifth of a stratum's good rows (by a hash of the key) and its bad rows
+lay down a path: rule by rule, the one with the largest gain first (bad rows rejected that
+no earlier rule rejects, less PRICE times the good ones), each from its loosest cutoff to
+that of its gain. The other good rows test the path's rule sets in this order, each with
+the exact binomial test of "more than `risk` of the good rows are rejected by the rules
+together", until one test fails (a fixed sequence, which needs no correction within itself
+and no division of the risk); over strata the level is divided by their number. So with
 probability 1 - `level`, no stratum loses more than `risk` of its good rows to the rules.
-Of the cutoffs that pass, the one with the largest gain (bad rows rejected less PRICE
-times the good ones) is taken, the loosest of equals, and none where no gain is positive.
-A stratum with too few labels for any test to pass has no cutoffs.
+Of the sets that pass, the one with the largest gain is taken, the loosest of equals, and
+none where no gain is positive.
+
+Strata with too few labels for a test of their own are tested together, as one more stratum,
+for which the bound then holds as a whole. Its cutoffs go to those of them that have good
+rows and lose no more than `risk` of the tested ones. A pool that is short of labels takes
+in the next larger stratum; if all strata together are short of them, there are no cutoffs.
 
 Null text has no words; it fails the base rule. A null stratum is a stratum. Several
 labels of a document count as bad if one is; labels of other values are left out.
@@ -27,6 +34,7 @@ from .storage import written
 
 RULES = ("symbols", "capitals", "repeats", "dup_lines", "short_words", "long_words")
 STEPS, PRICE = 100, 20
+GUIDE = 5  # one good row in GUIDE lays down the path, the others test it
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
 
@@ -126,35 +134,109 @@ def upper_bound(x: int, n: int, level: float) -> float:
     return hi
 
 
+def best_cutoff(good: np.ndarray, bad: np.ndarray) -> tuple[int, int]:
+    """good, bad: rows by score. (gain, cutoff c) of the rule "score > c" with the largest gain, the loosest of equals."""
+    lost, caught = (np.cumsum(x[::-1])[::-1][1:] for x in (good, bad))
+    gain = (caught - PRICE * GUIDE * lost)[::-1]
+    at = int(gain.argmax())
+    return int(gain[at]), STEPS - 1 - at
+
+
 def choose(good: np.ndarray, bad: np.ndarray, risk: float, level: float) -> int | None:
-    """good, bad: rows by score. The cutoff c of the best passing rule "score > c", or None."""
+    """good, bad: rows by the step of the path that rejects them first, the kept ones last. The last step to be taken, or None."""
     n = int(good.sum())
-    lost, caught, best = 0, 0, (0, None)
-    for c in range(len(good) - 2, -1, -1):
-        lost, caught = lost + int(good[c + 1]), caught + int(bad[c + 1])
-        if lost > risk * n or binomial_tail(lost, n, risk) > level:
+    lost, caught, tested, best = 0, 0, None, (0, None)
+    for step in range(len(good) - 1):
+        lost, caught = lost + int(good[step]), caught + int(bad[step])
+        if lost != tested and (lost > risk * n or binomial_tail(lost, n, risk) > level):
             break
+        tested = lost
         if (gain := caught - PRICE * lost) > best[0]:
-            best = (gain, c)
+            best = (gain, step)
     return best[1]
 
 
 def cutoffs(feats: DataFrame, labels: DataFrame, risk: float, level: float, key: str = "doc_id", label: str = "quality") -> list[tuple[str | None, dict[str, int]]]:
-    """The cutoff of each rule for each stratum that has labels enough."""
+    """The cutoff of each rule for each stratum that has labels enough, by itself or in the pool."""
+    spark = feats.sparkSession
     own = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("good")).filter("good IN (0, 1)").groupBy("key").agg(F.min("good").alias("good"))
-    least = math.ceil(math.log(level) / math.log1p(-risk / len(RULES)))  # with fewer, no test passes
     held = feats.join(own, "key").filter("n_words >= 50 AND 2 * n_repeat_words <= n_words")  # what the base rule keeps
-    stacked = held.select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), s.alias("score")) for r, s in scores().items()])).alias("x"))
-    counts = stacked.groupBy("stratum", "x.rule", "x.score").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
-    enough = counts.groupBy("stratum").agg((F.sum("good") / len(RULES)).alias("n")).filter(F.col("n") >= least)
-    # at most STEPS + 1 rows for each rule of a stratum, and a stratum has `least` labelled rows
-    rows = counts.alias("c").join(enough.alias("e"), F.col("c.stratum").eqNullSafe(F.col("e.stratum"))).select("c.stratum", "rule", "score", "good", "bad").collect()
-    table: dict = {}
-    for r in rows:
-        both = table.setdefault(r["stratum"], {}).setdefault(r["rule"], np.zeros((2, STEPS + 1), np.int64))
-        both[:, r["score"]] += r["good"], r["bad"]
-    tests = max(1, len(table) * len(RULES))
-    got = [(s, {r: c for r, (g, b) in rules.items() if (c := choose(g, b, risk / len(RULES), level / tests)) is not None}) for s, rules in table.items()]
+    held = written(held.select("stratum", "good", ((F.col("good") == 1) & (F.pmod(F.xxhash64("key"), F.lit(GUIDE)) == 0)).alias("guide"), *[s.alias(r) for r, s in scores().items()]), "quality-holdout")
+
+    def least(tests: int) -> float:  # with fewer rows, no test passes
+        return math.log(level / tests) / math.log1p(-risk)
+
+    # a row for each stratum with labels
+    sizes = held.groupBy("stratum").agg(F.sum(F.when(~F.col("guide"), F.col("good")).otherwise(0)).alias("n"), F.sum("good").alias("good")).collect()
+    sizes.sort(key=lambda r: (-r["n"], r["stratum"] is not None, r["stratum"] or ""))
+    alone = 0
+    while alone < len(sizes) and sizes[alone]["n"] >= least(alone + 1 + (alone + 1 < len(sizes))):
+        alone += 1
+    while alone and 0 < sum(r["n"] for r in sizes[alone:]) < least(alone + 1):
+        alone -= 1  # a pool short of labels takes in the next larger stratum
+    pool = sizes[alone:]
+    tests = alone + (sum(r["n"] for r in pool) > 0)
+    of = {r["stratum"]: min(i, alone) for i, r in enumerate(sizes)}
+    groups = F.broadcast(spark.createDataFrame([(s, g) for s, g in of.items()], "own_stratum string, group int"))
+    held = held.join(groups, F.col("stratum").eqNullSafe(F.col("own_stratum"))).drop("own_stratum")
+
+    def first_step(paths: dict[int, list[tuple[str, int]]]):
+        """The step of its group's path that rejects a row first; the length of the path if none does."""
+        out = F.lit(0)
+        for g, path in paths.items():
+            at, steps = 0, []
+            for rule, cut in path:
+                steps.append(F.when(F.col(rule) > cut, at + F.greatest(F.lit(STEPS - 1) - F.col(rule) + 1, F.lit(0))))
+                at += STEPS - cut
+            out = F.when(F.col("group") == g, F.coalesce(*steps, F.lit(at))).otherwise(out)
+        return out
+
+    paths: dict[int, list[tuple[str, int]]] = {}
+    guides = held.filter("guide OR good = 0")
+    open_groups = list(range(alone + bool(pool)))
+    for _ in RULES:
+        left = guides.filter(F.col("group").isin(open_groups))
+        for g, path in paths.items():
+            left = left.filter((F.col("group") != g) | ~F.greatest(F.lit(0), *[(F.col(r) > c).cast("int") for r, c in path]).cast("boolean"))
+        stacked = left.select("group", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("score")) for r in RULES])).alias("x"))
+        # at most STEPS + 1 rows for each rule of a group
+        table: dict = {}
+        for r in stacked.groupBy("group", "x.rule", "x.score").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")).collect():
+            table.setdefault(r["group"], {}).setdefault(r["rule"], np.zeros((2, STEPS + 1), np.int64))[:, r["score"]] += r["good"], r["bad"]
+        open_groups = []
+        for g, rules in table.items():
+            used = {r for r, _ in paths.get(g, ())}
+            found = [(*best_cutoff(*rules[r]), r) for r in RULES if r in rules and r not in used]
+            gain, cut, rule = max(found, key=lambda x: x[0], default=(0, 0, ""))
+            if gain > 0:
+                paths.setdefault(g, []).append((rule, cut))
+                open_groups.append(g)
+        if not open_groups:
+            break
+    if not paths:
+        return []
+
+    # at most as many rows for a stratum as its path has steps
+    tested = held.filter("NOT guide").withColumn("step", first_step(paths)).filter(F.col("group").isin(list(paths)))
+    counts = tested.groupBy("group", "stratum", "step").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")).collect()
+    got = []
+    for g, path in paths.items():
+        size = sum(STEPS - c for _, c in path) + 1
+        by = {r["stratum"]: np.zeros((2, size), np.int64) for r in counts if r["group"] == g}
+        for r in counts:
+            if r["group"] == g:
+                by[r["stratum"]][:, r["step"]] += r["good"], r["bad"]
+        last = choose(*sum(by.values()), risk, level / tests) if tests and by else None
+        if last is None:
+            continue
+        cuts, at = {}, 0
+        for rule, cut in path:
+            if last >= at:
+                cuts[rule] = max(cut, STEPS - 1 - (last - at))
+            at += STEPS - cut
+        for stratum, (good, _) in by.items():
+            if g < alone or 0 < good.sum() and good[: last + 1].sum() <= risk * good.sum():
+                got.append((stratum, cuts))
     return sorted(got, key=lambda x: (x[0] is not None, x[0] or ""))
 
 

@@ -201,6 +201,28 @@ def test_cutoffs_reject_junk_within_the_risk(spark):
     assert quality.quality_verdicts(table(spark, EDGE).limit(0), labels).collect() == []
 
 
+def test_small_strata_have_cutoffs(spark):
+    rnd = random.Random(8)
+
+    def rows(start, n, tail, lang):
+        return [(start + i, " ".join(f"w{rnd.randrange(5000)}{tail}" for _ in range(60)), lang, "s") for i in range(n)]
+
+    good = rows(0, 400, "x", "en") + rows(1000, 100, "x", "de") + rows(2000, 120, "x", None)
+    bad = rows(5000, 40, "$$$", "en") + rows(6000, 9, "$$$", "de") + rows(7000, 9, "$$$", None)
+    none = rows(8000, 3, "$$$", "xx")  # no labels
+    labels = spark.createDataFrame([(r[0], int(r[0] < 5000)) for r in good + bad], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in quality.quality_verdicts(table(spark, good + bad + none), labels).collect()}
+    assert all(got[r[0]] for r in good + none) and not any(got[r[0]] for r in bad)
+    few = labels.filter("doc_id < 100 OR doc_id >= 5000")
+    assert all(r.kept for r in quality.quality_verdicts(table(spark, good + bad), few).collect())
+
+
+def test_a_path_is_tested_in_order():
+    good, bad = np.array([0, 0, 1, 50, 949]), np.array([0, 30, 40, 90, 0])
+    assert quality.choose(good, bad, 0.02, 0.05) == 2 and quality.choose(good // 9, bad, 0.02, 1e-9) is None
+    assert quality.best_cutoff(np.bincount([3, 4], minlength=101), np.bincount([9, 9, 20], minlength=101)) == (3, 8)
+
+
 # --- personal data
 
 KINDS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([ -]?[0-9])+", r"\+[0-9][ ().0-9-]+[0-9]"]
