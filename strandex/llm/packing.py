@@ -6,6 +6,10 @@ for each document, from the longest to the shortest, the search begins at the sm
 residual that fits and goes to the successor until a bin is compatible, so it ends at
 the tightest compatible bin, or with a new bin. Nothing limits the search.
 
+A duplicate cluster is a component of near_duplicates (its defaults: five words, Jaccard
+index 0.8), with each distinct text as a node, named by its digest: so near copies are
+in one cluster, and rows with a null or repeated key take part as well.
+
 Documents are dealt into shards of about SHARD pieces by a hash, so a shard fits a task
 whatever the corpus' size, and sources and clusters of any frequency are spread over all
 shards; each shard is packed by itself. The price is one set of last bins for a shard.
@@ -18,7 +22,6 @@ with nothing. Repeated rows and rows with a null key are packed like any other.
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_left, insort
 
 import pyarrow as pa
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import bytebpe
 from .flat import map_texts
+from .minhash import near_duplicates
 from .storage import written
 
 SHARD = 4096
@@ -57,16 +61,23 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
     return out
 
 
+def text_digest(text: str = "text"):
+    """64 bits that name a text; null for a null or empty one."""
+    own = F.col(f"`{text}`").cast("string")
+    return F.when(F.length(own) > 0, F.xxhash64(own))
+
+
 def token_items(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """key, n_tokens, source, cluster (a digest of the text) of every row."""
+    """key, n_tokens, source, cluster (of near copies) of every row."""
 
     def run(keys, texts):
-        full = [t or "" for t in texts]
-        cluster = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True) if t else None for t in full]
         strings = [None if s is None else str(s) for s in keys[source]]
-        return {"key": keys[key], "n_tokens": bytebpe.model(path).count(full).tolist(), "source": strings, "cluster": cluster}
+        return {"key": keys[key], "n_tokens": bytebpe.model(path).count([t or "" for t in texts]).tolist(), "source": strings, "digest": keys["_digest"]}
 
-    return map_texts(df, [key, source], text, run, "key long, n_tokens long, source string, cluster long")
+    named = df.withColumn("_digest", text_digest(text))
+    items = map_texts(named, [key, source, "_digest"], text, run, "key long, n_tokens long, source string, digest long")
+    copies = near_duplicates(named, key="_digest", text=text).filter("_digest <> component_id").groupBy("_digest").agg(F.min("component_id").alias("component_id"))
+    return items.join(copies, F.col("digest") == F.col("_digest"), "left").select("key", "n_tokens", "source", F.coalesce("component_id", "digest").alias("cluster"))
 
 
 def pack(items: DataFrame, capacity: int, key: str = "key") -> DataFrame:

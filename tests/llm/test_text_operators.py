@@ -329,3 +329,14 @@ def test_packing_keeps_every_piece(spark):
             named = [of[r.doc_id] for r in rs if of[r.doc_id]]
             assert len(named) == len(set(named))
     assert packing.pack_documents(table(spark, rows).limit(0), BYTE, 64).collect() == []
+
+
+def test_near_copies_share_no_bin(spark):
+    rnd = random.Random(7)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(100)]
+    rows = [(n, " ".join([*words[:n], f"other{n}", *words[n + 1 :]]), "en", f"s{n}") for n in range(0, 100, 20)]
+    rows += [(200, " ".join(words).upper(), "en", "s200"), (None, " ".join(words), "en", "s201"), (4, "  ".join(words), "en", "s202")]
+    rows += [(300 + n, " ".join(f"w{rnd.randrange(5000)}" for _ in range(100)), "en", f"s{300 + n}") for n in range(4)]
+    got = packing.pack_documents(table(spark, rows), BYTE, 5000).collect()
+    near = [r.bin_id for r in got if (r.doc_id or 0) < 300]
+    assert len(near) == len(set(near)) == 8 and len({r.bin_id for r in got}) == 8 and len(got) == 12
