@@ -6,11 +6,12 @@ each letter: the letter with its neighbours, lower-cased, where anything but a
 letter counts as a boundary. The language with most grams decides, after each count
 is corrected for the false positives that the fill of its bits leads to.
 
-Learning counts the grams of all given rows. A language needs SHARE of all letters
-(so there are at most 1 / SHARE), a gram of it RATE of the language's letters (at most
-1 / RATE grams each) and RELATIVE of its highest rate in any language, which keeps
-passages in foreign languages out. These bounds hold for any corpus, so what the
-driver gathers and broadcasts does not grow with it.
+Learning counts the grams of all given rows and learns every language among them, however
+rare. A gram of it needs RATE of the language's letters (so there are at most 1 / RATE
+grams each) and RELATIVE of its highest rate in any language, which keeps passages in
+foreign languages out. For that highest rate SMALL letters are added to each language's,
+so that a few letters of a rare language push no gram out of the others. What the driver
+gathers and broadcasts thus grows with the languages, not with the corpus.
 
 Null text, or one without a letter: `und`, score 0. Ties go to the first name. With no
 labelled rows everything is `und`.
@@ -31,7 +32,7 @@ from .bytebpe import LETTER, _classes
 from .flat import U8, codepoints, map_texts, mix, offsets, slices, sums
 from .storage import written
 
-SHARE, RATE, RELATIVE, HASHES = 1e-3, 1e-5, 0.2, 4
+RATE, RELATIVE, SMALL, HASHES = 1e-5, 0.2, 10_000, 4
 UNKNOWN = "und"
 _HELD = 1_000_000  # distinct grams that a learning task holds before it emits them
 
@@ -132,10 +133,8 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> LanguageFi
     counts = src.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = written(counts, "language-grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    everything = totals.agg(F.sum("total")).first()[0] or 0
-    large = totals.filter(F.col("total") >= SHARE * everything)
-    rated = counts.join(F.broadcast(large), "lang").withColumn("rate", F.col("n") / F.col("total"))  # at most 1 / SHARE rows
-    top = rated.groupBy("gram").agg(F.max("rate").alias("top")).filter(F.col("top") >= RATE)
+    rated = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))  # a row for each language
+    top = rated.filter(F.col("rate") >= RATE).groupBy("gram").agg(F.max(F.col("n") / (F.col("total") + SMALL)).alias("top"))
     kept = rated.filter(F.col("rate") >= RATE).join(top, "gram").filter(F.col("rate") >= RELATIVE * F.col("top")).select("lang", "gram").toPandas()
     return LanguageFilter({name: np.unique(g.to_numpy()) for name, g in kept.groupby("lang")["gram"]})
 

@@ -156,6 +156,18 @@ def test_languages(spark):
     assert langid.predict(table(spark, rows).limit(0), model).collect() == []
 
 
+def test_a_rare_language_is_learned(spark):
+    rnd = random.Random(5)
+    words = ["threng", "worth", "shound", "other", "mother"]
+    rows = [(n, " ".join(rnd.choice(words) for _ in range(400)), "en", "s") for n in range(100)]
+    rare = [(1000 + n, "γλώσσα που είναι σπάνια", "el", "s") for n in range(2)]
+    odd = [(2000, "worth mother", "zz", "s")]  # takes no gram from the others
+    model = langid.learn(table(spark, rows + rare + odd))
+    assert model.languages == ["el", "en", "zz"]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(table(spark, rows + rare), model).collect()}
+    assert all(got[n][0] == "en" for n in range(100)) and all(got[n] == ("el", 1.0) for n in (1000, 1001))
+
+
 # --- quality
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
