@@ -3,18 +3,22 @@
 A shingle's place under the first permutation is a mixed hash, taken modulo the length
 of the second permutation, a table; coordinate k of the signature is the smallest table
 entry k places on, so one contiguous row of the table serves all coordinates of a
-shingle. Bands of ROWS coordinates give the buckets.
+shingle. A coordinate is kept as its low 16 bits. Bands of ROWS coordinates give the
+buckets.
 
 Texts with equal sets are one class, represented by its smallest key. Links between
-classes are found in two passes that need no pairs of all members of a bucket:
+classes are found in passes that need no pairs of all members of a bucket:
   1. each class is checked against one leader of its buckets, the one its signature
      is nearest to, and what is linked becomes components;
-  2. in each bucket with several components left, signatures of members of different
-     components are compared, block by block for large buckets, and pairs that come near
-     the threshold are checked, in the first band they have in common.
+  2. in each bucket with several components left, the members outside its largest one are
+     compared with each other and with that component, in blocks of bounded size:
+     signatures first tell who has a near member in another component, then the exact
+     sizes of all intersections in a block come from a product of incidence matrices.
 Every link counts only after the Jaccard index of the full sets of 64-bit shingle hashes.
-A pair at the threshold shares no bucket with probability 1e-7, and misses the signature
-check with 3e-7; nothing else is dropped, and no bucket or group has a cap.
+Nothing but banding and the signature check of step 2 drops a pair, and no bucket or
+group has a cap. Were the coordinates independent, a pair at the threshold would share no
+bucket with probability 1e-7 and miss the signature check with 3e-7; circulant ones are
+not, so the README gives the measured recall.
 
 Words are runs of anything but space and \\t..\\r, with A-Z lower-cased. A text with fewer
 words than a shingle has one shingle of all its words; one without words, or null, has
@@ -32,14 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import U8, map_texts, mix, raw_words, word_hashes
-from .storage import written
+from .flat import U8, map_texts, mix, raw_words, spread, word_hashes
+from .storage import Scratch, scratch, written
 
 ROWS, BANDS = 5, 40
 COORDS = ROWS * BANDS
 PLACES = 1 << 20
 #: Members and shingles of a bucket that one block holds, about.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+#: Pairs of signatures in one comparison, and shingles in one step of a matrix product.
+_PAIRS, _COLUMNS = 1 << 14, 2048
 _SEED = 20240611
 
 
@@ -76,12 +82,12 @@ def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """COORDS minima of a non-empty set."""
+    """COORDS minima of a non-empty set, the low 16 bits of each."""
     table, place = _table(), (mix(own ^ U8(_SEED)) >> U8(44)).astype(np.int64)
     best = table[place[:1024]].min(0)
     for lo in range(1024, len(place), 1024):
         np.minimum(best, table[place[lo : lo + 1024]].min(0), out=best)
-    return best
+    return best.astype(np.uint16)
 
 
 def _digest(own: np.ndarray) -> tuple[int, int]:
@@ -121,9 +127,9 @@ def signatures(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
 def _sets(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
     def run(keys, texts):
         sets = shingle_sets([t or "" for t in texts], size)
-        return {"key": keys[key], "n": list(map(len, sets)), "set": [s.tobytes() for s in sets], "sig": [signature(s).tobytes() if len(s) else None for s in sets]}
+        return {"key": keys[key], "set": [s.tobytes() for s in sets]}
 
-    return map_texts(df, [key], text, run, "key long, n long, set binary, sig binary")
+    return map_texts(df, [key], text, run, "key long, set binary")
 
 
 def _map(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
@@ -137,7 +143,7 @@ def _map(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
 
 
 def _signature_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDS)
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
@@ -178,13 +184,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _map(pairs.join(y, "b").join(x, "a").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Scratch) -> DataFrame:
     """node, root (the smallest node of its component) of every node of the links (a, b), by alternating stars.
 
     Each step is an aggregation and a join on nodes, so a node with very many links is
     dealt with like any skewed key. Steps end in a written table.
     """
-    edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = tables.written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -192,7 +198,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        edges = written(small, "links")
+        edges = tables.written(small, "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
         if now == before:
             break
@@ -200,41 +206,117 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _blocks(buckets: DataFrame, reps: DataFrame, root: DataFrame) -> DataFrame:
-    """bucket, i, j, rep, root, mine: members of buckets with several components, once for each pair of blocks (i <= j) that has theirs."""
-    named = buckets.join(root, "rep").join(reps.select("rep", "n"), "rep")
-    count = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    mixed = named.groupBy("bucket").agg(count.alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket", "blocks")
-    own = named.join(mixed, "bucket").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return own.select("bucket", "rep", "root", "mine", other.alias("with")).select("bucket", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "rep", "root", "mine")
+def _leader_links(led: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """led: rep, a: a row for each member and leader -> a, b: the link of each class with the leader nearest to it, if it is one."""
+    stars = led.filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
+    nearest = _estimated(stars, reps, percent).groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a"))
+    return _confirmed(nearest, sets, percent)
 
 
-def _near_pairs(t: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, row, equal coordinates) of pairs of a group in different components that may be links and have no earlier band in common."""
-    sig = _signature_rows(t.column("sig"))
-    root, n, mine = (t.column(c).to_numpy() for c in ("root", "n", "mine"))
+def _blocks(named: DataFrame) -> DataFrame:
+    """bucket, i, j, rep, root, mine: members (bucket, rep, root, n), once for each pair of blocks i <= j to be compared.
+
+    Blocks below `rest` hold the members outside the largest component of the bucket, the
+    others that component, whose members are not compared with each other.
+    """
+    own = named.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    whole = own.groupBy("bucket").agg(F.max_by(F.struct("root", "c", "s"), F.struct("c", "root")).alias("most"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("roots")).filter("roots > 1")
+
+    def blocks(c, s):
+        return F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+    plan = whole.select("bucket", F.col("most.root").alias("largest"), blocks(F.col("c") - F.col("most.c"), F.col("s") - F.col("most.s")).alias("rest"), blocks(F.col("most.c"), F.col("most.s")).alias("large"))
+    h = F.xxhash64("rep")
+    inside = F.col("root") == F.col("largest")
+    mine = F.when(inside, F.col("rest") + F.pmod(h, F.col("large"))).otherwise(F.pmod(h, F.col("rest"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(inside, F.col("rest")).otherwise(F.col("rest") + F.col("large")) - 1))
+    dealt = named.join(plan, "bucket").withColumn("mine", mine).select("bucket", "rep", "root", "mine", other.alias("with"))
+    return dealt.select("bucket", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "rep", "root", "mine")
+
+
+def _starts(t: pa.Table) -> np.ndarray:
+    """First rows of the groups (bucket, i, j) of a sorted table, and its length."""
     key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("bucket", "i", "j")], 1)
-    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
-    size = np.diff(np.append(start, len(key)))
-    left = np.repeat(start + size, size) - np.arange(len(key)) - 1  # members of the group behind each
-    cross, least = key[:, 1] != key[:, 2], _near(percent)
-    d, at = 1, np.flatnonzero(left >= 1)
-    while len(at):
-        to = at + d
-        ok = (root[at] != root[to]) & (100 * np.minimum(n[at], n[to]) >= percent * np.maximum(n[at], n[to])) & (~cross[at] | (mine[at] != mine[to]))
-        x, y = at[ok], to[ok]
-        for k in range(0, len(x), 4096):
-            p, q = x[k : k + 4096], y[k : k + 4096]
-            equal = sig[p] == sig[q]
-            total = equal.sum(1)
-            near = np.flatnonzero(total >= least)
-            if len(near):
-                band = equal[near].reshape(-1, BANDS, ROWS).all(2).argmax(1)
-                near = near[_bucket_of(sig[p[near]], band) == key[p[near], 0]]
-                yield p[near], q[near], total[near]
-        d += 1
-        at = at[left[at] >= d]
+    return np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]])
+
+
+def _with_near_member(t: pa.Table, percent: int) -> np.ndarray:
+    """Has the row a member of its group in another component that may be linked with it, with this bucket as their first in common?
+
+    t: whole groups, sorted by bucket, i, j, mine; so the partners of a row follow each other.
+    """
+    sig = _signature_rows(t.column("sig"))
+    bucket, root, n, mine, i, j = (t.column(c).to_numpy() for c in ("bucket", "root", "n", "mine", "i", "j"))
+    starts = _starts(t)
+    group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    row, cross = np.arange(len(sig)), i != j
+    split = starts[:-1] + np.bincount(group, mine == i, len(starts) - 1).astype(np.int64)  # the first row of the right block
+    first = np.where(cross, split[group], row + 1)
+    many = np.where(cross & (mine == j), 0, starts[1:][group] - first)
+    hit, least = np.zeros(len(sig), bool), _near(percent)
+    total = np.cumsum(many)
+    lo = 0
+    while lo < len(sig):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _PAIRS, side="right")))
+        x, y = np.repeat(row[lo:hi], many[lo:hi]), spread(first[lo:hi], many[lo:hi])
+        ok = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[ok], y[ok]
+        equal = sig[x] == sig[y]
+        near = np.flatnonzero(np.count_nonzero(equal, axis=1) >= least)
+        band = equal[near].reshape(-1, BANDS, ROWS).all(2).argmax(1)
+        near = near[_bucket_of(sig[x[near]], band) == bucket[x[near]]]
+        hit[x[near]] = hit[y[near]] = True
+        lo = hi
+    return hit
+
+
+def shared_sizes(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets `left` with other sets, `right`, exactly: a product of incidence matrices, some shingles at a time."""
+    row = np.repeat(np.arange(len(sets)), np.fromiter(map(len, sets), np.int64))
+    _, col, c = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = c > 1  # in a single set, a shingle is in no intersection of two
+    row, col = row[common[col]], (np.cumsum(common) - 1)[col[common[col]]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(left), len(right)))
+    for lo in range(0, int(common.sum()), _COLUMNS):
+        part = slice(*np.searchsorted(col, [lo, lo + _COLUMNS]))
+        m = np.zeros((len(sets), _COLUMNS), np.float32)
+        m[row[part], col[part] - lo] = 1
+        out += m[left] @ m[right].T
+    return out.astype(np.int64)
+
+
+def _joining_links(sets: list[np.ndarray], root: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows linked with each other: for each two components that links of left with right join, directly or not, a chain of links."""
+    n = np.fromiter(map(len, sets), np.int64)
+    shared = shared_sizes(sets, left, right)
+    x, y = np.nonzero((root[left][:, None] != root[right][None]) & (100 * shared >= percent * (n[left][:, None] + n[right][None] - shared)))
+    x, y = left[x], right[y]
+    label, a, b = root.copy(), [], []
+    while len(x):
+        # each component takes its first link; of links in a ring all are good, so they do no harm
+        p = np.concatenate([label[x], label[y]])
+        first = np.unique(np.unique(p, return_index=True)[1] % len(x))
+        a.append(x[first])
+        b.append(y[first])
+        names = np.unique(p)
+        up = np.arange(len(names))
+        for u, v in zip(np.searchsorted(names, label[x[first]]).tolist(), np.searchsorted(names, label[y[first]]).tolist(), strict=True):
+            while up[u] != u:
+                u = up[u]
+            while up[v] != v:
+                v = up[v]
+            up[max(u, v)] = min(u, v)
+        for _ in range(len(names).bit_length()):
+            up = up[up]
+        at = np.searchsorted(names, label)
+        known = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == label)
+        label[known] = names[up[at[known]]]
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
 def _bucket_of(sig: np.ndarray, band: np.ndarray) -> np.ndarray:
@@ -246,7 +328,7 @@ def _bucket_of(sig: np.ndarray, band: np.ndarray) -> np.ndarray:
 
 
 def _by_group(df: DataFrame, fn: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """fn on tables of whole groups (bucket, i, j), which are of bounded size."""
+    """fn on tables of whole groups (bucket, i, j), which are of bounded size, sorted by mine."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []  # rows of the last, unfinished group
@@ -254,89 +336,68 @@ def _by_group(df: DataFrame, fn: Callable[[pa.Table], pa.RecordBatch], schema: s
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([*held, batch]).combine_chunks()
-            b, i, j = (t.column(c).to_numpy() for c in ("bucket", "i", "j"))
-            cut = int(np.argmax((b == b[-1]) & (i == i[-1]) & (j == j[-1])))
+            cut = int(_starts(t)[-2])
             if cut:
                 yield fn(t.slice(0, cut))
             held = t.slice(cut).to_batches()
         if held:
             yield fn(pa.Table.from_batches(held).combine_chunks())
 
-    return df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, schema)
+    return df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "mine").mapInArrow(run, schema)
 
 
-def _crossing_links(buckets: DataFrame, reps: DataFrame, sets: DataFrame, root: DataFrame, percent: int) -> DataFrame:
-    """a, b: links that join the components of each bucket, confirmed on full sets.
-
-    Signatures first tell the members of a group that have a near member in another
-    component; only these come back with their sets. Then the pairs of a group are
-    checked from the nearest on, those already joined by a link not at all, so a group
-    gives at most one link for each member, whatever the number of its pairs.
-    """
-    dealt = _blocks(buckets, reps, root).join(reps.select("rep", "n", "sig"), "rep")
+def _crossing_links(named: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, tables: Scratch) -> DataFrame:
+    """a, b: links that join the components of each bucket (named: bucket, rep, root, n), confirmed on full sets."""
+    dealt = _blocks(named).join(reps.select("rep", "n", "sig"), "rep")
 
-    def involved(t: pa.Table) -> pa.RecordBatch:
-        hit = np.zeros(t.num_rows, bool)
-        for x, y, _ in _near_pairs(t, percent):
-            hit[x] = hit[y] = True
-        rows = t.filter(pa.array(hit)).combine_chunks()
+    def involved(t):
+        rows = t.filter(pa.array(_with_near_member(t, percent))).combine_chunks()
         return pa.RecordBatch.from_pydict({c: rows.column(c).combine_chunks() for c in ("bucket", "i", "j", "rep", "root", "mine")})
 
-    some = written(_by_group(dealt, involved, "bucket long, i int, j int, rep long, root long, mine int"), "crossing-members")
+    some = tables.written(_by_group(dealt.select("bucket", "i", "j", "rep", "root", "mine", "n", "sig"), involved, "bucket long, i int, j int, rep long, root long, mine int"), "crossing-members")
     whole = some.join(sets.withColumnRenamed("key", "rep"), "rep")
 
-    def links(t: pa.Table) -> pa.RecordBatch:
-        found = [np.stack(x) for x in _near_pairs(t, percent)]
-        pairs = np.concatenate([*found, np.zeros((3, 0), np.int64)], axis=1).astype(np.int64)
-        pairs = pairs[:, np.argsort(-pairs[2], kind="stable")]
-        up: dict[int, int] = {}
-
-        def top(x):
-            while (y := up.get(x, x)) != x:
-                up[x] = y = up.get(y, y)
-                x = y
-            return x
-
-        rep, root_, raw = t.column("rep").to_pylist(), t.column("root").to_pylist(), t.column("set")
-        own: dict[int, np.ndarray] = {}
-        a, b = [], []
-        for x, y in pairs[:2].T.tolist():
-            p, q = top(root_[x]), top(root_[y])
-            if p == q:
-                continue
-            for z in (x, y):
-                if z not in own:
-                    own[z] = np.frombuffer(raw[z].as_py(), U8)
-            if jaccard_at_least(own[x], own[y], percent):
-                up[p] = q
-                a.append(rep[x])
-                b.append(rep[y])
-        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def links(t):
+        raw, a, b = t.column("set"), [], []
+        rep, root, mine, i, j = (t.column(c).to_numpy() for c in ("rep", "root", "mine", "i", "j"))
+        starts = _starts(t)
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            own = [np.frombuffer(x.as_buffer(), U8) for x in raw.slice(lo, hi - lo)]
+            left, right = np.flatnonzero(mine[lo:hi] == i[lo]), np.flatnonzero(mine[lo:hi] == j[lo])
+            x, y = _joining_links(own, root[lo:hi], left, right, percent)
+            a.append(rep[lo:hi][x])
+            b.append(rep[lo:hi][y])
+        none = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate([none, *a])), "b": pa.array(np.concatenate([none, *b]))})
 
-    return _by_group(whole.select("bucket", "i", "j", "rep", "root", "mine", "n", "sig", "set"), links, "a long, b long")
+    return _by_group(whole.select("bucket", "i", "j", "rep", "root", "mine", "set"), links, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept (key = component_id) of every row."""
-    sigs = written(signatures(df, size, key, text), "signatures")
+    with scratch(df.sparkSession, "near-duplicates-work") as tables:
+        return written(_near_duplicates(df, size, percent, key, text, tables), "near-duplicates")
+
+
+def _near_duplicates(df: DataFrame, size: int, percent: int, key: str, text: str, tables: Scratch) -> DataFrame:
+    sigs = tables.written(signatures(df, size, key, text), "signatures")
     linked = sigs.filter("key IS NOT NULL AND n > 0")
-    classes = written(linked.groupBy("fa", "fb").agg(F.min("key").alias("rep")), "classes")
+    classes = tables.written(linked.groupBy("fa", "fb").agg(F.min("key").alias("rep")), "classes")
     owners = classes.select(F.col("rep").alias("key")).distinct()
     # a key with several sets is one node of several rows
-    reps = written(linked.join(owners, "key", "left_semi").select(F.col("key").alias("rep"), "n", "fa", "fb", "sig").dropDuplicates(["rep", "fa", "fb"]).drop("fa", "fb"), "representatives")
-    buckets = written(_buckets(reps), "buckets")
+    reps = tables.written(linked.join(owners, "key", "left_semi").select(F.col("key").alias("rep"), "n", "fa", "fb", "sig").dropDuplicates(["rep", "fa", "fb"]).drop("fa", "fb"), "representatives")
+    buckets = tables.written(_buckets(reps), "buckets")
     leaders = buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).filter("a < top").select("bucket", "a")
-    shared = written(buckets.join(leaders, "bucket"), "shared-buckets")
-    stars = shared.filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
-    nearest = _estimated(stars, reps, percent).groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a"))
+    shared = tables.written(buckets.join(leaders, "bucket"), "shared-buckets")
     candidates = shared.select(F.col("rep").alias(key)).distinct()
     texts = df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).join(candidates, key, "left_semi")
-    sets = written(_sets(texts, size, key, text), "shingle-sets")
-    first = written(_confirmed(nearest, sets, percent), "first-links")
-    root = components(first)
-    named = shared.select("rep").distinct().join(root, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root"))
-    second = written(_crossing_links(shared.select("bucket", "rep"), reps, sets, written(named, "first-components"), percent), "second-links")
-    root = components(first.union(second))
+    sets = tables.written(_sets(texts, size, key, text), "shingle-sets")
+    links = tables.written(_leader_links(shared, reps, sets, percent), "leader-links")
+    root = components(links, tables)
+    named = shared.select("bucket", "rep").join(root, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+    named = tables.written(named.join(reps.select("rep", "n"), "rep"), "bucket-components")
+    last = tables.written(_crossing_links(named, reps, sets, percent, tables), "crossing-links")
+    root = components(links.union(last), tables)
     member = sigs.join(classes, ["fa", "fb"], "left").join(root, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("root", "rep", "key")
     return member.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), component).alias("component_id"), (F.col("key").isNull() | (F.col("key") == component)).alias("kept"))

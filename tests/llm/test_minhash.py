@@ -1,10 +1,13 @@
 import random
 import re
+from pathlib import Path
 
+import numpy as np
 import pytest
 
 from strandex.llm import minhash
 from strandex.llm.minhash import components, near_duplicates
+from strandex.llm.storage import scratch
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -69,5 +72,51 @@ def test_null_keys_repeated_rows_and_empty_tables(spark):
 
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 160)] + [(7, 7)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    with scratch(spark, "test") as tables:
+        got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), tables).collect()}
     assert all(got.get(i, 1) == 1 for i in range(2, 41)) and all(got[x] == 100 for x in range(101, 160))
+
+
+def test_large_group_around_the_threshold(spark):
+    """2,000 texts in the same buckets, most of them on the edge of the threshold, in many components."""
+    rnd = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    texts = {}
+    for key in range(2000):
+        w = base[:]
+        for at in rnd.sample(range(60), rnd.choice([2, 4, 5])):
+            w[at] = f"x{rnd.randrange(10**6)}"
+        texts[key] = " ".join(w)
+    sets = [{tuple(w[i : i + 2]) for i in range(59)} for w in (t.split() for t in texts.values())]
+    column = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((2000, len(column)), np.float32)
+    for row, s in enumerate(sets):
+        m[row, [column[x] for x in s]] = 1
+    shared, n = m @ m.T, m.sum(1)
+    near = 100 * shared >= 80 * (n[:, None] + n[None] - shared)
+    label = np.arange(2000)
+    while True:
+        low = np.where(near, label[None], 2000).min(1)
+        if (low == label).all():
+            break
+        label = low
+    rows = near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), 2, 80).collect()
+    assert 100 < len(set(label.tolist())) < 2000
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(label.tolist()))
+
+
+def test_shared_sizes_are_exact():
+    rnd = np.random.default_rng(1)
+    sets = [np.unique(rnd.integers(0, 9000, k)).astype(np.uint64) for k in (1, 5000, 7000, 200, 6000)]
+    left, right = np.array([0, 1]), np.array([2, 3, 4])
+    want = [[len(np.intersect1d(sets[a], sets[b])) for b in right] for a in left]
+    assert minhash.shared_sizes(sets, left, right).tolist() == want
+
+
+def test_work_tables_are_removed(spark):
+    from strandex.llm.storage import shared_dir
+
+    at = Path(re.sub("^file:/+", "/", shared_dir(spark)))
+    before = set(at.iterdir())
+    near_duplicates(spark.createDataFrame([(1, "a b c"), (2, "a b c d")], "doc_id long, text string"), 2, 80)
+    assert [p.name.split("-")[:2] for p in set(at.iterdir()) - before] == [["near", "duplicates"]]

@@ -1,7 +1,6 @@
 """The pipeline's stages on a small corpus with planted cases, and the queries' registration."""
 
 import random
-import re
 
 import corpus_pipeline
 from strandex.llm import minhash, pii
@@ -44,8 +43,13 @@ def test_stages(spark, tmp_path):
         assert t == next(r[1] for r in rows if r[0] == k) or k == 105
 
 
-def test_near_dedup_stage_uses_five_words():
-    assert re.search(r"size: int = 5, percent: int = 80", open(minhash.__file__).read())
+def test_near_dedup_stage_uses_five_words(spark):
+    """A change of the last word of ten leaves 5 of 7 five-word shingles (0.71) and 8 of 10 two-word ones (0.8)."""
+    words = "one two three four five six seven eight nine ten".split()
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(words * 6)), (4, " ".join(words * 6) + " more")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()} == {1, 2, 3}
+    assert {r.doc_id for r in minhash.near_duplicates(docs, size=2, percent=80).filter("kept").collect()} == {1, 3}
 
 
 def test_every_operator_is_registered():
