@@ -1,22 +1,22 @@
 """Byte-pair encoding by vectorised merge rounds over flat symbol arrays.
 
-All distinct words of a slice are encoded together. A round finds, for each word,
-the pair of lowest rank (the leftmost of equals) by a segmented minimum, merges
-these pairs at once, compacts the arrays and looks up only the new neighbours;
-words without a pair leave. A word takes one merge a round, which keeps the order
-of a sequential encoder even where a merge creates a pair of lower rank. Words of
-more than LONG symbols go through a heap instead, which gives the same result.
+All distinct words of a slice are encoded together. A round finds the lowest pair rank of
+each word by a segmented minimum, merges all pairs of that rank at once, the leftmost of
+those that overlap, compacts the arrays and looks up only the new neighbours; words
+without a pair leave. That is the order of a sequential encoder wherever no merge of the
+round makes a pair of a lower rank; for the few merges whose symbol has such a pair,
+`alone`, a word takes the leftmost one in that round.
+
+Words are first cut between neighbours that no symbol holds side by side: no merge can
+cross there, so the parts are words of their own.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
-from .flat import U8, offsets, spread
+from .flat import U8, offsets, spread, sums
 
-LONG = 96
 _NONE = np.int64(1 << 30)
 _EMPTY = U8(0xFFFFFFFFFFFFFFFF)
 
@@ -73,82 +73,78 @@ class Merges:
         self.left, self.right = np.asarray(left, np.int64), np.asarray(right, np.int64)
         self.rank, self.made = np.asarray(rank, np.int64), np.asarray(made, np.int32)
         self.table = HashTable(pair_key(self.left, self.right), np.arange(len(self.left)))
-        self._pairs: dict | None = None
+        # the lowest rank of a pair that the merged symbol is in
+        names = np.unique(np.concatenate([self.left, self.right, self.made]))
+        l, r, m = (np.searchsorted(names, x) for x in (self.left, self.right, self.made))
+        lowest = np.full(len(names), _NONE)
+        np.minimum.at(lowest, l, self.rank)
+        np.minimum.at(lowest, r, self.rank)
+        self.alone = lowest[m] <= self.rank
+        # first and last basic symbol of every symbol, and the neighbours that merges bring together
+        first = last = np.arange(len(names))
+        while True:
+            f, z = first.copy(), last.copy()
+            f[m], z[m] = first[l], last[r]
+            if (f == first).all() and (z == last).all():
+                break
+            first, last = f, z
+        beside = np.unique(pair_key(names[last[l]], names[first[r]]))
+        self.beside = HashTable(beside, np.zeros(len(beside)))
 
     def entries(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.table.get(pair_key(a, b))
 
-    def _one(self, symbols: list[int]) -> list[int]:
-        if self._pairs is None:
-            self._pairs = {(a, b): (r, m) for a, b, r, m in zip(self.left.tolist(), self.right.tolist(), self.rank.tolist(), self.made.tolist(), strict=True)}
-        pairs, n = self._pairs, len(symbols)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(p[0], i, symbols[i], symbols[i + 1], p[1]) for i in range(n - 1) if (p := pairs.get((symbols[i], symbols[i + 1])))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = right[i]
-            if symbols[i] != a or j < 0 or symbols[j] != b:
-                continue
-            symbols[i], symbols[j] = made, -1
-            right[i] = k = right[j]
-            if k >= 0:
-                left[k] = i
-                if p := pairs.get((made, symbols[k])):
-                    heapq.heappush(heap, (p[0], i, made, symbols[k], p[1]))
-            if (h := left[i]) >= 0 and (p := pairs.get((symbols[h], made))):
-                heapq.heappush(heap, (p[0], h, symbols[h], made, p[1]))
-        return [s for s in symbols if s >= 0]
-
     def encode(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat symbols of words, and symbols of each word (none is empty) -> flat ids, ids of each word."""
+        if not len(symbols):
+            return np.zeros(0, np.int32), np.zeros(len(counts), np.int64)
+        begin = np.zeros(len(symbols), bool)
+        begin[1:] = self.beside.get(pair_key(symbols[:-1], symbols[1:])) < 0
+        begin[np.cumsum(counts) - counts] = True
+        starts = np.flatnonzero(begin)
+        ids, n = self._merged(symbols.astype(np.int32), np.diff(np.append(starts, len(symbols))))
+        return ids, sums(n, np.searchsorted(starts, offsets(counts)))
+
+    def _merged(self, sym: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         words = np.arange(len(counts))
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(big := np.flatnonzero(counts > LONG)):
-            off = offsets(counts)
-            for w in big.tolist():
-                ids = np.array(self._one(symbols[off[w] : off[w + 1]].tolist()), np.int32)
-                done.append((np.array([w]), ids, np.array([len(ids)])))
-            short = counts <= LONG
-            symbols, words, counts = symbols[np.repeat(short, counts)], words[short], counts[short]
-        sym, counts = symbols.astype(np.int32), counts.astype(np.int64).copy()
-        if len(sym):
-            entry = np.full(len(sym), -1, np.int32)
-            entry[:-1] = self.entries(sym[:-1], sym[1:])
-            entry[np.cumsum(counts) - 1] = -1
-            rank = np.where(entry >= 0, self.rank[entry], _NONE)
+        entry = np.full(len(sym), -1, np.int32)
+        entry[:-1] = self.entries(sym[:-1], sym[1:])
+        entry[np.cumsum(counts) - 1] = -1
+        rank = np.where(entry >= 0, self.rank[entry], _NONE)
         while len(sym):
-            starts = np.cumsum(counts) - counts
-            low = np.minimum.reduceat((rank << 32) | np.arange(len(sym)), starts)
-            live = low < (_NONE << 32)
-            if not live.all():
-                gone = ~live
-                at = np.repeat(gone, counts)
+            low = np.minimum.reduceat(rank, np.cumsum(counts) - counts)
+            if len(gone := np.flatnonzero(low == _NONE)):
+                at = np.repeat(low == _NONE, counts)
                 done.append((words[gone], sym[at], counts[gone]))
-                at = ~at
+                live, at = low != _NONE, ~at
                 sym, entry, rank = sym[at], entry[at], rank[at]
-                at_new = np.cumsum(at) - 1
                 words, counts, low = words[live], counts[live], low[live]
-                if not len(sym):
-                    break
-                pos = at_new[low & 0xFFFFFFFF]
-            else:
-                pos = low & 0xFFFFFFFF
+            pos = np.flatnonzero(rank == np.repeat(low, counts))
+            if not len(pos):
+                break
+            ends = np.cumsum(counts)
+            owner = np.searchsorted(ends, pos, side="right")
+            # of pairs that follow each other every second one, counted from the leftmost
+            run = np.ones(len(pos), bool)
+            run[1:] = pos[1:] != pos[:-1] + 1
+            place = np.arange(len(pos))
+            take = (place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 0
+            take[1:] &= ~(self.alone[entry[pos[1:]]] & (owner[1:] == owner[:-1]))
+            pos, owner = pos[take], owner[take]
             sym[pos] = self.made[entry[pos]]
             keep = np.ones(len(sym), bool)
             keep[pos + 1] = False
             sym, entry, rank = sym[keep], entry[keep], rank[keep]
-            counts -= 1
+            counts = counts - np.bincount(owner, minlength=len(counts))
+            ends = np.cumsum(counts)
             pos = pos - np.arange(len(pos))
-            starts = np.cumsum(counts) - counts
-            for at, ok in ((pos, pos + 1 < starts + counts), (pos - 1, pos > starts)):
+            for at, ok in ((pos, pos + 1 < ends[owner]), (pos - 1, pos > (ends - counts)[owner])):
                 here = at[ok]
                 e = self.entries(sym[here], sym[here + 1])
                 entry[here], rank[here] = e, np.where(e >= 0, self.rank[e], _NONE)
                 if at is pos:
                     entry[at[~ok]], rank[at[~ok]] = -1, _NONE
-        if not done:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         w, c = np.concatenate([d[0] for d in done]), np.concatenate([d[2] for d in done])
         flat, order = np.concatenate([d[1] for d in done]), np.argsort(w, kind="stable")
         first = (np.cumsum(c) - c)[order]
