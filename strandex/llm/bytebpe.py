@@ -58,6 +58,7 @@ class ByteBPE:
         self.merges = Merges([vocab[a] for a, _ in pairs], [vocab[b] for _, b in pairs], range(len(pairs)), [vocab[a + b] for a, b in pairs])
         self.seen: HashTable | None = None
         self.specials = [(t["content"], t["id"]) for t in spec["added_tokens"]]
+        self.largest_id = max([*vocab.values(), *(n for _, n in self.specials)])
 
     def pretokens(self, texts: list[str]):
         """(code points, piece starts, piece lengths, pieces by document)."""

@@ -7,6 +7,7 @@ order. Merkle roots (of the chunks of each document, and of each file of chunks)
 let a reader verify what it reads. The tables are Parquet, in a folder that driver
 and executors share:
 
+  format    width (bytes of an id: 2 or 4, as the tokenizer's largest id needs)
   chunks    name, ids (little-endian unsigned, `width` bytes each), file, place
   recipes   key, n_tokens, names, root, part, place, before (ids before it in its part)
   manifest  file, n_chunks, root (of the chunk names of that file, in order)
@@ -15,7 +16,10 @@ and executors share:
 Null text counts as empty; with an end id such a document has one token. Rows with
 equal keys follow each other in the order of their roots. Rows with a null key come
 first. Cuts depend on the ids alone, so equal passages share chunks wherever they are.
-Hot chunks: each task sends a chunk once at most.
+A chunk that many documents share is sent once for each batch of rows when it is stored;
+documents with equal roots take part in the join with their chunks once. What is left of
+a chunk in very many different recipes is a skewed key of narrow rows, which adaptive
+execution splits. No task holds more than a batch, a document or a tree's edge.
 """
 
 from __future__ import annotations
@@ -72,13 +76,36 @@ def chunk_ends(n: int, cuts: list[int]) -> list[int]:
     return ends
 
 
+class Tree:
+    """A binary Merkle tree that takes its leaves one by one; an odd node moves up unchanged. No leaf: the digest of nothing."""
+
+    def __init__(self):
+        self.edge: list[tuple[int, bytes]] = []  # (height, digest) of whole subtrees, falling
+
+    def add(self, leaf: bytes) -> None:
+        at, x = 0, hashlib.blake2b(b"\0" + leaf, digest_size=16).digest()
+        while self.edge and self.edge[-1][0] == at:
+            at, x = at + 1, self._both(self.edge.pop()[1], x)
+        self.edge.append((at, x))
+
+    @staticmethod
+    def _both(a: bytes, b: bytes) -> bytes:
+        return hashlib.blake2b(b"\1" + a + b, digest_size=16).digest()
+
+    def root(self) -> bytes:
+        if not self.edge:
+            return hashlib.blake2b(digest_size=16).digest()
+        x = self.edge[-1][1]
+        for _, left in self.edge[-2::-1]:
+            x = self._both(left, x)
+        return x
+
+
 def merkle(leaves: list[bytes]) -> bytes:
-    """Root of a binary tree; an odd node moves up unchanged. No leaf: the digest of nothing."""
-    level = [hashlib.blake2b(b"\0" + x, digest_size=16).digest() for x in leaves] or [hashlib.blake2b(digest_size=16).digest()]
-    while len(level) > 1:
-        nxt = [hashlib.blake2b(b"\1" + a + b, digest_size=16).digest() for a, b in zip(level[::2], level[1::2], strict=False)]
-        level = nxt + level[len(nxt) * 2 :]
-    return level[0]
+    tree = Tree()
+    for x in leaves:
+        tree.add(x)
+    return tree.root()
 
 
 def name_of(ids: bytes) -> bytes:
@@ -109,40 +136,39 @@ def _encoded(df: DataFrame, path: str, end_id: int | None, width: int, key: str,
     return map_texts(df, [key], text, run, "key long, n_tokens long, ids binary, ends array<int>, names array<binary>, root binary")
 
 
-def write_store(df: DataFrame, path: str, end_id: int | None = None, key: str = "doc_id", text: str = "text", vocabulary: int = 1 << 16) -> str:
+def write_store(df: DataFrame, path: str, end_id: int | None = None, key: str = "doc_id", text: str = "text") -> str:
     """Encode every text with the tokenizers file at `path` and write the store; returns its folder."""
-    spark, width = df.sparkSession, 2 if vocabulary <= 1 << 16 else 4
+    spark = df.sparkSession
+    largest = max(bytebpe.model(path).largest_id, end_id or 0)
+    width = 2 if largest < 1 << 16 else 4
     at = new_path(spark, "chunk-store")
     stage = f"{at}/stage"
+    spark.createDataFrame([(width,)], "width int").coalesce(1).write.parquet(f"{at}/format")
     _encoded(df, path, end_id, width, key, text).write.option("compression", "zstd").parquet(stage)
     staged = spark.read.parquet(stage)
 
     def pieces(batches):
-        seen: set[bytes] = set()
         for batch in batches:
-            names, chunks = [], []
+            found: dict[bytes, bytes] = {}
             for ids, ends, own in zip(*(batch.column(c).to_pylist() for c in ("ids", "ends", "names")), strict=True):
                 for a, b, name in zip([0, *ends], ends, own, strict=False):
-                    if name not in seen:
-                        seen.add(name)
-                        names.append(name)
-                        chunks.append(ids[a * width : b * width])
-            yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.binary()), "ids": pa.array(chunks, pa.binary())})
+                    if name not in found:
+                        found[name] = ids[a * width : b * width]
+            yield pa.RecordBatch.from_pydict({"name": pa.array(found.keys(), pa.binary()), "ids": pa.array(found.values(), pa.binary())})
 
     def once(batches):
-        seen: set[bytes] = set()
-        file, place = TaskContext.get().partitionId(), 0
+        file, place, last = TaskContext.get().partitionId(), 0, None
         for batch in batches:
             new = []
             for i, name in enumerate(batch.column("name").to_pylist()):
-                if name not in seen:
-                    seen.add(name)
+                if name != last:
                     new.append(i)
+                last = name
             kept = batch.take(pa.array(new, pa.int64()))
             yield pa.RecordBatch.from_pydict({"name": kept.column("name"), "ids": kept.column("ids"), "file": pa.array([file] * len(new), pa.int64()), "place": pa.array(range(place, place + len(new)), pa.int64())})
             place += len(new)
 
-    unique = staged.select("ids", "ends", "names").mapInArrow(pieces, "name binary, ids binary").repartition("name").mapInArrow(once, "name binary, ids binary, file long, place long")
+    unique = staged.select("ids", "ends", "names").mapInArrow(pieces, "name binary, ids binary").repartition("name").sortWithinPartitions("name").mapInArrow(once, "name binary, ids binary, file long, place long")
     unique.write.option("compression", "zstd").parquet(f"{at}/chunks")
 
     def placed(batches):
@@ -157,29 +183,7 @@ def write_store(df: DataFrame, path: str, end_id: int | None = None, key: str =
     order = staged.select("key", "n_tokens", "names", "root").repartitionByRange("key").sortWithinPartitions("key", "root")
     order.mapInArrow(placed, "key long, n_tokens long, names array<binary>, root binary, part long, place long, before long").write.parquet(f"{at}/recipes")
     remove(spark, stage)
-    _manifest(spark, at)
-    return at
-
-
-def _manifest(spark: SparkSession, at: str) -> None:
-    def roots(batches):
-        names: list[tuple[int, bytes]] = []
-        file = None
-        for batch in batches:
-            for f, p, n in zip(*(batch.column(c).to_pylist() for c in ("file", "place", "name")), strict=True):
-                if f != file and names:
-                    yield row(file, names)
-                    names = []
-                file = f
-                names.append((p, n))
-        if names:
-            yield row(file, names)
-
-    def row(file, names):
-        return pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int64()), "n_chunks": pa.array([len(names)], pa.int64()), "root": pa.array([merkle([n for _, n in sorted(names)])], pa.binary())})
-
-    names = spark.read.parquet(f"{at}/chunks").select("file", "place", "name")
-    names.repartition("file").sortWithinPartitions("file", "place").mapInArrow(roots, "file long, n_chunks long, root binary").write.parquet(f"{at}/manifest")
+    _file_roots(spark, at).write.parquet(f"{at}/manifest")
     # one row for each part of the recipes: as many as there are partitions
     sizes = spark.read.parquet(f"{at}/recipes").groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()
     start, rows = 0, []
@@ -187,6 +191,31 @@ def _manifest(spark: SparkSession, at: str) -> None:
         rows.append((r["part"], start))
         start += r["n"]
     spark.createDataFrame(rows, "part long, start long").coalesce(1).write.parquet(f"{at}/totals")
+    return at
+
+
+def _file_roots(spark: SparkSession, at: str) -> DataFrame:
+    """file, n_chunks, root of every file of chunks, as it is now."""
+
+    def roots(batches):
+        file, n, tree = None, 0, Tree()
+
+        def row():
+            return pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int64()), "n_chunks": pa.array([n], pa.int64()), "root": pa.array([tree.root()], pa.binary())})
+
+        for batch in batches:
+            for f, name in zip(batch.column("file").to_pylist(), batch.column("name").to_pylist(), strict=True):
+                if f != file:
+                    if n:
+                        yield row()
+                    file, n, tree = f, 0, Tree()
+                tree.add(name)
+                n += 1
+        if n:
+            yield row()
+
+    names = spark.read.parquet(f"{at}/chunks").select("file", "place", "name")
+    return names.repartition("file").sortWithinPartitions("file", "place").select("file", "name").mapInArrow(roots, "file long, n_chunks long, root binary")
 
 
 @lru_cache(maxsize=1)
@@ -231,15 +260,24 @@ def _chunks_read(spark: SparkSession, at: str, width: int) -> DataFrame:
 
 
 def _recipe_chunks(spark: SparkSession, at: str) -> DataFrame:
-    return spark.read.parquet(f"{at}/recipes").select("key", "part", "place", "root", F.posexplode("names").alias("i", "name"))
+    """root, i, name: the chunks of each distinct recipe."""
+    recipes = spark.read.parquet(f"{at}/recipes").groupBy("root").agg(F.first("names").alias("names"))
+    return recipes.select("root", F.posexplode("names").alias("i", "name"))
+
 
+def _width(spark: SparkSession, at: str) -> int:
+    return spark.read.parquet(f"{at}/format").first()["width"]
 
-def store_digests(spark: SparkSession, at: str, key: str = "doc_id", width: int = 2) -> DataFrame:
+
+def store_digests(spark: SparkSession, at: str, key: str = "doc_id") -> DataFrame:
     """key, start, n_tokens, ids_crc32 of each document, from the files of the store.
 
-    The bytes of each unique chunk are read and hashed once; a document's CRC is put
-    together from those of its chunks, after its Merkle root has been verified.
+    The manifest is verified first. The bytes of each unique chunk are read and hashed
+    once; a document's CRC is put together from those of its chunks, after its Merkle root
+    has been verified. What is missing, or not as long as its recipe says, is an error.
     """
+    if not verify_manifest(spark, at).isEmpty():
+        raise ValueError("files of chunks differ from the manifest")
 
     def join(batches):
         for batch in batches:
@@ -250,41 +288,37 @@ def store_digests(spark: SparkSession, at: str, key: str = "doc_id", width: int
                     raise ValueError("a recipe's chunks do not give its root")
                 crc.append(crc_join([(c["crc"], c["n"]) for c in own]))
                 n.append(sum(c["n"] for c in own))
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("part", "place")} | {"n": pa.array(n, pa.int64()), "crc": pa.array(crc, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"root": batch.column("root"), "n": pa.array(n, pa.int64()), "crc": pa.array(crc, pa.int64())})
 
-    parts = _recipe_chunks(spark, at).join(_chunks_read(spark, at, width), "name")
-    docs = parts.groupBy("part", "place").agg(F.first("root").alias("root"), F.collect_list(F.struct("i", "name", "n", "crc")).alias("chunks")).mapInArrow(join, "part long, place long, n long, crc long")
-    recipes = spark.read.parquet(f"{at}/recipes").select("key", "part", "place", "before", "n_tokens")
+    parts = _recipe_chunks(spark, at).join(_chunks_read(spark, at, _width(spark, at)), "name")
+    docs = parts.groupBy("root").agg(F.collect_list(F.struct("i", "name", "n", "crc")).alias("chunks")).mapInArrow(join, "root binary, n long, crc long")
+    recipes = spark.read.parquet(f"{at}/recipes").select("key", "part", "root", "before", "n_tokens")
     starts = F.broadcast(spark.read.parquet(f"{at}/totals"))  # a row for each partition of the recipes
-    out = recipes.join(docs, ["part", "place"], "left").join(starts, "part")
-    return out.select(F.col("key").alias(key), (F.col("start") + F.col("before")).alias("start"), F.coalesce("n", F.lit(0)).alias("n_tokens"), F.coalesce("crc", F.lit(0)).alias("ids_crc32"))
+    out = recipes.join(docs, "root", "left").join(starts, "part").withColumn("n", F.coalesce("n", F.lit(0)))
+    whole = F.when(F.col("n") == F.col("n_tokens"), F.col("n")).otherwise(F.raise_error("a document's chunks are missing").cast("long"))
+    return out.select(F.col("key").alias(key), (F.col("start") + F.col("before")).alias("start"), whole.alias("n_tokens"), F.coalesce("crc", F.lit(0)).alias("ids_crc32"))
 
 
-def store_documents(spark: SparkSession, at: str, key: str = "doc_id", width: int = 2) -> DataFrame:
+def store_documents(spark: SparkSession, at: str, key: str = "doc_id") -> DataFrame:
     """key, ids array<int>: the documents put together from their chunks."""
+    width = _width(spark, at)
 
     def join(batches):
         for batch in batches:
             ids = [np.frombuffer(b"".join(c["ids"] for c in sorted(chunks, key=lambda c: c["i"])), f"<u{width}").astype(np.int32) for chunks in batch.column("chunks").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "ids": pa.array(ids, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"root": batch.column("root"), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     chunks = spark.read.parquet(f"{at}/chunks").select("name", "ids")
-    parts = _recipe_chunks(spark, at).join(chunks, "name").groupBy("part", "place").agg(F.collect_list(F.struct("i", "ids")).alias("chunks"))
-    recipes = spark.read.parquet(f"{at}/recipes").select("key", "part", "place")
-    whole = recipes.join(parts, ["part", "place"], "left").select("key", F.coalesce("chunks", F.array().cast("array<struct<i:int,ids:binary>>")).alias("chunks"))
-    return whole.mapInArrow(join, "key long, ids array<int>").withColumnRenamed("key", key)
+    parts = _recipe_chunks(spark, at).join(chunks, "name").groupBy("root").agg(F.collect_list(F.struct("i", "ids")).alias("chunks"))
+    recipes = spark.read.parquet(f"{at}/recipes").select("key", "root")
+    whole = recipes.join(parts.mapInArrow(join, "root binary, ids array<int>"), "root", "left")
+    return whole.select(F.col("key").alias(key), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
 def verify_manifest(spark: SparkSession, at: str) -> DataFrame:
     """Files of chunks whose number or Merkle root is not that of the manifest; empty for a sound store."""
-    names = spark.read.parquet(f"{at}/chunks").groupBy("file").agg(F.sort_array(F.collect_list(F.struct("place", "name"))).alias("names"))
-
-    def roots(batches):
-        for batch in batches:
-            got = [merkle([c["name"] for c in ns]) for ns in batch.column("names").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"file": batch.column("file"), "got": pa.array(got, pa.binary())})
-
-    return spark.read.parquet(f"{at}/manifest").join(names.mapInArrow(roots, "file long, got binary"), "file", "full").filter("NOT (root <=> got)")
+    now = _file_roots(spark, at).withColumnsRenamed({"n_chunks": "n_now", "root": "root_now"})
+    return spark.read.parquet(f"{at}/manifest").join(now, "file", "full").filter("NOT (root <=> root_now AND n_chunks <=> n_now)")
 
 
-__all__ = ["chunk_ends", "crc_join", "cut_points", "merkle", "store_digests", "store_documents", "verify_manifest", "write_store"]
+__all__ = ["Tree", "chunk_ends", "crc_join", "cut_points", "merkle", "store_digests", "store_documents", "verify_manifest", "write_store"]
