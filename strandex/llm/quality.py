@@ -1,8 +1,8 @@
 """Quality rules with risk-controlled cutoffs.
 
 Each rule is a score that grows with junk. Labelled rows (quality 1: good, 0: bad) are
-the holdout. A fixed fifth of a stratum's good rows (by a hash of the key) and its bad rows
-lay down a path: rule by rule, the one with the largest gain first (bad rows rejected that
+the holdout; copies of a text in a stratum are one row of it, bad if one of them is. A fixed
+fifth of a stratum's good rows (by a hash of the text) and its bad rows lay down a path: rule by rule, the one with the largest gain first (bad rows rejected that
 no earlier rule rejects, less PRICE times the good ones), each from its loosest cutoff to
 that of its gain. The other good rows test the path's rule sets in this order, each with
 the exact binomial test of "more than `risk` of the good rows are rejected by the rules
@@ -89,15 +89,16 @@ def _lines(b, off, starts, lengths) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(df: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """key, stratum and the counts of every text."""
+    """key, stratum, digest of the text and the counts of every text."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters"]
 
     def run(keys, texts):
         got = text_features([t or "" for t in texts])
         strata = [None if s is None else str(s) for s in keys[stratum]]
-        return {"key": keys[key], "stratum": strata} | {n: got[n].tolist() for n in names}
+        return {"key": keys[key], "stratum": strata, "digest": keys["_digest"]} | {n: got[n].tolist() for n in names}
 
-    return map_texts(df, [key, stratum], text, run, "key long, stratum string, " + ", ".join(f"{n} long" for n in names))
+    named = df.withColumn("_digest", F.xxhash64(F.col(f"`{text}`").cast("string")))
+    return map_texts(named, [key, stratum, "_digest"], text, run, "key long, stratum string, digest long, " + ", ".join(f"{n} long" for n in names))
 
 
 def scores() -> dict:
@@ -161,7 +162,9 @@ def cutoffs(feats: DataFrame, labels: DataFrame, risk: float, level: float, key:
     spark = feats.sparkSession
     own = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("good")).filter("good IN (0, 1)").groupBy("key").agg(F.min("good").alias("good"))
     held = feats.join(own, "key").filter("n_words >= 50 AND 2 * n_repeat_words <= n_words")  # what the base rule keeps
-    held = written(held.select("stratum", "good", ((F.col("good") == 1) & (F.pmod(F.xxhash64("key"), F.lit(GUIDE)) == 0)).alias("guide"), *[s.alias(r) for r, s in scores().items()]), "quality-holdout")
+    held = held.select("stratum", "digest", "good", *[s.alias(r) for r, s in scores().items()])
+    held = held.groupBy("stratum", "digest").agg(F.min("good").alias("good"), *[F.first(r).alias(r) for r in RULES])  # copies have equal scores
+    held = written(held.withColumn("guide", (F.col("good") == 1) & (F.pmod(F.xxhash64("digest"), F.lit(GUIDE)) == 0)), "quality-holdout")
 
     def least(tests: int) -> float:  # with fewer rows, no test passes
         return math.log(level / tests) / math.log1p(-risk)
@@ -241,14 +244,14 @@ def cutoffs(feats: DataFrame, labels: DataFrame, risk: float, level: float, key:
 
 
 def judge(feats: DataFrame, cuts: list[tuple[str | None, dict[str, int]]]) -> DataFrame:
-    """feats with base_failed, rejected_by (the first rule that rejects, or null) and kept."""
+    """feats with base_failed, rejected_by (the first rule that rejects what the base rule keeps, or null) and kept."""
     spark = feats.sparkSession
     kinds = "cut_stratum string, " + ", ".join(f"cut_{r} int" for r in RULES)
     table = F.broadcast(spark.createDataFrame([(s, *[c.get(r) for r in RULES]) for s, c in cuts], kinds))  # a row for each stratum
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     why = F.coalesce(*[F.when(s > F.col(f"cut_{r}"), F.lit(r)) for r, s in scores().items()])
     joined = feats.join(table, F.col("stratum").eqNullSafe(F.col("cut_stratum")), "left")
-    return joined.withColumn("base_failed", base).withColumn("rejected_by", why).withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("cut_stratum", *[f"cut_{r}" for r in RULES])
+    return joined.withColumn("base_failed", base).withColumn("rejected_by", F.when(~F.col("base_failed"), why)).withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("cut_stratum", "digest", *[f"cut_{r}" for r in RULES])
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
