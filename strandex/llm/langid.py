@@ -10,8 +10,9 @@ Learning counts the grams of all given rows and learns every language among them
 rare. A gram of it needs RATE of the language's letters (so there are at most 1 / RATE
 grams each) and RELATIVE of its highest rate in any language, which keeps passages in
 foreign languages out. For that highest rate SMALL letters are added to each language's,
-so that a few letters of a rare language push no gram out of the others. What the driver
-gathers and broadcasts thus grows with the languages, not with the corpus.
+so that a few letters of a rare language push no gram out of the others. The driver thus
+gathers 1 / RATE grams of 8 bytes for each language at most (0.8 MB), language by language,
+and broadcasts 2 MB of filter for each; neither grows with the corpus.
 
 Null text, or one without a letter: `und`, score 0. Ties go to the first name. With no
 labelled rows everything is `und`.
@@ -135,8 +136,9 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> LanguageFi
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))  # a row for each language
     top = rated.filter(F.col("rate") >= RATE).groupBy("gram").agg(F.max(F.col("n") / (F.col("total") + SMALL)).alias("top"))
-    kept = rated.filter(F.col("rate") >= RATE).join(top, "gram").filter(F.col("rate") >= RELATIVE * F.col("top")).select("lang", "gram").toPandas()
-    return LanguageFilter({name: np.unique(g.to_numpy()) for name, g in kept.groupby("lang")["gram"]})
+    kept = rated.filter(F.col("rate") >= RATE).join(top, "gram").filter(F.col("rate") >= RELATIVE * F.col("top")).groupBy("lang").agg(F.collect_list("gram").alias("grams"))
+    # a row of at most 1 / RATE grams for each language
+    return LanguageFilter({r["lang"]: np.unique(np.array(r["grams"], np.int64)) for r in kept.toLocalIterator()})
 
 
 def predict(df: DataFrame, model: LanguageFilter, key: str = "doc_id", text: str = "text") -> DataFrame:
