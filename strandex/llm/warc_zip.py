@@ -290,9 +290,10 @@ def read_packages(packages: DataFrame) -> DataFrame:
 def archive_pages(pages: DataFrame, root: str, least_bytes: int = 0, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write one record for each row of pages into packages below root; returns the table of packages.
 
-    Payloads are compared by digest and length. Only pages whose digest occurs more
-    than once take part in the join that marks revisits; it is on the page id, so a
-    payload that many pages share does not meet in one task.
+    Payloads are compared by digest. Only pages whose digest occurs more than once
+    take part in the join that marks revisits; it is on page id and digest, so a payload
+    that many pages share does not meet in one task, and rows that repeat a page id with
+    another payload keep a record of their own.
     """
 
     def digests(keys, texts):
@@ -301,14 +302,14 @@ def archive_pages(pages: DataFrame, root: str, least_bytes: int = 0, page: str =
 
     own = written(map_texts(pages, [page], html, digests, "p long, sha string, n long"), "page-digests")
     groups = own.filter(F.col("n") >= least_bytes).groupBy("sha").agg(F.min("p").alias("first"), F.count("*").alias("c")).filter("c > 1 AND first IS NOT NULL").select("sha", "first")
-    again = own.join(groups, "sha").filter("p <> first").select("p", "first").distinct()
+    again = own.join(groups, "sha").filter("p <> first").select("p", F.col("sha").alias("again"), "first").distinct()
 
     def records(keys, texts):
         raw = [(t or "").encode() for t in texts]
         return {"page_id": keys[page], "url": keys[url], "payload": raw, "payload_digest": [digest(r) for r in raw]}
 
     rows = map_texts(pages, [page, url], html, records, "page_id long, url string, payload binary, payload_digest string")
-    marked = rows.join(again, F.col("page_id") == F.col("p"), "left").withColumnRenamed("first", "refers_to")
+    marked = rows.join(again, (F.col("page_id") == F.col("p")) & (F.col("payload_digest") == F.col("again")), "left").withColumnRenamed("first", "refers_to")
     return write_packages(marked, root)
 
 
