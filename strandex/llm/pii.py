@@ -9,7 +9,8 @@ but its lower confidence bound (level LEVEL, Chernoff), with as much evidence as
 different texts with both: one text and its copies are one observation, and every pair is
 rated, those seen once too. A term that occurs only with c comes the closer to 1 the more
 often it does so, and the larger the corpus is. Terms from REMOVE on are removed, those
-from GENERALISE on are generalised, wherever they occur in the corpus.
+from GENERALISE on are generalised to their form (all capitals, capitalised or small), which
+most words of a corpus share, wherever they occur in the corpus.
 
 A term in more documents than rare_enough allows cannot reach GENERALISE with any entity of
 a text, so only the other terms are paired with the text's entities; no pair with an action
@@ -295,15 +296,19 @@ def find_personal_data(df: DataFrame, key: str = "doc_id", text: str = "text") -
     return whole.mapInArrow(assemble, "key long, digest long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string").withColumnRenamed("key", key)
 
 
+def general_form(term: str) -> str:
+    return "[NAME]" if term.isupper() else "[Name]" if term[:1].isupper() else "[word]"
+
+
 def sanitise(text: str, spans: str) -> str:
-    """The text with spans replaced: [kind] for base spans, [term] for generalised terms, nothing for removed ones."""
+    """The text with spans replaced: [kind] for base spans, their form for generalised terms, nothing for removed ones."""
     out, at = [], 0
     for kind, a, b in sorted((x.split(":") for x in spans.split(",")), key=lambda x: int(x[1])):
         lo, hi = int(a), int(b)
         if hi <= at:
             continue
         out.append(text[at : max(lo, at)])
-        out.append("" if kind == REMOVED else "[term]" if kind == GENERALISED else f"[{kind}]")
+        out.append("" if kind == REMOVED else general_form(text[lo:hi]) if kind == GENERALISED else f"[{kind}]")
         at = hi
     return "".join(out) + text[at:]
 
