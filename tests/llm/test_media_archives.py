@@ -195,5 +195,9 @@ def test_round_trip_with_revisits(spark):
     first = {3: 1, 5: 2}
     want = sorted(((p or 0), len((h or "").encode()), d(h), "revisit" if p in first else "response", first.get(p)) for p, _, h in rows)
     assert got == want
+    # a repeated page id with payloads of its own and one that page 1 has too
+    more = spark.createDataFrame([(1, "u", "same"), (8, "u", "same"), (8, "v", "alone"), (8, "w", "same")], "page_id long, url string, html string")
+    again = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc_zip.round_trip(more).collect())
+    assert again == sorted([(1, d("same"), "response", None), (8, d("same"), "revisit", 1), (8, d("same"), "revisit", 1), (8, d("alone"), "response", None)])
     assert {r.record_type for r in warc_zip.round_trip(df, least_bytes=5).collect()} == {"response"}
     assert warc_zip.round_trip(df.limit(0)).collect() == []

@@ -5,6 +5,8 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -71,6 +73,19 @@ def test_piece_ids_and_decoding_equal_the_librarys(pieces):
     assert [d.decode(errors="replace") for d in m.decode(ids, off)] == [pieces.decode(w) for w in want]
 
 
+def test_long_words_take_the_same_rounds(library, pieces):
+    """Words without a space of up to tens of thousands of symbols; many equal pairs side by side."""
+    rnd = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    words = ["".join(rnd.choice(letters) for _ in range(n)) for n in (95, 96, 97, 98, 3000, 30000)]
+    words += ["a" * 5000, "ab" * 3000, "1" * 999, "the" * 2000, "你好世界" * 800, "in" * 700 + "ing" * 33, "abcab" * 400, "=-" * 4000, "aab" * 99 + "aaa" * 77]
+    words += ["".join(rnd.choice(["th", "e", "in", "g", "er", "re", "on", "a", "b", "é", "你", "0", "__"]) for _ in range(rnd.randint(30, 400))) for _ in range(300)]
+    ids, off = ByteBPE(BYTE).encode(words)
+    assert [ids[a:c].tolist() for a, c in zip(off, off[1:], strict=False)] == library(words)
+    ids, off = PieceModel(PIECE).encode(words)
+    assert [ids[a:c].tolist() for a, c in zip(off, off[1:], strict=False)] == pieces.encode(words, add_eos=True)
+
+
 DOCS = "doc_id long, text string, lang string, source string, rep double, key string"
 
 
@@ -106,8 +121,6 @@ def test_store_round_trip(spark, library):
     got = sorted((r.doc_id or 0, r.ids) for r in store_documents(spark, at).collect())
     assert got == sorted((d or 0, [*library([t or ""])[0], 2]) for d, t, _, _ in texts)
     start = 0
-    import zlib
-
     for r in sorted(store_digests(spark, at).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.start)):
         ids = next([*library([t or ""])[0], 2] for d, t, _, _ in texts if d == r.doc_id)
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
@@ -116,13 +129,38 @@ def test_store_round_trip(spark, library):
     names = spark.read.parquet(f"{at}/chunks")
     assert names.count() == names.select("name").distinct().count() < spark.read.parquet(f"{at}/recipes").selectExpr("explode(names)").count()
     assert store_digests(spark, write_store(table(spark, EDGE).limit(0), BYTE, 2)).collect() == []
+    # a store that lost chunks, and one that never had ids at all
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/chunks")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names.limit(names.count() - 1).write.parquet(f"{at}/fewer")
+    files.delete(path, True)
+    files.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/fewer"), path)
+    with pytest.raises(ValueError, match="manifest"):
+        store_digests(spark, at)
+    empty = write_store(table(spark, EDGE[:2]), BYTE)
+    assert sorted((r.start, r.n_tokens, r.ids_crc32) for r in store_digests(spark, empty).collect()) == [(0, 0, 0)] * 2
+    assert [r.ids for r in store_documents(spark, empty).collect()] == [[], []]
+
+
+def test_ids_beyond_two_bytes_take_four(spark, tmp_path):
+    import json
+
+    spec = json.load(open(BYTE, encoding="utf-8"))
+    spec["added_tokens"].append(dict(spec["added_tokens"][0], id=70000, content="<|big|>"))
+    at = write_store(table(spark, [(1, "x<|big|>y", "en", "s")]), _saved(spec, tmp_path), end_id=2)
+    assert 70000 in store_documents(spark, at).collect()[0].ids and spark.read.parquet(f"{at}/format").first().width == 4
+
+
+def _saved(spec, tmp_path):
+    import json
+
+    (tmp_path / "big.json").write_text(json.dumps(spec), encoding="utf-8")
+    return str(tmp_path / "big.json")
 
 
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 50256), max_size=3000))
 def test_chunks_cover_the_stream_and_join(ids):
-    import zlib
-
     a = np.array(ids, np.int32)
     ends = chunk_ends(len(a), [c for c in cut_points(a).tolist() if c >= 16])
     assert (ends[-1:] or [0]) == [len(a)] and ends == sorted(set(ends))
@@ -131,6 +169,18 @@ def test_chunks_cover_the_stream_and_join(ids):
     assert merkle([b"a", b"b", b"c"]) != merkle([b"a", b"c", b"b"])
 
 
+def test_merkle_trees_have_odd_nodes_moved_up():
+    def hashed(tag, x):
+        return hashlib.blake2b(tag + x, digest_size=16).digest()
+
+    for n in range(1, 40):
+        leaves = [bytes([k]) for k in range(n)]
+        level = [hashed(b"\0", x) for x in leaves]
+        while len(level) > 1:
+            level = [hashed(b"\1", level[k] + level[k + 1]) for k in range(0, len(level) - 1, 2)] + level[len(level) // 2 * 2 :]
+        assert merkle(leaves) == level[0]
+
+
 def test_hash_table():
     keys = np.random.default_rng(1).integers(0, 1 << 62, 5000).astype(np.uint64)
     keys = np.unique(keys)
@@ -168,6 +218,50 @@ def test_a_rare_language_is_learned(spark):
     assert all(got[n][0] == "en" for n in range(100)) and all(got[n] == ("el", 1.0) for n in (1000, 1001))
 
 
+def brute_grams(text):
+    def low(c):
+        x = c.lower()[:1] if unicodedata.category(c)[0] == "L" else ""
+        return (x if x and unicodedata.category(x)[0] == "L" else c) if unicodedata.category(c)[0] == "L" else " "
+
+    t = [" ", *map(low, text), " "]
+    return [(t[i - 1], t[i], t[i + 1]) for i in range(1, len(t) - 1) if t[i] != " "]
+
+
+def test_languages_equal_those_of_exact_gram_sets(spark):
+    """The same rules over exact sets of grams, on a whole table: the filter finds every language of a gram, and few others."""
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect() if r.text]
+    counts = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            counts[r.lang].update(brute_grams(r.text))
+    total = {l: sum(c.values()) for l, c in counts.items()}
+    top = collections.Counter()
+    for l, c in counts.items():
+        for g, n in c.items():
+            if n / total[l] >= langid.RATE:
+                top[g] = max(top[g], n / (total[l] + langid.SMALL))
+    sets = {l: {g for g, n in c.items() if n / total[l] >= langid.RATE and n / total[l] >= langid.RELATIVE * top[g]} for l, c in counts.items()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.learn(docs.filter(~langid.held_out()))
+    assert model.languages == sorted(sets)
+    extra = seen = 0
+    for g in set().union(*sets.values()):
+        mask = int(model.languages_of(langid.grams(["".join(g)])[0][1 if g[0] != " " else 0 :][:1])[0, 0])
+        for i, l in enumerate(model.languages):
+            assert g not in sets[l] or mask >> i & 1
+            extra, seen = extra + (g not in sets[l] and mask >> i & 1), seen + (g not in sets[l])
+    assert extra <= 0.01 * seen
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for r in rows:
+        own = brute_grams(r.text)
+        share = {l: sum(g in s for g in own) / max(len(own), 1) for l, s in sets.items()}
+        best = max(share.values())
+        if own:
+            assert share[got[r.doc_id].lang_pred] >= best - 0.02 and abs(got[r.doc_id].score - best) <= 0.02
+        else:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+
+
 # --- quality
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -204,10 +298,11 @@ def test_cutoffs_reject_junk_within_the_risk(spark):
     bad = [(5000 + n, " ".join(f"w{rnd.randrange(5000)}$$$" for _ in range(60)), "en", "s") for n in range(300)]
     few = [(9000 + n, " ".join(f"w{rnd.randrange(5000)}$$$" for _ in range(60)), None, "s") for n in range(5)]
     labels = spark.createDataFrame([(r[0], int(r[0] < 5000)) for r in good + bad + few] + [(None, 1), (5000, None), (1, 1)], "doc_id long, quality int")
-    got = {r.doc_id: r for r in quality.quality_verdicts(table(spark, good + bad + few + EDGE[:3]), labels).collect()}
+    edge = [(20001, "", "en", "s"), (20002, None, None, None), (None, "word here", "en", "s")]
+    got = {r.doc_id: r for r in quality.quality_verdicts(table(spark, good + bad + few + edge), labels).collect()}
     assert all(got[r[0]].kept for r in good) and not any(got[r[0]].kept for r in bad)
     assert got[5003].rejected_by == "symbols" and all(got[r[0]].kept for r in few)  # a stratum without labels enough
-    assert got[1].base_failed is False and got[2].kept  # doc 1 is a good document here
+    assert all(got[n].base_failed and not got[n].kept and got[n].rejected_by is None for n in (20001, 20002, None))
     none = quality.quality_verdicts(table(spark, EDGE), labels.limit(0)).collect()
     assert len(none) == len(EDGE) and all(r.base_failed for r in none if r.doc_id != 6)
     assert quality.quality_verdicts(table(spark, EDGE).limit(0), labels).collect() == []
@@ -229,6 +324,90 @@ def test_small_strata_have_cutoffs(spark):
     assert all(r.kept for r in quality.quality_verdicts(table(spark, good + bad), few).collect())
 
 
+def test_verdicts_equal_those_by_brute_force(spark):
+    """Strata tested by themselves and pooled: every cutoff by trying all sets of the path in order, every row by its scores."""
+    rnd = random.Random(21)
+
+    def text(junk):
+        return " ".join(f"w{rnd.randrange(5000)}" + ("$" * rnd.randint(1, 4) if rnd.random() < junk else "") + ("Q" * rnd.randint(0, 9) if junk > 0.5 else "") for _ in range(60))
+
+    rows, quality_of = [], {}
+    for lang, n in (("en", 1500), ("de", 700), ("fr", 120), (None, 60)):
+        for _ in range(n):
+            key, bad = len(rows), rnd.random() < 0.15
+            rows.append((key, text(rnd.uniform(0.3, 0.9) if bad else rnd.uniform(0, 0.12)), lang, "s"))
+            if rnd.random() < 0.9:
+                quality_of[key] = int(not bad)
+    rows += [(len(rows) + k, rows[k][1], rows[k][2], "s") for k in range(0, 300, 7)]  # copies count once
+    quality_of |= {k: quality_of.get((k - len(rows)), 1) for k in range(len(rows) - 43, len(rows), 2)}
+    labels = spark.createDataFrame(list(quality_of.items()), "doc_id long, quality int")
+    df = table(spark, rows)
+    digest = {r.doc_id: (r.d, r.g) for r in df.selectExpr("doc_id", "xxhash64(text) AS d", f"pmod(xxhash64(xxhash64(text)), {quality.GUIDE}) = 0 AS g").collect()}
+
+    def scored(t):
+        words, chars, symbols, dups, repeats = brute_quality(t)
+        lines = len([x for x in t.split("\n") if WORD.search(x)])
+        letters = [c for c in t if c.isascii() and c.isalpha()]
+        size = min(5 * chars // words, 100)
+        part = lambda a, b: min(100 * a // b, 100) if b else 0
+        return {"symbols": part(symbols, chars), "capitals": part(sum(c.isupper() for c in letters), len(letters)), "repeats": part(repeats, words), "dup_lines": part(dups, lines), "short_words": 100 - size, "long_words": size}
+
+    held = {}
+    for key, t, lang, _ in rows:
+        if key in quality_of:
+            at = (lang, digest[key][0])
+            held[at] = (min(quality_of[key], held.get(at, (1,))[0]), digest[key][1], scored(t))
+    sizes = {l: sum(g and not guide for (x, _), (g, guide, _) in held.items() if x == l) for l in ("en", "de", "fr", None)}
+    order, level, risk = sorted(sizes, key=lambda l: -sizes[l]), 0.05, 0.02
+    need = lambda tests: math.log(level / tests) / math.log(1 - risk)
+    alone = 0
+    while alone < 4 and sizes[order[alone]] >= need(alone + 1 + (alone < 3)):
+        alone += 1
+    while alone and 0 < sum(sizes[l] for l in order[alone:]) < need(alone + 1):
+        alone -= 1
+    assert 0 < alone < 4
+    groups = [[l] for l in order[:alone]] + [order[alone:]]
+    cuts = {}
+    for group in groups:
+        own = [(g, guide, s) for (l, _), (g, guide, s) in held.items() if l in group]
+        path = []
+        while True:
+            left = [(g, s) for g, guide, s in own if (guide or not g) and not any(s[r] > c for r, c in path)]
+            best = (0, 0, "")
+            for rule in quality.RULES:
+                if rule not in dict(path):
+                    for cut in range(99, -1, -1):
+                        hit = [g for g, s in left if s[rule] > cut]
+                        gain = hit.count(0) - quality.PRICE * quality.GUIDE * hit.count(1)
+                        if gain > best[0]:
+                            best = (gain, cut, rule)
+            if best[0] <= 0:
+                break
+            path.append((best[2], best[1]))
+        sets = [dict(path[:k]) | {path[k][0]: c} for k in range(len(path)) for c in range(99, path[k][1] - 1, -1)]
+        tested, bads, chosen, most, last = [s for g, guide, s in own if g and not guide], [s for g, _, s in own if not g], None, 0, None
+        for rules in sets:
+            lost = sum(any(s[r] > c for r, c in rules.items()) for s in tested)
+            tail = sum(math.comb(len(tested), k) * risk**k * (1 - risk) ** (len(tested) - k) for k in range(lost + 1)) if lost < len(tested) else 1.0
+            if lost != last and (lost > risk * len(tested) or tail > level / len(groups)):
+                break
+            last = lost
+            gain = sum(any(s[r] > c for r, c in rules.items()) for s in bads) - quality.PRICE * lost
+            if gain > most:
+                most, chosen = gain, rules
+        for l in group:
+            own_tested = [s for (x, _), (g, guide, s) in held.items() if x == l and g and not guide]
+            lost = sum(any(s[r] > c for r, c in (chosen or {}).items()) for s in own_tested)
+            if chosen and (len(group) == 1 or own_tested and lost <= risk * len(own_tested)):
+                cuts[l] = chosen
+    assert len(cuts) > 1
+    got = {r.doc_id: r for r in quality.quality_verdicts(df, labels, risk, level).collect()}
+    for key, t, lang, _ in rows:
+        s = scored(t)
+        why = next((r for r in quality.RULES if s[r] > cuts.get(lang, {}).get(r, 100)), None)
+        assert (got[key].base_failed, got[key].kept, got[key].rejected_by) == (False, why is None, why), key
+
+
 def test_a_path_is_tested_in_order():
     good, bad = np.array([0, 0, 1, 50, 949]), np.array([0, 30, 40, 90, 0])
     assert quality.choose(good, bad, 0.02, 0.05) == 2 and quality.choose(good // 9, bad, 0.02, 1e-9) is None
@@ -297,7 +476,53 @@ def test_terms_are_found_far_from_the_mention_and_in_other_documents(spark):
     marked = {n: [text[n][int(a) : int(b)] for k, a, b in (x.split(":") for x in got[n].split(",")) if k in (pii.REMOVED, pii.GENERALISED)] for n in (*range(5000, 5006), 6000)}
     assert marked == {n: ["Quagga", "quagga"] for n in range(5000, 5006)} | {6000: ["QUAGGA"]}
     assert all(got[n] == "" for n in range(3000))
-    assert pii.sanitise(text[6000], got[6000]) in (f"{common} ", f"{common} [term]")
+    assert pii.sanitise(text[6000], got[6000]) in (f"{common} ", f"{common} [NAME]")
+    assert [pii.general_form(x) for x in ("Éva", "ΑΒΓ", "quagga", "你好")] == ["[Name]", "[NAME]", "[word]", "[word]"]
+
+
+def test_added_spans_equal_those_by_brute_force(spark):
+    """Every pair of entity and term by counting documents, every occurrence by a pattern."""
+    rnd = random.Random(12)
+    common = [f"common{'abcdefgh'[k]}" for k in range(8)]
+    names = [f"{'BCDFG'[k % 5]}anb{'aeiou'[k // 5]}r" for k in range(25)]
+    rows = []
+    for n in range(900):
+        words = [rnd.choice(common) for _ in range(12)]
+        if n % 4 == 0:
+            words.insert(rnd.randrange(12), rnd.choice(names))
+        if n % 6 == 0:
+            k = rnd.randrange(12)
+            words += [f"p{k}@corp.org", names[k], f"nr{n}ab"]
+        rows.append((n, " ".join(words), "en", "s"))
+    rows += [(2000 + n, rows[6][1], "en", "s") for n in range(5)] + [(3000, "", "en", "s"), (3001, None, None, None)]
+    word = re.compile("[a-z\x80-\U0010ffff]+")
+    docs, joint, of_entity, texts = collections.Counter(), collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    parsed = {}
+    for key, text, _, _ in rows:
+        text = text or ""
+        spans = brute_spans(text)
+        where = [m for m in word.finditer(text.lower()) if len(m.group().encode()) > 2]
+        free = [m for m in where if all(m.end() <= a or m.start() >= b for a, _, b in spans)]
+        parsed[key] = spans, free, text
+        docs.update({m.group() for m in where})
+        for e in {text[a:b].lower() for a, _, b in spans}:
+            of_entity[e] += 1
+            for t in {m.group() for m in free}:
+                joint[e, t] += 1
+                texts[e, t].add(text)
+    action = {}
+    for (e, t), n in joint.items():
+        share = min(n / docs[t], 1.0)
+        bound = float(pii.share_bound(np.array([share]), np.array([min(len(texts[e, t]), n) / share]))[0])
+        ic = math.log(len(rows) / of_entity[e])
+        d = (math.log(bound) + ic) / ic
+        if d >= pii.GENERALISE:
+            action[t] = max(action.get(t, ""), pii.REMOVED if d >= pii.REMOVE else pii.GENERALISED)
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(table(spark, rows)).collect()}
+    for key, (spans, free, _) in parsed.items():
+        want = [(a, k, b, pii.KINDS[k]) for a, k, b in spans] + [(m.start(), 4 + (action[m.group()] == pii.REMOVED), m.end(), action[m.group()]) for m in free if m.group() in action]
+        assert got[key] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(want)), key
+    assert set(action.values()) == {pii.REMOVED, pii.GENERALISED} or set(action.values()) == {pii.GENERALISED}
 
 
 # --- packing
