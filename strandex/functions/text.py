@@ -89,13 +89,14 @@ def excerpt(c: Column, limit: int = 500) -> Column:
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, limit)), F.lit("...")))
 
 
-_LINK = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]|\[[^\]]*\]\(([^)\s]+)[^)]*\)"
+# Fixed value: Markdown links, and wiki links without their anchor and title.
+_LINK = r"!?(?:\[[^\]]*\]\(([^)\x09-\x0D\x1C-\x20\x85\p{Z}]+)[^)]*\)|\[\[([^|\]#]+)(?:#[^\]|]+)?(?:\|[^\]]+)?\]\])"
 
 
 def links(c: Column) -> Column:
     """Targets of Markdown and wiki links, each once, in order."""
     a, b = (F.regexp_extract_all(c, F.lit(_LINK), F.lit(g)) for g in (1, 2))
-    return F.array_distinct(F.zip_with(a, b, lambda x, y: F.when(x != "", F.trim(x)).otherwise(F.trim(y))))
+    return F.array_distinct(F.zip_with(a, b, lambda x, y: F.when(x != "", x).otherwise(y)))
 
 
 def content_hash(c: Column) -> Column:

@@ -89,11 +89,19 @@ def excerpt_500(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", excerpt(F.col("text")).alias("excerpt"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url || ' note-' || page_id ELSE 'note-' || page_id || ' ' || url END AS targets FROM pages")
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || ' note-' || page_id WHEN 1 THEN 'note-' || page_id || ' ' || url WHEN 2 THEN 'note-' || page_id || ' a b b.md' ELSE ' spaced ' END AS targets FROM pages""")
 def link_extract(spark, sf_dir):
-    wiki, plain = F.concat(F.lit("[[note-"), "page_id", F.lit("|Note]]")), F.concat(F.lit("[page]("), "url", F.lit(")"))
-    note = F.when(F.col("page_id") % 2 == 0, F.concat_ws(" and ", plain, wiki, plain)).otherwise(F.concat_ws(", ", wiki, plain))
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(links(note), " ").alias("targets"))
+    """Wiki links with titles and anchors, Markdown links with titles, repeats, and forms that are no links."""
+    note = F.concat(F.lit("note-"), "page_id")
+    page = F.concat(F.lit("[page]("), "url", F.lit(")"))
+    forms = [
+        F.concat_ws(" and ", page, F.concat(F.lit("[["), note, F.lit("|Note]]")), page),
+        F.concat_ws(", ", F.concat(F.lit("![["), note, F.lit("#part|Note]]")), F.concat(F.lit("[[#here]] [["), note, F.lit("]]")), page),
+        F.concat(F.lit("[x]() [[|t]] [["), note, F.lit("#a b]] [[a b]] ![pic](b.md 'title') [ref][b]")),
+        F.lit("[[ spaced |x]] [[a#]] [one] (two)"),
+    ]
+    text = F.coalesce(*[F.when(F.col("page_id") % 4 == k, f) for k, f in enumerate(forms)])
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(links(text), " ").alias("targets"))
 
 
 @query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({INDEX_WORDS}) AS term FROM documents) GROUP BY term")
@@ -160,7 +168,11 @@ def needs_reembedding(spark, sf_dir):
 # --- notes and conversations
 
 
-@query()
+@query("""WITH t AS (SELECT *, printf('conv/%08d.md', conv_id) AS path, len(string_split(text, chr(10))) AS n FROM conversations),
+p AS (SELECT *, 5 + coalesce(sum(n + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM t),
+s AS (SELECT path, 'Conversation ' || conv_id || ' > Session 1 > ' || role || ' ' || turn AS ids, role || ' ' || turn AS heading, a AS lo, a + n + (NOT last)::INT AS hi, regexp_replace(text, '^[ \\n\\r\\t]+|[ \\n\\r\\t]+$', '', 'g') AS text FROM p
+  UNION ALL SELECT DISTINCT path, 'Conversation ' || conv_id, 'Conversation ' || conv_id, 1, 2, '' FROM t UNION ALL SELECT DISTINCT path, 'Conversation ' || conv_id || ' > Session 1', 'Session 1', 3, 4, '' FROM t)
+SELECT sha256(path || chr(0) || ids) AS section_id, path, heading, ids AS heading_path, lo::INT AS line_start, hi::INT AS line_end, text FROM s""")
 def split_sections(spark, sf_dir):
     """Rendered conversations through the splitter."""
     rendered = conversations.render(table(spark, sf_dir, "conversations"))

@@ -1,30 +1,33 @@
 """Markdown notes: scanning roots, splitting notes into sections.
 
 `scan` reads files with Spark's binary source; `split` turns each note into sections in
-`mapInPandas`, since the heading and fence state runs through a note line by line. What
-follows (ids, links, hashes) is plain columns.
+`mapInPandas`, since the heading and fence state runs through a note line by line.
 """
 
 import fnmatch
 import hashlib
 import os
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from ..functions.text import cut_bytes, links
+from ..functions.text import cut_bytes
 from ..plans.query import Root
 from .config import path_excluded
 
+#: Stands for the ancestry of what comes before the first heading, in ids.
 DOCUMENT = "(document)"
-_HEADING = re.compile(r"(#{1,6})[ \t]+(.*)$")
+_HEADING = re.compile(r"(#{1,6})[ \t]+([^\n]+)")
 _CLOSING = re.compile(r"[ \t]+#+[ \t]*$")
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
+_FENCE = re.compile(r"[ \t]{0,3}(`{3,}|~{3,})([^\n]*)")
 _NOTHING = {"", "null", "none", "~"}
 _FIELDS = {"type": "note_type", "note_type": "note_type", "updated": "updated_date", "created": "created_date"}
 
@@ -36,129 +39,137 @@ SECTION_SCHEMA = SCHEMA + ", links array<string>"
 
 
 def frontmatter(lines: list[str]) -> tuple[dict[str, str | None], int]:
-    """Fields of the block that a first line `---` opens, and the lines it takes; none if it never ends."""
+    """Fields of the block that a first line `---` opens, and the lines it takes; none if it never ends.
+
+    The last value of a field counts, empty ones and nulls not at all; `type` beats `note_type`.
+    """
     out: dict[str, str | None] = dict.fromkeys(("note_type", "updated_date", "created_date"))
     if not lines or lines[0].strip() != "---":
         return out, 0
     end = next((n for n, x in enumerate(lines[1:], 1) if x.strip() in ("---", "...")), None)
     if end is None:
         return out, 0
-    strong = False
-    for line in lines[1:end]:
-        name, colon, value = line.partition(":")
-        field = _FIELDS.get(name.strip())
-        if not colon or field is None or (name.strip() == "note_type" and strong):
-            continue
-        value = value.strip().strip("\"'")
-        strong = strong or name.strip() == "type"
-        out[field] = None if value.lower() in _NOTHING else value
+    pairs = [(k.strip(), v.strip().strip("\"'")) for k, colon, v in (x.partition(":") for x in lines[1:end]) if colon]
+    for name, value in sorted(pairs, key=lambda p: p[0] == "type"):
+        if name in _FIELDS and value.lower() not in _NOTHING:
+            out[_FIELDS[name]] = value
     return out, end + 1
 
 
+def _cut_line(line: str, limit: int) -> list[str]:
+    """Pieces of at most `limit` bytes, cut between characters; white space around the last one is dropped."""
+    raw, cuts = line.encode(), [0]
+    while cuts[-1] < len(raw):
+        to = min(cuts[-1] + limit, len(raw))
+        while to < len(raw) and raw[to] & 0xC0 == 0x80:
+            to -= 1
+        cuts.append(to)
+    pieces = [raw[a:b].decode() for a, b in pairwise(cuts)]
+    return [*pieces[:-1], pieces[-1].strip()]
+
+
 def pack_lines(lines: list[str], limit: int) -> list[tuple[int, int, str]]:
-    """(first line, last line, text) of chunks of at most `limit` bytes; a longer line is cut between characters."""
+    """(first line, line after the last, text) of chunks of at most `limit` bytes.
+
+    lines have their ends, which count. A body that fits without the white space around it
+    is one chunk. Otherwise as many lines as fit go together, and a longer line is cut.
+    """
     limit = max(limit, 4)
-    out: list[tuple[int, int, str]] = []
-    held: list[str] = []
-    size = first = 0
-
-    def close(last: int) -> None:
-        nonlocal held, size
-        if held and (text := "\n".join(held).strip("\n")):
-            out.append((first, last, text))
-        held, size = [], 0
-
-    for n, line in enumerate(lines):
-        width = len(line.encode())
-        if width > limit:
-            close(n - 1)
-            piece, used = [], 0
-            for ch in line:
-                w = len(ch.encode())
-                if used + w > limit:
-                    out.append((n, n, "".join(piece)))
-                    piece, used = [], 0
-                piece.append(ch)
-                used += w
-            if rest := "".join(piece).strip():
-                out.append((n, n, rest))
-            continue
-        if held and size + 1 + width > limit:
-            close(n - 1)
-        if not held:
-            first = n
-        size += width + bool(held)
-        held.append(line)
-    close(len(lines) - 1)
+    whole = "".join(lines).strip()
+    if len(whole.encode()) <= limit:
+        return [(0, len(lines), whole)] if whole else []
+    before = [0, *accumulate(len(x.encode()) for x in lines)]
+    out, at = [], 0
+    while at < len(lines):
+        stop = bisect_right(before, before[at] + limit) - 1
+        if stop == at:
+            stop = at + 1
+            out += [(at, stop, piece) for piece in _cut_line(lines[at], limit)]
+        elif text := "".join(lines[at:stop]).strip():
+            out.append((at, stop, text))
+        at = stop
     return out
 
 
-def sections_of(lines: list[str], start: int) -> Iterator[tuple[str | None, list[str], int, list[str]]]:
-    """(heading, ancestry with it, number of its first line, body lines) of each section."""
-    stack: list[tuple[int, str]] = []
-    heading, at, body = None, start, []
-    fence = None
-    seen = False
-    for n, line in enumerate(lines[start:], start):
-        if fence is not None:
-            m = _FENCE.match(line)
-            if m and m.group(1)[0] == fence[0] and len(m.group(1)) >= len(fence) and not m.group(2).strip():
-                fence = None
-        elif m := _FENCE.match(line):
-            fence = m.group(1) if not (m.group(1)[0] == "`" and "`" in m.group(2)) else None
+def headings(lines: list[str], start: int) -> Iterator[tuple[int, int, str]]:
+    """(line, level, title) of the headings outside fenced blocks.
+
+    A fence ends at one of its own character, no shorter, with nothing behind it, or never.
+    """
+    fence = ""
+    for n in range(start, len(lines)):
+        line = lines[n].rstrip("\r\n")
+        mark = _FENCE.match(line)
+        if fence:
+            if mark and mark[1].startswith(fence) and not mark[2].strip():
+                fence = ""
+        elif mark:
+            fence = mark[1]
         elif m := _HEADING.match(line):
-            if seen or any(x.strip() for x in body):
-                yield heading, [t for _, t in stack], at, body
-            level, title = len(m.group(1)), _CLOSING.sub("", " " + m.group(2)).strip()
-            stack = [s for s in stack if s[0] < level] + [(level, title)]
-            heading, at, body, seen = title, n, [], True
-            continue
-        body.append(line)
-    if seen or any(x.strip() for x in body):
-        yield heading, [t for _, t in stack], at, body
+            yield n, len(m[1]), _CLOSING.sub("", m[2].strip()).rstrip()
+
+
+def sections_of(lines: list[str], start: int) -> Iterator[tuple[str | None, list[str], int, int, int]]:
+    """(heading, ancestry with it, first line, first line of the body, line after the last) of what precedes the first heading and of each section."""
+    found = list(headings(lines, start))
+    first = found[0][0] if found else len(lines)
+    if first > start:
+        yield None, [], start, start, first
+    stack: list[tuple[int, str]] = []
+    ends = [at for at, _, _ in found[1:]] + [len(lines)]
+    for (at, level, title), end in zip(found, ends, strict=False):
+        stack = [s for s in stack if s[0] < level] + [(level, title)]
+        yield title, [t for _, t in stack], at, at + 1, end
+
+
+#: Fixed value: Markdown links, and wiki links without their anchor and title.
+_LINK = re.compile(r"!?(?:\[[^\]]*\]\(([^)\s]+)[^)]*\)|\[\[([^|\]#]+)(?:#[^\]|]+)?(?:\|[^\]]+)?\]\])")
+
+
+def links_of(text: str) -> list[str]:
+    """Targets of links, each once, in order."""
+    return list(dict.fromkeys(m[1] or m[2] for m in _LINK.finditer(text)))
 
 
 def split_note(path: str, content: bytes, section_bytes: int = 12000) -> list[dict]:
     """The sections of a note, chunked by size; ids depend on path, ancestry and its occurrence."""
-    lines = content.decode("utf-8", "replace").splitlines()
+    note = content.decode("utf-8", "replace")
+    lines = note.splitlines(keepends=True)
     meta, skip = frontmatter(lines)
-    digest = hashlib.sha256(content).hexdigest()
-    times: dict[str, int] = {}
+    same = {"path": path, "content_hash": hashlib.sha256(content).hexdigest(), **meta, "links": links_of(note)}
+    times: Counter[str] = Counter()
     out = []
-    for heading, ancestry, at, body in sections_of(lines, skip):
+    for heading, ancestry, at, body, end in sections_of(lines, skip):
         identity = " > ".join(ancestry) or DOCUMENT
-        times[identity] = count = times.get(identity, 0) + 1
-        identity += f"~{count}" if count > 1 else ""
-        body_at = at + (heading is not None)
-        chunks = pack_lines(body, section_bytes) or [(0, max(len(body) - 1, 0), "")]
+        times[identity] += 1
+        identity += f"~{times[identity]}" if times[identity] > 1 else ""
+        chunks = pack_lines(lines[body:end], section_bytes)
+        if not chunks and heading is not None:
+            chunks = [(0, end - body, "")]
         for k, (lo, hi, text) in enumerate(chunks):
             name = identity + (f"#chunk-{k + 1}" if len(chunks) > 1 else "")
             out.append({
                 "section_id": hashlib.sha256(f"{path}\0{name}".encode()).hexdigest(),
-                "path": path,
-                "heading": heading or DOCUMENT,
+                "heading": heading,
                 "heading_path": ancestry,
-                "line_start": (at if k == 0 else body_at + lo) + 1,
-                "line_end": max(body_at + hi + 1, at + 1) if body else at + 1,
+                "line_start": (body + lo if k else at) + 1,
+                "line_end": body + hi,
                 "text": text,
-                "content_hash": digest,
-                **meta,
+                **same,
             })
     return out
 
 
 def split(notes: DataFrame, section_bytes: int = 12000) -> DataFrame:
     """notes: path, root_id, content (binary) -> sections with their links (those of the whole note)."""
+    names = [f.split(" ")[0] for f in SECTION_SCHEMA.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
         for frame in frames:
             rows = [{**s, "root_id": r} for p, r, c in zip(frame["path"], frame["root_id"], frame["content"], strict=True) for s in split_note(p, bytes(c), section_bytes)]
             yield pd.DataFrame(rows, columns=names)
 
-    sections = notes.select("path", "root_id", "content").mapInPandas(run, SCHEMA)
-    own = notes.select("path", links(F.col("content").cast("string")).alias("links"))
-    return sections.join(own, "path").select(*[x.split(" ")[0] for x in SECTION_SCHEMA.split(", ")])
+    return notes.select("path", "root_id", "content").mapInPandas(run, SECTION_SCHEMA)
 
 
 # --- scanning

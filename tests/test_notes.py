@@ -1,12 +1,16 @@
 """Markdown splitting and scanning, configuration, the generation store, search, the engine and the command line."""
 
+import hashlib
 import json
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandex import cli
 from strandex.functions.encoder import HashEncoder, backend_reason
+from strandex.functions.text import links
 from strandex.operators.search import Policies, search, semantic_with
 from strandex.plans.query import Root
 from strandex.plans.service import Engine, policy_diagnostics
@@ -24,7 +28,10 @@ def test_headings_and_frontmatter():
     assert [s["heading_path"] for s in got] == [["Parent"], ["Parent", "Child"]]
     assert (got[0]["line_start"], got[0]["note_type"], got[0]["updated_date"], got[0]["created_date"], got[1]["text"]) == (6, "decision", "2026-01-02", None, "")
     assert sections("---\ntype: x\n# never closed")[0]["note_type"] is None
-    assert [s["heading"] for s in sections("intro\n# A")] == [markdown.DOCUMENT, "A"]
+    assert [s["heading"] for s in sections("intro\n# A")] == [None, "A"]
+    got = sections("---\nnote_type: x\ntype: null\nupdated: 2026\nupdated: none\ncreated: 'a'\ncreated: b\n...\ntext")[0]
+    assert (got["note_type"], got["updated_date"], got["created_date"], got["line_start"]) == ("x", "2026", "b", 9)
+    assert sections("---\ntype: a\nnote_type: b\n---\nx")[0]["note_type"] == "a"
 
 
 def test_fences_hide_headings():
@@ -34,6 +41,99 @@ def test_fences_hide_headings():
     assert [s["heading"] for s in sections("# Real\n```\n# hidden")] == ["Real"]
 
 
+def by_the_rules(path, note, limit):
+    """P2-P5 of the survey, line by line and character by character: (id, heading, ancestry, first line, last line, text)."""
+    limit, lines, skip = max(limit, 4), note.splitlines(True), 0
+    if lines and lines[0].strip() == "---":
+        ends = [k for k in range(1, len(lines)) if lines[k].strip() in ("---", "...")]
+        skip = ends[0] + 1 if ends else 0
+    marks, inside = [], None
+    for k in range(skip, len(lines)):
+        line = lines[k].rstrip("\r\n")
+        indent = len(line) - len(line.lstrip(" \t"))
+        rest = line[indent:]
+        run = len(rest) - len(rest.lstrip(rest[:1])) if rest[:1] in ("`", "~") and rest else 0
+        fence = (rest[0], run, rest[run:]) if run >= 3 and indent <= 3 else None
+        if inside:
+            if fence and fence[0] == inside[0] and fence[1] >= inside[1] and not fence[2].strip():
+                inside = None
+        elif fence:
+            inside = fence
+        else:
+            hashes = len(line) - len(line.lstrip("#"))
+            after = line[hashes:]
+            if 1 <= hashes <= 6 and after[:1] in (" ", "\t") and len(after) > 1:
+                title = after.strip()
+                bare = title.rstrip(" \t").rstrip("#")
+                if bare != title and bare[-1:] in (" ", "\t"):
+                    title = bare.rstrip()
+                marks.append((k, hashes, title))
+    parts, stack = [], []
+    if not marks or marks[0][0] > skip:
+        parts.append((None, [], skip, skip, marks[0][0] if marks else len(lines)))
+    for i, (k, level, title) in enumerate(marks):
+        while stack and stack[-1][0] >= level:
+            stack.pop()
+        stack.append((level, title))
+        parts.append((title, [t for _, t in stack], k, k + 1, marks[i + 1][0] if i + 1 < len(marks) else len(lines)))
+    out, seen = [], []
+    for heading, ancestry, show, lo, hi in parts:
+        key = " > ".join(ancestry) or "(document)"
+        seen.append(key)
+        chunks, held = [], []
+        body = "".join(lines[lo:hi]).strip()
+        if len(body.encode()) <= limit:
+            chunks = [(lo, hi, body)] if body else []
+        else:
+            for k in [*range(lo, hi), hi]:
+                size = sum(len(lines[h].encode()) for h in held)
+                if held and (k == hi or size + len(lines[k].encode()) > limit):
+                    if text := "".join(lines[h] for h in held).strip():
+                        chunks.append((held[0], k, text))
+                    held = []
+                if k < hi and len(lines[k].encode()) > limit:
+                    piece, pieces = "", []
+                    for c in lines[k]:
+                        if piece and len((piece + c).encode()) > limit:
+                            pieces.append(piece)
+                            piece = ""
+                        piece += c
+                    chunks += [(k, k + 1, x) for x in [*pieces, piece.strip()]]
+                elif k < hi:
+                    held.append(k)
+        if not chunks and heading is not None:
+            chunks = [(lo, hi, "")]
+        for n, (a, b, text) in enumerate(chunks, 1):
+            name = key + (f"~{seen.count(key)}" if seen.count(key) > 1 else "") + (f"#chunk-{n}" if len(chunks) > 1 else "")
+            out.append((hashlib.sha256(f"{path}\0{name}".encode()).hexdigest(), heading, ancestry, (show if n == 1 else a) + 1, b, text))
+    return out
+
+
+def test_sections_equal_those_by_the_rules():
+    rnd = random.Random(17)
+    bits = ["# A", "## B", "#", "# ", "#  ", "###\tC ##", "# C#", "# D ###", "# ##", "####### no", "#no", " # no", "```", "````", "``` py `x`", "~~~", "~~~~ ", "\t```", "   ~~~", "    ```", "text", "", "   ", "  indented  ", "é😀" * 4, "x" * 30, "---", "type: a", "(document)", "# (document)", "a\x0cb", "\u2028"]
+    for _ in range(4000):
+        note = "".join(rnd.choice(bits) + rnd.choice(["\n", "\n", "\n", "\r\n"]) for _ in range(rnd.randint(0, 14))) + rnd.choice(["", "end", "# Z"])
+        for limit in (1, 9, 25, 12000):
+            got = [(s["section_id"], s["heading"], s["heading_path"], s["line_start"], s["line_end"], s["text"]) for s in markdown.split_note("n.md", note.encode(), limit)]
+            assert got == by_the_rules("n.md", note, limit), (note, limit)
+
+
+def test_chunks_count_line_ends_and_lose_outer_white_space():
+    assert [s["text"] for s in sections("   indented  \nb")] == ["indented  \nb"]
+    assert [s["text"] for s in sections("aaaa\nbbbb\ncccc\n", 9)] == ["aaaa", "bbbb", "cccc"]
+    assert [s["text"] for s in sections("aaaa\nbbbb\ncccc", 9)] == ["aaaa", "bbbb\ncccc"]
+    assert [s["heading"] for s in sections("``` py `x`\n# not?\n```\n# Yes")] == [None, "Yes"]
+
+
+def test_links(spark):
+    notes = ["[a](x.md) [[n#part|t]] [[n]] ![i](p.png 't') [[#x]] [x]() [[a#]] [[ b ]] [y](u v)", "[[p|]] [e](\u2003z) [f](g\u2003h)", "", "[[[x]]] [a][b](c)"]
+    want = [["x.md", "n", "p.png", " b ", "u"], ["g"], []]
+    assert [markdown.links_of(n) for n in notes[:3]] == want
+    got = spark.createDataFrame([(k, n) for k, n in enumerate(notes)], "k int, t string").select("k", links(F.col("t")).alias("l")).orderBy("k").collect()
+    assert [r.l for r in got] == [markdown.links_of(n) for n in notes]
+
+
 def test_chunks():
     got = sections("# A\n" + "x" * 40, 10)
     assert len(got) > 1 and all(len(s["text"].encode()) <= 10 and s["heading_path"] == ["A"] for s in got)
