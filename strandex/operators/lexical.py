@@ -82,16 +82,23 @@ class Statistics:
         return max(math.log((self.rows - n + 0.5) / (n + 0.5)), LEAST_IDF) if self.rows > n - 0.5 else LEAST_IDF
 
 
-def statistics(indexed: DataFrame, phrases: list[Phrase], *field_sets: tuple[str, ...]) -> list[Statistics]:
-    """One pass, one row: N, mean length and, for each set of fields, the rows that hold each phrase in them.
+def gather(indexed: DataFrame, asked: list[tuple[list[Phrase], tuple[str, ...]]], *marks: Column) -> tuple[list[Statistics], list[int]]:
+    """One pass, one row: N, mean length, for each (phrases, fields) the rows that hold each phrase in them, and the rows with each mark.
 
     Matches of a query carry N and the mean length of the index that they come from.
     """
     size = [F.max("corpus_rows"), F.max("corpus_mean")] if "places" in indexed.columns else [F.count(F.lit(1)), F.avg("n_words")]
-    counts = [c for fields in field_sets for c in phrase_counts(indexed, phrases, fields)]
-    n, mean, *found = indexed.agg(*size, *[F.count_if(c > 0) for c in counts]).first()
-    found = [f or 0 for f in found]
-    return [Statistics(n or 0, float(mean or 0.0), tuple(found[k : k + len(phrases)])) for k in range(0, len(found), len(phrases))]
+    counts = [c for phrases, fields in asked for c in phrase_counts(indexed, phrases, fields)]
+    n, mean, *found = indexed.agg(*size, *[F.count_if(c > 0) for c in counts], *[F.count_if(m) for m in marks]).first()
+    found, out = [f or 0 for f in found], []
+    for phrases, _ in asked:
+        out.append(Statistics(n or 0, float(mean or 0.0), tuple(found[: len(phrases)])))
+        found = found[len(phrases) :]
+    return out, found
+
+
+def statistics(indexed: DataFrame, phrases: list[Phrase], *field_sets: tuple[str, ...]) -> list[Statistics]:
+    return gather(indexed, [(phrases, f) for f in field_sets])[0]
 
 
 def bm25(counts: list[Column], stats: Statistics, length: Column) -> Column:
@@ -122,12 +129,14 @@ def scope_condition(scope: Scope) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def lanes(indexed: DataFrame, compiled: Compiled, scope: Scope, bound: int, variant: int = 0) -> DataFrame:
-    """section_id, fts_score, step of all fields, heading and text, each for the scope and for its global notes."""
+LANES = (FIELDS, ("heading",), ("text",))
+
+
+def lanes(indexed: DataFrame, compiled: Compiled, scope: Scope, bound: int, variant: int = 0, stats: list[Statistics] | None = None) -> DataFrame:
+    """section_id, fts_score, step of all fields, heading and text (LANES), each for the scope and for its global notes."""
     parts = []
     phrases = list(compiled.clauses)
-    field_sets = (FIELDS, ("heading",), ("text",))
-    for n, (fields, stats) in enumerate(zip(field_sets, statistics(indexed, phrases, *field_sets), strict=True)):
+    for n, (fields, stats) in enumerate(zip(LANES, stats or statistics(indexed, phrases, *LANES), strict=True)):
         wheres = [scope_condition(scope)] + ([F.col("path").isin(list(scope.globals))] if scope.globals else [])
         for k, where in enumerate(wheres):
             got = lane(indexed, phrases, fields, where=where, limit=bound, stats=stats)
@@ -160,41 +169,69 @@ def reason(is_global: Column, partial: Column, identifier: Column, heading: Colu
     return F.when(joined == "", "text match").otherwise(joined)
 
 
-def relaxed(indexed: DataFrame, tokens: tuple[str, ...], quoted: bool, scope: Scope, bound: int, strict: DataFrame, fold_tokens=None, headings: DataFrame | None = None) -> DataFrame | None:
-    """section_id, fts_score, matched, weight of sections that cover enough content terms; None where the query allows no relaxation.
+@dataclass(frozen=True)
+class Relaxation:
+    """The content terms of a query, their phrases, and how many of them a section must cover."""
 
-    headings: section_id, heading_path, where `indexed` has no heading_path.
-    """
+    terms: tuple[str, ...]
+    phrases: tuple[Phrase, ...]
+    needed: int
+
+
+def relaxation(tokens: tuple[str, ...], quoted: bool) -> Relaxation | None:
+    """None where the query allows no relaxation."""
     terms = [] if quoted else content_terms(tokens)
     needed = required_terms(len(terms))
     if len(terms) < 2 or needed >= len({t.casefold() for t in tokens}):
         return None
-    phrases = [index_words(t) for t in terms]
-    if not all(phrases):
-        terms, phrases = zip(*[(t, p) for t, p in zip(terms, phrases, strict=True) if p], strict=True)
-    stats = statistics(indexed, list(phrases), FIELDS)[0]
+    known = {t: p for t in terms if (p := index_words(t))}
+    return Relaxation(tuple(known), tuple(known.values()), needed) if known else None
+
+
+def relaxed_bound(bound: int) -> int:
+    return min(MAX_RELAXED, 4 * bound)
+
+
+def relaxed_lane(indexed: DataFrame, plan: Relaxation, scope: Scope, bound: int, stats: Statistics, **carry: Column) -> DataFrame:
+    """section_id, fts_score, heads, bodies (occurrences of each phrase in heading and text) of the best sections with any phrase."""
+    hits = indexed.filter(scope_condition(scope)).select("section_id", "n_words", *[F.array(*phrase_counts(indexed, list(plan.phrases), (f,))).alias(n) for f, n in zip(FIELDS, ("heads", "bodies"), strict=True)], *[c.alias(n) for n, c in carry.items()])
+    counts = [F.col("heads")[k] + F.col("bodies")[k] for k in range(len(plan.phrases))]
+    some = hits.filter(reduce(lambda a, b: a | b, [c > 0 for c in counts]))
+    return some.withColumn("fts_score", bm25(counts, stats, F.col("n_words"))).orderBy("fts_score", "section_id").limit(relaxed_bound(bound))
+
+
+def covered(rows: DataFrame, plan: Relaxation, stats: Statistics, any_strict: bool, path_tokens: Column) -> DataFrame:
+    """Rows of `relaxed_lane` that cover enough terms, with matched, of_terms and weight; beside strict hits they must cover all, one in the heading."""
     idf = [math.log((stats.rows - n + 0.5) / (n + 0.5) + 1.0) for n in stats.frequencies]
-    rows = lane(indexed, list(phrases), every=False, where=scope_condition(scope), limit=min(MAX_RELAXED, 4 * bound), stats=stats)
-    rows = rows.join(strict.select("section_id"), "section_id", "left_anti").join(indexed, "section_id")
-    if headings is not None:
-        rows = rows.drop("heading_path").join(headings.select("section_id", "heading_path"), "section_id")
-    path = (fold_tokens or (lambda c: F.transform(query_tokens(c), F.lower)))(F.array_join("heading_path", "\n"))
-    rows = rows.withColumn("path_tokens", path)
-    heads, bodies = (phrase_counts(indexed, list(phrases), (f,)) for f in FIELDS)
-    inside = [(h > 0, F.array_contains("path_tokens", t), b > 0) for t, h, b in zip(terms, heads, bodies, strict=True)]
+    inside = [(F.col("heads")[k] > 0, F.array_contains(path_tokens, t), F.col("bodies")[k] > 0) for k, t in enumerate(plan.terms)]
     weight = [F.when(h, WEIGHTS["heading"]).when(a, WEIGHTS["heading_path"]).when(b, WEIGHTS["text"]).otherwise(0.0) for h, a, b in inside]
     total = lambda cs: reduce(lambda a, b: a + b, cs)
     rows = rows.withColumns({
         "matched": total([(w > 0).cast("int") for w in weight]),
-        "matched_idf": total([F.when(w > 0, i).otherwise(0.0) for w, i in zip(weight, idf, strict=True)]),
+        "of_terms": F.lit(len(plan.terms)),
         "weight": total([w * i for w, i in zip(weight, idf, strict=True)]),
-        "anchored": reduce(lambda a, b: a | b, [h for h, _, _ in inside]),
+        "matched_idf": total([F.when(w > 0, i).otherwise(0.0) for w, i in zip(weight, idf, strict=True)]),
     })
-    strict_hits = not strict.isEmpty()
-    ok = (F.col("matched") >= needed) & (F.col("matched_idf") >= COVERAGE_IDF * sum(idf))
-    if strict_hits:
-        ok &= (F.col("matched") == len(terms)) & F.col("anchored")
-    return rows.filter(ok).select("section_id", "fts_score", "matched", F.lit(len(terms)).alias("of_terms"), "weight")
+    ok = (F.col("matched") >= plan.needed) & (F.col("matched_idf") >= COVERAGE_IDF * sum(idf))
+    if any_strict:
+        ok &= (F.col("matched") == len(plan.terms)) & reduce(lambda a, b: a | b, [h for h, _, _ in inside])
+    return rows.filter(ok).drop("matched_idf")
+
+
+def relaxed(indexed: DataFrame, compiled: Compiled, quoted: bool, scope: Scope, bound: int, fold_tokens=None) -> DataFrame | None:
+    """section_id, fts_score, matched, weight of sections that cover enough content terms; None where the query allows no relaxation.
+
+    Two passes over an index with heading_path: one for all statistics, one for the rows.
+    Sections in scope with all clauses of the query are its strict hits.
+    """
+    plan = relaxation(compiled.tokens, quoted)
+    if plan is None:
+        return None
+    strict = reduce(lambda a, b: a & b, [c > 0 for c in phrase_counts(indexed, list(compiled.clauses))])
+    (stats,), (n_strict,) = gather(indexed, [(list(plan.phrases), FIELDS)], strict & scope_condition(scope))
+    rows = relaxed_lane(indexed, plan, scope, bound, stats, heading_path=F.col("heading_path"), strict=strict).filter(~F.col("strict"))
+    path = (fold_tokens or (lambda c: F.transform(query_tokens(c), F.lower)))(F.array_join("heading_path", "\n"))
+    return covered(rows, plan, stats, n_strict > 0, path).select("section_id", "fts_score", "matched", "of_terms", "weight")
 
 
 def atom_matches(indexed: DataFrame, atoms: list[str], scope: Scope) -> DataFrame:

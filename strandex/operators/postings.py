@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +61,12 @@ def bucket(term, buckets: int):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def bucket_of(term: str, buckets: int) -> int:
+    """The same on the driver: Spark's xxhash64 is XXH64 with seed 42, as a signed number."""
+    h = xxhash.xxh64_intdigest(term.encode(), 42)
+    return (h - (h >> 63 << 64)) % buckets
+
+
 def write(rows: DataFrame, path: str, buckets: int, parts: int = 1) -> None:
     """The table at `path`; parts: tasks that share the rows of a bucket, by section."""
     own = rows.withColumn("bucket", bucket("term", buckets))
@@ -77,8 +84,7 @@ def matches(table: DataFrame, words: Iterable[str], rows: int, mean_length: floa
     words = sorted(set(words))
     some = table.filter(F.col("term").isin(words) if words else F.lit(False))
     if words and buckets:
-        found = table.sparkSession.createDataFrame([(w,) for w in words], "term string").select(bucket("term", buckets)).collect()
-        some = some.filter(F.col("bucket").isin(sorted({r[0] for r in found})))
+        some = some.filter(F.col("bucket").isin(sorted({bucket_of(w, buckets) for w in words})))
     entry = F.struct(F.concat_ws(":", "field", "term"), "places")
     grouped = some.groupBy("section_id", "root_id", "path", "n_words").agg(F.map_from_entries(F.collect_list(entry)).alias("places"))
     return grouped.withColumns({"corpus_rows": F.lit(rows).cast("long"), "corpus_mean": F.lit(float(mean_length))})

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,6 @@ from ..functions.vectors import is_valid
 from ..plans.query import Root, Scope, Synonyms, candidate_bound, compile_query, content_terms, guard_atoms, index_words, query_variants, resolve_scope
 from ..plans.query import fold as fold_text
 from . import lexical
-from .freshness import fresh_hits, refresh_set
 from .fusion import fuse
 from .postings import matches
 from .vector import RELATIVE_FLOOR, SCORE_FLOOR, cosine, relative_floor, same_ticket
@@ -41,7 +42,11 @@ class Policies:
 
 @dataclass
 class Index:
-    """sections (columns of SECTION), live files (path, content_hash; None: not checked) and vectors.
+    """sections (columns of SECTION), live sources and vectors.
+
+    live: a function from paths to the content hashes that these files have now (a path
+    without a file has none); None: hits are not checked. It is asked for the candidates
+    of a query only. vectors: section_id, path, root_id, content_hash, vector.
 
     With postings (a table of `postings.write`, and n_rows and mean_length of the index) a
     query reads the postings of its words; without, it scans the sections.
@@ -50,7 +55,7 @@ class Index:
     sections: DataFrame
     roots: list[Root]
     global_paths: list[str] = field(default_factory=list)
-    live: DataFrame | None = None
+    live: Callable[[set[str]], dict[str, str]] | None = None
     vectors: DataFrame | None = None
     synonyms: Synonyms = Synonyms()
     postings: DataFrame | None = None
@@ -98,56 +103,82 @@ def _folded_tokens(column):
     return query_tokens(fold_udf(column))
 
 
+def _local(index: Index, rows: pa.Table) -> DataFrame:
+    """A few rows of the driver as a table."""
+    return index.sections.sparkSession.createDataFrame(rows)
+
+
 @dataclass
 class Lane:
-    """Ranked lexical hits whose sources are as they were indexed, and the paths of those that are not."""
+    """Ranked lexical hits whose sources are as they were indexed (with the columns of their sections), and the paths of those that are not."""
 
-    hits: DataFrame
-    stale: DataFrame | None
+    hits: pa.Table
+    stale: set[str]
 
 
 def lexical_lane(index: Index, query: str, scope: Scope, bound: int, policies: Policies) -> Lane | None:
-    """hits: section_id, lexical_score, score, reason, lexical_rank; None for an empty query or scope."""
+    """hits: lexical_score, score, reason, lexical_rank and SECTION; None for an empty query or scope.
+
+    Three passes, whatever the query: the statistics of all its forms, the best rows of all
+    lanes (a few bounds of ids and counts, which the driver merges), their sections.
+    """
     norm = fold_text(query)
     compiled = compile_query(norm)
     if scope.empty or compiled.empty:
         return None
     variants = [compile_query(v) for v in query_variants(norm, index.synonyms)] if policies.synonym_expansion else []
     forms = [compiled, *[v for v in variants if not v.empty]]
-    view = index.view(forms)
-    parts = lexical.lanes(view, compiled, scope, bound)
-    for n, v in enumerate(forms[1:], 1):
-        parts = parts.unionByName(lexical.lanes(view, v, scope, bound, n))
     expanded = len(forms) > 1
-    strict = lexical.merge_lanes(parts, expanded)
-    rows = strict.select("section_id", "fts_score", F.lit(None).cast("int").alias("matched"), F.lit(None).cast("int").alias("of_terms"), F.lit(None).cast("double").alias("weight"))
-    if policies.relaxed_matching:
-        loose = lexical.relaxed(view, compiled.tokens, '"' in norm, scope, bound, strict, _folded_tokens, index.sections)
-        if loose is not None:
-            rows = rows.unionByName(loose)
-    rows = rows.join(index.sections.select("section_id", "path", "content_hash", "heading", "heading_path", "text"), "section_id")
-    stale = None
-    if index.live is not None:
-        stale = refresh_set(rows, index.live)
-        rows = fresh_hits(rows, index.live)
-    is_relaxed = F.col("matched").isNotNull()
+    view = index.view(forms)
+    plan = lexical.relaxation(compiled.tokens, '"' in norm) if policies.relaxed_matching else None
+    asked = [(list(f.clauses), fields) for f in forms for fields in lexical.LANES] + ([(list(plan.phrases), lexical.FIELDS)] if plan else [])
+    stats, _ = lexical.gather(view, asked)
+    none = F.lit(None).cast("array<int>")
+    parts = []
+    for n, f in enumerate(forms):
+        own = lexical.lanes(view, f, scope, bound, n, stats[len(lexical.LANES) * n : len(lexical.LANES) * (n + 1)])
+        parts.append(own.select("section_id", "fts_score", "step", none.alias("heads"), none.alias("bodies")))
+    if plan:
+        parts.append(lexical.relaxed_lane(view, plan, scope, bound, stats[-1]).select("section_id", "fts_score", F.lit(-1).alias("step"), "heads", "bodies"))
+    got = reduce(DataFrame.unionByName, parts).toArrow().to_pylist()  # at most a few bounds
+    strict: dict[str, tuple] = {}
+    for r in sorted((r for r in got if r["step"] >= 0), key=lambda r: r["step"]):
+        best = strict.get(r["section_id"])
+        if best is None or not expanded or r["fts_score"] < best[0]:
+            strict[r["section_id"]] = (r["fts_score"], None, None)
+    loose = {r["section_id"]: (r["fts_score"], r["heads"], r["bodies"]) for r in got if r["step"] < 0 and r["section_id"] not in strict}
+    rows = [(k, *v) for k, v in (strict | loose).items()]
+    few = F.broadcast(index.sections.sparkSession.createDataFrame(rows, "section_id string, fts_score double, heads array<int>, bodies array<int>"))
+    found = index.sections.select(*SECTION).join(few, "section_id")
     heading, body, path = (_folded_tokens(c) for c in (F.coalesce("heading", F.lit("")), F.col("text"), F.array_join("heading_path", "\n")))
-    rows = rows.withColumns({"h": heading, "b": body, "p": path}).withColumn("h", F.when(is_relaxed, F.array_union("h", "p")).otherwise(F.col("h")))
-    strict_tokens = [t.casefold() for f in forms for t in f.tokens]
-    a = lexical.boosts(F.col("h"), F.col("b"), strict_tokens)
+    found = found.withColumns({"h": heading, "b": body, "p": path})
+    exact = found.filter("heads IS NULL").withColumns({"matched": F.lit(None).cast("int"), "of_terms": F.lit(None).cast("int"), "weight": F.lit(None).cast("double")})
+    if plan:
+        relaxed = lexical.covered(found.filter("heads IS NOT NULL"), plan, stats[-1], bool(strict), F.col("p"))
+        exact = exact.unionByName(relaxed.withColumn("h", F.array_union("h", "p")))
+    is_relaxed = F.col("matched").isNotNull()
+    a = lexical.boosts(F.col("h"), F.col("b"), [t.casefold() for f in forms for t in f.tokens])
     c = lexical.boosts(F.col("h"), F.col("b"), content_terms(compiled.tokens))
     ident, head, inside = (F.when(is_relaxed, y).otherwise(x) for x, y in zip(a, c, strict=True))
-    rows = rows.withColumn("score", -F.col("fts_score") + ident + head)
     partial = F.when(is_relaxed, F.format_string("partial match (%d/%d terms)", "matched", "of_terms"))
-    is_global = F.col("path").isin(index.global_paths) if index.global_paths else F.lit(False)
-    rows = rows.withColumn("reason", lexical.reason(is_global, partial, ident, head, inside))
+    reason = lexical.reason(_is_global(index), partial, ident, head, inside)
+    scored = exact.select(*SECTION, F.col("fts_score").alias("lexical_score"), (-F.col("fts_score") + ident + head).alias("score"), reason.alias("reason"), "weight").toArrow()
+    stale = _stale(index, scored)
     # strict hits by score (with variants by BM25 alone), then the relaxed ones by weight, then score
-    key = F.when(is_relaxed, -F.col("weight")).otherwise(F.col("fts_score") if expanded else -F.col("score"))
-    order = Window.orderBy(is_relaxed, key, F.when(is_relaxed, -F.col("score")), "section_id")
-    # at most a few bounds of rows are left; the best, 200 at most, are fetched once for the plans that read them
-    rows = rows.withColumn("lexical_rank", F.row_number().over(order)).filter(F.col("lexical_rank") <= bound)
-    best = rows.select("section_id", F.col("fts_score").alias("lexical_score"), "score", "reason", "lexical_rank").toArrow()
-    return Lane(index.sections.sparkSession.createDataFrame(best), stale)
+    kept = [r for r in scored.to_pylist() if r["path"] not in stale]
+    kept.sort(key=lambda r: (r["weight"] is not None, r["lexical_score"] if expanded and r["weight"] is None else -r["score"] if r["weight"] is None else -r["weight"], -r["score"] if r["weight"] is not None else 0.0, r["section_id"]))
+    kept = [{**r, "lexical_rank": n} for n, r in enumerate(kept[:bound], 1)]
+    kind = scored.schema.append(pa.field("lexical_rank", pa.int32()))
+    return Lane(pa.Table.from_pylist(kept, schema=kind), stale)
+
+
+def _stale(index: Index, rows: pa.Table) -> set[str]:
+    """Paths of rows (path, content_hash) whose file is gone or has changed."""
+    if index.live is None or not rows.num_rows:
+        return set()
+    pairs = set(zip(rows.column("path").to_pylist(), rows.column("content_hash").to_pylist(), strict=True))
+    now = index.live({p for p, _ in pairs})
+    return {p for p, h in pairs if now.get(p) != h}
 
 
 def search(index: Index, query: str, project: str | None = None, root_id: str | None = None, all_projects: bool = False, limit: int = 20, query_vector: list[float] | None = None, policies: Policies | None = None, refresh: set[str] | None = None) -> DataFrame:
@@ -161,44 +192,47 @@ def search(index: Index, query: str, project: str | None = None, root_id: str |
     scope = index.scope(project, root_id, all_projects)
     lane = lexical_lane(index, query, scope, bound, policies)
     hits = lane.hits if lane else None
-    stale = _paths(lane.stale) if lane and lane.stale is not None else set()
+    stale = set(lane.stale) if lane else set()
     if query_vector is None or index.vectors is None or scope.empty:
         _add(refresh, stale)
         return _lexical_result(index, hits, limit)
-    vectors = index.vectors.select("section_id", "content_hash", "vector").join(index.sections.select("section_id", "path", "root_id", "content_hash"), ["section_id", "content_hash"])
-    seen = vectors.filter(lexical.scope_condition(scope))
-    stale |= _paths(seen.filter(~is_valid(F.col("vector"), len(query_vector))).select("path"), bound)
-    near = cosine(seen.filter(is_valid(F.col("vector"), len(query_vector))), query_vector, limit=bound)
-    if index.live is not None:
-        stale |= _paths(refresh_set(near.join(index.sections.select("section_id", "path", "content_hash"), "section_id"), index.live))
+    seen = index.vectors.filter(lexical.scope_condition(scope))
+    # the best vectors, and a few that are not valid: one pass
+    good = is_valid(F.col("vector"), len(query_vector))
+    best = cosine(seen.filter(good), query_vector, limit=bound).withColumn("broken", F.lit(False))
+    broken = seen.filter(~good).select("section_id", F.lit(None).cast("double").alias("vector_score"), F.lit(True).alias("broken")).limit(bound)
+    few = best.unionByName(broken).toArrow()
+    near = index.sections.select(*SECTION).join(F.broadcast(_local(index, few)), "section_id").toArrow()
+    marks = near.column("broken").to_pylist()
+    stale |= {p for p, m in zip(near.column("path").to_pylist(), marks, strict=True) if m} | _stale(index, near)
     _add(refresh, stale)
     if stale:
         return _lexical_result(index, hits, limit)
-    ranked = near.withColumn("vector_rank", F.row_number().over(Window.orderBy(F.desc("vector_score"), "section_id")))
-    lex = hits if hits is not None else index.sections.select("section_id", F.lit(0).alias("lexical_rank"), F.lit(0.0).alias("lexical_score"), F.lit(0.0).alias("score"), F.lit("").alias("reason")).filter(F.lit(False))
+    order = sorted(near.to_pylist(), key=lambda r: (-r["vector_score"], r["section_id"]))
+    kind = near.schema.append(pa.field("vector_rank", pa.int32()))
+    ranked = _local(index, pa.Table.from_pylist([{**r, "vector_rank": n} for n, r in enumerate(order, 1)], schema=kind))
+    lex = _local(index, hits) if hits is not None else _no_hits(index)
     atoms = guard_atoms(query)
     own = [a for a in atoms if re.fullmatch(r"[a-z][a-z0-9]*-\d+", a)]
     if policies.ticket_id_cross_reference_filter and own:
-        text = fold_udf(F.concat_ws("\n", F.array_join("heading_path", "\n"), "text"))
-        ranked = same_ticket(ranked.join(index.sections.select("section_id", "heading_path", "text"), "section_id"), own, text).select("section_id", "vector_score", "vector_rank")
+        ranked = same_ticket(ranked, own, fold_udf(F.concat_ws("\n", F.array_join("heading_path", "\n"), "text")))
     ranked = relative_floor(ranked, lex, policies.semantic_score_floor, policies.relative_semantic_score_floor)
     one = lambda d: d.withColumn("query_id", F.lit(1))
     protected = None
     if atoms and hits is not None:
         compiled = compile_query(fold_text(query))
         view = index.view([compiled], atoms)
-        marks = lexical.atom_matches(view, atoms, scope)
-        protected = one(marks.join(lexical.primary_ranks(view, compiled, scope, bound), "section_id"))
-    out = fuse(one(lex), one(ranked), bound, limit, bool(atoms), policies.balanced_admission, protected, policies.semantic_score_floor)
-    reason = F.coalesce(F.when(F.col("lexical_rank").isNotNull(), F.col("lexical_reason")), F.when(_is_global(index), "global-note inclusion, semantic match").otherwise("semantic match"))
-    found = out.join(lex.select("section_id", "lexical_score", F.col("reason").alias("lexical_reason")), "section_id", "left").join(index.sections, "section_id")
-    found = found.withColumns({"reason": F.concat_ws(", ", reason, F.concat("lane", F.lit(" lane")), F.lit("fused score")), "score": F.col("fused_score")})
-    return _result(index, found.withColumn("lexical_score", F.when(F.col("lexical_rank").isNotNull(), F.col("lexical_score"))))
-
-
-def _paths(rows: DataFrame, most: int = 1000) -> set[str]:
-    """Paths of a few hundred hits at most."""
-    return {r["path"] for r in rows.select("path").limit(most).collect()}
+        found = lexical.atom_matches(view, atoms, scope)
+        protected = one(found.join(lexical.primary_ranks(view, compiled, scope, bound), "section_id"))
+    out = fuse(one(lex), one(ranked), bound, limit, bool(atoms), policies.balanced_admission, protected, policies.semantic_score_floor).toArrow()
+    known = {r["section_id"]: r for t in ([near, hits] if hits is not None else [near]) for r in t.to_pylist()}
+    rows = []
+    for r in out.to_pylist():  # `limit` rows
+        lexical_hit = r["lexical_rank"] is not None
+        section = known[r["section_id"]]
+        reason = section["reason"] if lexical_hit else "global-note inclusion, semantic match" if section["path"] in index.global_paths else "semantic match"
+        rows.append({**{c: section[c] for c in SECTION}, **r, "score": r["fused_score"], "lexical_score": section["lexical_score"] if lexical_hit else None, "reason": f"{reason}, {r['lane']} lane, fused score"})
+    return _result(index, rows)
 
 
 def _add(refresh: set[str] | None, paths: set[str]) -> None:
@@ -210,19 +244,26 @@ def _is_global(index: Index):
     return F.col("path").isin(index.global_paths) if index.global_paths else F.lit(False)
 
 
-def _result(index: Index, rows: DataFrame) -> DataFrame:
+def _no_hits(index: Index) -> DataFrame:
+    return index.sections.sparkSession.createDataFrame([], "section_id string, lexical_rank int, lexical_score double")
+
+
+_FOUND = {**SECTION, **SCORES, "rank": "int", "score": "double", "reason": "string", "lane": "string", "guard_reason": "string"}
+
+
+def _result(index: Index, rows: list[dict]) -> DataFrame:
+    """At most `limit` rows as the result's table, by rank."""
+    kind = ", ".join(f"{c} {k}" for c, k in _FOUND.items())
+    rows = sorted(([r.get(c) for c in _FOUND] for r in rows), key=lambda r: r[list(_FOUND).index("rank")])
     names = [x for r in index.roots for x in (F.lit(r.id), F.lit(r.project))]
     project = F.create_map(*names)[F.col("root_id")] if names else F.lit(None).cast("string")
-    return rows.withColumns({"project": project, "excerpt": excerpt(F.col("text"))}).select(*RESULT).orderBy("rank")
+    table = index.sections.sparkSession.createDataFrame(rows, kind)
+    return table.withColumns({"project": project, "excerpt": excerpt(F.col("text"))}).select(*RESULT).orderBy("rank")
 
 
-def _lexical_result(index: Index, hits: DataFrame | None, limit: int) -> DataFrame:
-    if hits is None:
-        none = {c: F.lit(None).cast(k) for c, k in (SCORES | {"rank": "int", "score": "double", "reason": "string", "lane": "string", "guard_reason": "string"}).items()}
-        return _result(index, index.sections.filter(F.lit(False)).withColumns(none))
-    rows = hits.filter(F.col("lexical_rank") <= limit).join(index.sections, "section_id")
-    none = {c: F.lit(None).cast(SCORES[c]) for c in ("vector_rank", "vector_score", "fused_score")}
-    return _result(index, rows.withColumns({"rank": F.col("lexical_rank"), "lane": F.lit("lexical"), "guard_reason": F.lit(None).cast("string"), **none}))
+def _lexical_result(index: Index, hits: pa.Table | None, limit: int) -> DataFrame:
+    rows = hits.to_pylist()[:limit] if hits is not None else []
+    return _result(index, [{**r, "rank": r["lexical_rank"], "lane": "lexical"} for r in rows])
 
 
 def semantic_with(index: Index, encoder: Callable[[list[str]], list[list[float]]] | object, query: str, **options) -> DataFrame:

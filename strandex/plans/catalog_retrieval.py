@@ -181,21 +181,38 @@ def relaxed_match(spark, sf_dir):
     idx = doc_index(spark, sf_dir)
     scope = resolve_scope([Root(f"src{n}", "all") for n in range(20)], [], all_projects=True)
     compiled = compile_query("what is nicht auch eine dem doing")
-    strict = lexical.lane(idx, list(compiled.clauses))
-    return _relaxed_rows(lexical.relaxed(idx, compiled.tokens, False, scope, 50, strict, lambda c: query_tokens(F.lower(c))))
+    return _relaxed_rows(lexical.relaxed(idx, compiled, False, scope, 50, lambda c: query_tokens(F.lower(c))))
 
 
 @query(f"WITH {TURNS}, {bm25_sql('strict', [('was',), ('die',), ('und',)], where=SCOPE)}, {_relaxed_sql(['die', 'und'], SCOPE, '(SELECT count(*) FROM strict) = 0 OR (matched = 2 AND anchored)', 'list_distinct(list_concat([' + chr(39) + 'conversation' + chr(39) + ', conv_id::VARCHAR], hw))')}")
 def relaxed_after_strict(spark, sf_dir):
     idx, scope = turn_index(spark, sf_dir), _scope()
     compiled = compile_query("was die und")
-    strict = lexical.lane(idx, list(compiled.clauses), where=lexical.scope_condition(scope))
-    return _relaxed_rows(lexical.relaxed(idx, compiled.tokens, False, scope, 50, strict, lambda c: query_tokens(F.lower(c))))
+    return _relaxed_rows(lexical.relaxed(idx, compiled, False, scope, 50, lambda c: query_tokens(F.lower(c))))
 
 
 _B = bm25_sql("r", [("the",), ("user",)])
 
 
+_R = _lanes_sql([("the",), ("user",)], 50, "r")
+
+
+@query(f"""WITH {TURNS}, {_R[0]}, u AS ({_R[1]}), r AS (SELECT section_id, arg_max(fts_score, step) AS fts_score FROM u GROUP BY section_id),
+x AS (SELECT section_id, fts_score, CASE WHEN list_contains(hw, 'the') THEN 75e-2 ELSE 0e0 END + CASE WHEN list_contains(hw, 'user') THEN 75e-2 ELSE 0e0 END AS hb,
+    list_contains(tw, 'the') OR list_contains(tw, 'user') AS inside, path = '{GLOBAL}' AS g FROM r JOIN idx USING (section_id)),
+y AS (SELECT section_id, -fts_score + hb AS score, concat_ws(', ', CASE WHEN g THEN 'global-note inclusion' END, CASE WHEN hb > 0 THEN 'heading match' END, CASE WHEN inside THEN 'body match' END) AS reason FROM x)
+SELECT section_id, round(score, 6) AS score, CASE WHEN reason = '' THEN 'text match' ELSE reason END AS reason, row_number() OVER (ORDER BY round(score, 9) DESC, section_id) AS lexical_rank FROM y QUALIFY lexical_rank <= 50""")
+def lexical_ranked(spark, sf_dir):
+    """The whole lexical operator for one query: lanes with their bound, last lane wins, boosts, reasons, order."""
+    idx = turn_index(spark, sf_dir)
+    parts = lexical.lanes(idx, compile_query("the user"), _scope(), 50)
+    rows = lexical.merge_lanes(parts, expanded=False).join(idx, "section_id")
+    ident, head, inside = lexical.boosts(F.col("heading_words"), F.col("text_words"), ["the", "user"])
+    rows = rows.select("section_id", (-F.col("fts_score") + ident + head).alias("score"), lexical.reason(F.col("path") == GLOBAL, F.lit(None).cast("string"), ident, head, inside).alias("reason"))
+    best = rows.orderBy(F.desc(F.round("score", 9)), "section_id").limit(50)
+    return best.select("section_id", F.round("score", 6).alias("score"), "reason", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "section_id")).cast("long").alias("lexical_rank"))
+
+
 @query(f"""WITH {TURNS}, {_B}, x AS (SELECT section_id, fts_score, CASE WHEN list_contains(hw, 'the') THEN 75e-2 ELSE 0e0 END + CASE WHEN list_contains(hw, 'user') THEN 75e-2 ELSE 0e0 END AS hb,
     list_contains(tw, 'the') OR list_contains(tw, 'user') AS inside, path = '{GLOBAL}' AS g FROM r JOIN idx USING (section_id)),
 y AS (SELECT section_id, round(-fts_score + hb, 6) AS score, concat_ws(', ', CASE WHEN g THEN 'global-note inclusion' END, CASE WHEN hb > 0 THEN 'heading match' END, CASE WHEN inside THEN 'body match' END) AS reason FROM x)

@@ -51,3 +51,13 @@ def names(spark: SparkSession, path: str) -> list[str]:
 def remove(spark: SparkSession, path: str) -> None:
     p, fs = _at(spark, path)
     fs.delete(p, True)
+
+
+def existing(spark: SparkSession, paths) -> list[str]:
+    """Those of a few paths that are files."""
+    out = []
+    for path in sorted(paths):
+        p, fs = _at(spark, path)
+        if fs.exists(p) and not fs.getFileStatus(p).isDirectory():
+            out.append(path)
+    return out

@@ -21,6 +21,7 @@ from pyspark.sql.types import BooleanType
 
 from ..functions.text import cut_bytes
 from ..plans.query import Root
+from . import files
 from .config import path_excluded
 
 #: Stands for the ancestry of what comes before the first heading, in ids.
@@ -213,9 +214,9 @@ def scan(spark: SparkSession, roots: list[Root], private: list[str] | None = Non
     """path, root_id, content, content_hash of the Markdown files below the roots; the last root wins for a path."""
     parts = []
     for n, root in enumerate(roots):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.path)
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.path)
         path = F.regexp_replace("path", "^file:/*", "/")
-        rows = files.select(path.alias("path"), "content").filter(F.lower("path").rlike(r"\.(md|markdown)$") & ~excluded(F.col("path"), root, private or []))
+        rows = found.select(path.alias("path"), "content").filter(F.lower("path").rlike(r"\.(md|markdown)$") & ~excluded(F.col("path"), root, private or []))
         rows = rows.filter(_inside("path", F.lit(root.path)))
         parts.append(rows.select("path", F.lit(root.id).alias("root_id"), "content", F.lit(n).alias("turn")))
     rows = reduce(DataFrame.unionByName, parts)
@@ -223,6 +224,16 @@ def scan(spark: SparkSession, roots: list[Root], private: list[str] | None = Non
     return rows.join(last, ["path", "turn"], "left_semi").select("path", "root_id", "content", F.sha2("content", 256).alias("content_hash"))
 
 
+def hashes_now(spark: SparkSession, config, paths: set[str]) -> dict[str, str]:
+    """Content hashes of a query's hits, as their files are now; a file that is gone, or excluded by now, has none."""
+    allowed = {p for p in paths if not os.path.isabs(p) or safe_source(config, p) is not None}
+    there = files.existing(spark, allowed)
+    if not there:
+        return {}
+    rows = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?,])", r"\\\1", p) for p in there]).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.sha2("content", 256).alias("hash"))
+    return {r["path"]: r["hash"] for r in rows.collect()}
+
+
 def read_source(spark: SparkSession, config, path: str, heading: str | None = None, limit: int = 20000) -> str:
     """A note as it is now, or its sections under a heading; the path may be relative to a root or to the working folder."""
     if limit < 1:

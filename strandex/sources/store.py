@@ -25,7 +25,7 @@ from ..operators.search import Index
 from . import files, markdown
 from .config import Config, canonical_json
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 POINTER = "current.json"
 #: Known schemas: opening a table runs no job.
 SCHEMAS = {
@@ -34,7 +34,7 @@ SCHEMAS = {
     "new": markdown.SECTION_SCHEMA,
     "sections": markdown.SECTION_SCHEMA,
     "postings": postings.SCHEMA + ", bucket int",
-    "vectors": "section_id string, content_hash string, encoder string, vector array<float>",
+    "vectors": "section_id string, path string, root_id string, content_hash string, encoder string, vector array<float>",
 }
 
 
@@ -135,14 +135,14 @@ def build(spark: SparkSession, config: Config, rebuild: bool = False, encoder: C
 def _embed(store: Store, old: dict | None, sections: DataFrame, generation: int, encoder, version: str) -> dict:
     if encoder is None:
         return {"state": DISABLED, "reason": "NO_ENCODER"}
-    wanted = sections.select("section_id", "content_hash", "text").withColumn("encoder", F.lit(version))
+    wanted = sections.select("section_id", "path", "root_id", "content_hash", "text").withColumn("encoder", F.lit(version))
     kept = None
     try:
         if old and old.get("vectors") is not None:
             before = store.table("vectors", old["generation"])
-            kept = before.filter(is_valid(F.col("vector"), old["size"])).join(wanted, ["section_id", "content_hash", "encoder"], "left_semi")
-        missing = wanted if kept is None else needs_embedding(wanted, kept, ["encoder"])
-        made = encoder(missing.select("section_id", "text")).join(missing.drop("text"), "section_id").select("section_id", "content_hash", "encoder", F.col("vector").cast("array<float>").alias("vector"))
+            kept = before.filter(is_valid(F.col("vector"), old["size"])).join(wanted, ["section_id", "path", "root_id", "content_hash", "encoder"], "left_semi")
+        missing = wanted if kept is None else needs_embedding(wanted, kept.select("section_id", "content_hash", "encoder"), ["encoder"])
+        made = encoder(missing.select("section_id", "text")).join(missing.drop("text"), "section_id").select("section_id", "path", "root_id", "content_hash", "encoder", F.col("vector").cast("array<float>").alias("vector"))
         store.write(made if kept is None else kept.unionByName(made), "vectors", generation)
     except Exception as e:  # an encoder is foreign code: whatever it raises, the text index is good
         if kept is not None:
@@ -174,6 +174,6 @@ def open_index(spark: SparkSession, config: Config, live: bool = True) -> Index
     if at is None:
         return None
     g = at["generation"]
-    now = markdown.scan(spark, list(config.roots), list(config.private)).select("path", "content_hash") if live else None
+    now = (lambda paths: markdown.hashes_now(spark, config, paths)) if live else None
     vectors = store.table("vectors", g) if at["state"] == READY else None
     return Index(store.table("sections", g), list(config.roots), list(config.global_notes), now, vectors, config.synonyms, store.table("postings", g), at["sections"], at["mean_length"], at["buckets"])

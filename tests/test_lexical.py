@@ -95,12 +95,11 @@ def test_empty_index(spark):
     assert lexical.lane(empty, [("alpha",)]).count() == 0 and postings.postings(empty).count() == 0
 
 
-def relaxed(spark, rows, query, strict_of=None):
+def relaxed(spark, rows, query):
     view = lexical.index(spark.createDataFrame([(i, "a", f"{i}.md", h, p, t) for i, h, p, t in rows], SCHEMA))
     scope = resolve_scope(ROOTS, [], project="p")
     compiled = compile_query(query)
-    strict = lexical.lane(view, list(compiled.clauses))
-    got = lexical.relaxed(view, compiled.tokens, '"' in query, scope, 50, strict, lambda c: query_tokens(F.lower(c)))
+    got = lexical.relaxed(view, compiled, '"' in query, scope, 50, lambda c: query_tokens(F.lower(c)))
     return None if got is None else {r.section_id: (r.matched, r.of_terms) for r in got.collect()}
 
 
