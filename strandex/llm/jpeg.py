@@ -21,15 +21,17 @@ import hashlib
 import struct
 import zlib
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .flat import U8, map_texts, offsets, spread
+from .flat import U8, map_texts, ranges, spread
 
 UNIT = 192
 _TAG = b"payload:"
 _EVERY = 2  # MCUs of a restart interval
+_RUN = 8192  # MCUs that are encoded at once, a multiple of _EVERY
 _ROW = 64  # MCUs side by side at most, where 8191 rows are enough
 _SOI, _EOI, _SOS, _DQT, _DHT, _SOF, _DRI, _COM = 0xD8, 0xD9, 0xDA, 0xDB, 0xC4, 0xC0, 0xDD, 0xFE
 
@@ -70,12 +72,31 @@ def shape(units: int) -> tuple[int, int]:
 
 
 def encode_payload(payloads: list[bytes]) -> list[bytes]:
-    """A baseline JPEG for each payload, whose length is a positive multiple of 192."""
+    """A baseline JPEG for each payload, whose length is a positive multiple of 192.
+
+    Files are encoded in runs of whole restart intervals, so a long payload needs no more memory than many short ones.
+    """
     grid = [shape(len(p) // UNIT) for p in payloads]
-    cells = np.array([a * d for a, d in grid], np.int64)
-    data = np.frombuffer(b"".join([p.ljust(int(n) * UNIT, b" ") for p, n in zip(payloads, cells, strict=True)]), np.uint8).reshape(-1, 3, 64)
-    first = offsets(cells)
-    unit = np.arange(len(data)) - np.repeat(first[:-1], cells)
+    runs = [(i, lo, min(_RUN, a * d - lo)) for i, (a, d) in enumerate(grid) for lo in range(0, a * d, _RUN)]
+    scans: list[list[bytes]] = [[] for _ in payloads]
+    for lo, hi in ranges([n for _, _, n in runs], _RUN):
+        part = runs[lo:hi]
+        data = b"".join([payloads[i][at * UNIT : (at + n) * UNIT].ljust(n * UNIT, b" ") for i, at, n in part])
+        ends = [at + n == grid[i][0] * grid[i][1] for i, at, n in part]
+        for (i, _, _), scan in zip(part, _scans(data, np.array([n for _, _, n in part]), np.array([at // _EVERY for _, at, _ in part]), np.array(ends)), strict=True):
+            scans[i].append(scan)
+    files = []
+    for p, (across, down), scan in zip(payloads, grid, scans, strict=True):
+        frame = _segment(_SOF, struct.pack(">BHHB", 8, down * 8, across * 8, 3) + bytes([1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0]))
+        note = _segment(_COM, _TAG + str(len(p)).encode())
+        files.append(_HEAD + note + frame + _TABLES + _segment(_DRI, struct.pack(">H", _EVERY)) + _SCAN + b"".join(scan) + b"\xff\xd9")
+    return files
+
+
+def _scans(payload: bytes, cells: np.ndarray, before: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Scan data of runs of `cells` MCUs, whose file has `before` intervals before them; a run that ends its file has no marker behind it."""
+    data = np.frombuffer(payload, np.uint8).reshape(-1, 3, 64)
+    unit = np.arange(len(data)) - np.repeat(np.cumsum(cells) - cells, cells)
     dc = data[:, :, 0].astype(np.int16)
     dc = np.where(dc < 128, dc - 128, dc - 127)
     diff = dc.copy()
@@ -86,7 +107,7 @@ def encode_payload(payloads: list[bytes]) -> list[bytes]:
     bits[:, :, 10:] = _AC_BITS[data[:, :, 1:]].reshape(len(data), 3, 567)
     size = 3 * 577
     full = (size * _EVERY + 7) // 8
-    runs = -(-cells // _EVERY)  # intervals of each file
+    runs = -(-cells // _EVERY)  # intervals of each run
     last = np.cumsum(runs) - 1
     held = np.full(int(runs.sum()), _EVERY, np.int64)
     held[last] = cells - (runs - 1) * _EVERY
@@ -100,23 +121,18 @@ def encode_payload(payloads: list[bytes]) -> list[bytes]:
     flat = packed[np.arange(full)[None, :] < n[:, None]]
     ff = flat == 0xFF
     mark = np.full(len(held), 2, np.int64)
-    mark[last] = 0
-    before = np.cumsum(ff) - ff
-    out_at = np.arange(len(flat)) + before + np.repeat(np.cumsum(mark) - mark, n)
-    ends = np.cumsum(n)
-    end_at = ends + np.append(before, ff.sum())[ends] + np.cumsum(mark)  # after the interval's marker
+    mark[last[ends]] = 0
+    stuffed = np.cumsum(ff) - ff
+    out_at = np.arange(len(flat)) + stuffed + np.repeat(np.cumsum(mark) - mark, n)
+    stop = np.cumsum(n)
+    end_at = stop + np.append(stuffed, ff.sum())[stop] + np.cumsum(mark)  # after the interval's marker
     out = np.zeros(int(end_at[-1]), np.uint8)
     out[out_at] = flat
-    order = np.arange(len(held)) - np.repeat(np.cumsum(runs) - runs, runs)
+    order = np.arange(len(held)) - np.repeat(np.cumsum(runs) - runs - before, runs)
     has = mark > 0
     out[end_at[has] - 2], out[end_at[has] - 1] = 0xFF, 0xD0 + order[has] % 8
-    scan, stop = out.tobytes(), np.concatenate([[0], end_at[last]])
-    files = []
-    for i, (p, (across, down)) in enumerate(zip(payloads, grid, strict=True)):
-        frame = _segment(_SOF, struct.pack(">BHHB", 8, down * 8, across * 8, 3) + bytes([1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0]))
-        note = _segment(_COM, _TAG + str(len(p)).encode())
-        files.append(_HEAD + note + frame + _TABLES + _segment(_DRI, struct.pack(">H", _EVERY)) + _SCAN + scan[stop[i] : stop[i + 1]] + b"\xff\xd9")
-    return files
+    scan, stops = out.tobytes(), [0, *end_at[last].tolist()]
+    return [scan[x:y] for x, y in pairwise(stops)]
 
 
 @lru_cache(maxsize=256)
