@@ -382,22 +382,25 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
 def _near_duplicates(df: DataFrame, size: int, percent: int, key: str, text: str, tables: Scratch) -> DataFrame:
     sigs = tables.written(signatures(df, size, key, text), "signatures")
     linked = sigs.filter("key IS NOT NULL AND n > 0")
-    classes = tables.written(linked.groupBy("fa", "fb").agg(F.min("key").alias("rep")), "classes")
-    owners = classes.select(F.col("rep").alias("key")).distinct()
-    # a key with several sets is one node of several rows
-    reps = tables.written(linked.join(owners, "key", "left_semi").select(F.col("key").alias("rep"), "n", "fa", "fb", "sig").dropDuplicates(["rep", "fa", "fb"]).drop("fa", "fb"), "representatives")
+    first = F.min_by(F.struct("key", "n", "sig"), "key").alias("first")
+    reps = tables.written(linked.groupBy("fa", "fb").agg(first).select("fa", "fb", F.col("first.key").alias("rep"), "first.n", "first.sig"), "classes")
+    classes = reps.select("fa", "fb", "rep")
     buckets = tables.written(_buckets(reps), "buckets")
-    leaders = buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).filter("a < top").select("bucket", "a")
+    # leaders, candidates and members are few where few texts have near copies; written first, their size decides how they are joined
+    leaders = tables.written(buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).filter("a < top").select("bucket", "a"), "leaders")
     shared = tables.written(buckets.join(leaders, "bucket"), "shared-buckets")
-    candidates = shared.select(F.col("rep").alias(key)).distinct()
-    texts = df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).join(candidates, key, "left_semi")
+    candidates = tables.written(shared.select("rep").distinct(), "candidates")
+    members = tables.written(reps.join(candidates, "rep").select("rep", "n", "sig"), "members")
+    texts = df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).join(candidates.withColumnRenamed("rep", key), key, "left_semi")
     sets = tables.written(_sets(texts, size, key, text), "shingle-sets")
-    links = tables.written(_leader_links(shared, reps, sets, percent), "leader-links")
+    # a key with several sets is one document: their classes belong together
+    own = linked.select("key", "fa", "fb").join(classes, ["fa", "fb"]).groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("top"), F.collect_set("rep").alias("reps")).filter("a < top")
+    links = tables.written(_leader_links(shared, members, sets, percent).union(own.select("a", F.explode("reps").alias("b"))), "leader-links")
     root = components(links, tables)
     named = shared.select("bucket", "rep").join(root, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-    named = tables.written(named.join(reps.select("rep", "n"), "rep"), "bucket-components")
-    last = tables.written(_crossing_links(named, reps, sets, percent, tables), "crossing-links")
+    named = tables.written(named.join(members.select("rep", "n"), "rep"), "bucket-components")
+    last = tables.written(_crossing_links(named, members, sets, percent, tables), "crossing-links")
     root = components(links.union(last), tables)
-    member = sigs.join(classes, ["fa", "fb"], "left").join(root, F.col("rep") == F.col("node"), "left")
+    member = sigs.select("key", "n", "fa", "fb").join(classes, ["fa", "fb"], "left").join(root, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("root", "rep", "key")
     return member.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), component).alias("component_id"), (F.col("key").isNull() | (F.col("key") == component)).alias("kept"))
