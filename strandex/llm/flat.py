@@ -10,13 +10,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 U8 = np.uint64
 _M1, _M2, _K = U8(0x9E3779B97F4A7C15), U8(0xC2B2AE3D27D4EB4F), U8(0x165667B19E3779F9)
-#: Code points that one slice holds at most, unless a single text is longer.
-SLICE = 2_000_000
+#: Characters (for `map_texts` bytes) that one slice holds at most, unless a single text is longer.
+SLICE = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,15 +66,20 @@ def span_hash(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.
 
 def slices(texts: list, limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most `limit` characters together, or a single text."""
-    lo = size = 0
-    for i, t in enumerate(texts):
-        n = len(t)
-        if i > lo and size + n > limit:
+    return ranges(map(len, texts), limit)
+
+
+def ranges(sizes, limit: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of sizes with a sum of at most `limit`, or of a single one."""
+    lo = held = end = 0
+    for i, n in enumerate(sizes):
+        end = i + 1
+        if i > lo and held + n > limit:
             yield lo, i
-            lo, size = i, 0
-        size += n
-    if lo < len(texts):
-        yield lo, len(texts)
+            lo, held = i, 0
+        held += n
+    if lo < end:
+        yield lo, end
 
 
 def codepoints(text: str) -> np.ndarray:
@@ -116,10 +122,11 @@ def map_texts(df: DataFrame, keys: list[str], text: str, fn: Callable, schema: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("t").to_pylist()
-            cols = [batch.column(n).to_pylist() for n in names]
-            for lo, hi in slices([t or "" for t in texts]):
-                out = fn({k: c[lo:hi] for k, c in zip(keys, cols, strict=True)}, texts[lo:hi])
+            texts = batch.column("t")
+            # a slice at a time becomes Python strings
+            for lo, hi in ranges(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                own = {k: batch.column(n).slice(lo, hi - lo).to_pylist() for k, n in zip(keys, names, strict=True)}
+                out = fn(own, texts.slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, type=_arrow(kinds[k])) for k, v in out.items()})
 
     kinds = {name: kind for name, kind in (x.strip().split(" ", 1) for x in schema.split(","))}

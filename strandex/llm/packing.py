@@ -4,7 +4,7 @@ No bin holds two documents of one source or of one duplicate cluster. Bins are k
 the order of their residual space and carry a bitmap of sources and one of clusters;
 for each document, from the longest to the shortest, the search begins at the smallest
 residual that fits and goes to the successor until a bin is compatible, so it ends at
-the tightest compatible bin, or with a new bin. Nothing limits the search.
+the tightest compatible bin of its shard, or with a new bin.
 
 A duplicate cluster is a component of near_duplicates (its defaults: five words, Jaccard
 index 0.8), with each distinct text as a node, named by its digest: so near copies are
@@ -75,7 +75,7 @@ def token_items(df: DataFrame, path: str, key: str = "doc_id", text: str = "text
         return {"key": keys[key], "n_tokens": bytebpe.model(path).count([t or "" for t in texts]).tolist(), "source": strings, "digest": keys["_digest"]}
 
     named = df.withColumn("_digest", text_digest(text))
-    items = map_texts(named, [key, source, "_digest"], text, run, "key long, n_tokens long, source string, digest long")
+    items = written(map_texts(named, [key, source, "_digest"], text, run, "key long, n_tokens long, source string, digest long"), "token-items")
     copies = near_duplicates(named, key="_digest", text=text).filter("_digest <> component_id").groupBy("_digest").agg(F.min("component_id").alias("component_id"))
     return items.join(copies, F.col("digest") == F.col("_digest"), "left").select("key", "n_tokens", "source", F.coalesce("component_id", "digest").alias("cluster"))
 
