@@ -23,6 +23,15 @@ def test_payloads_come_back():
         assert row["width"] % 8 == 0 and row["thumb"].shape == (row["height"] // 8, row["width"] // 8)
 
 
+def test_runs_give_the_same_files(monkeypatch):
+    rnd = random.Random(2)
+    payloads = [rnd.randbytes(192 * n) for n in (1, 5, 200, 9, 64, 131)]
+    whole = jpeg.encode_payload(payloads)
+    for run in (2, 6, 64, 100):
+        monkeypatch.setattr(jpeg, "_RUN", run)
+        assert jpeg.encode_payload(payloads) == whole
+
+
 # the luminance table of the standard's annex K, and a plain encoder with it for any sampling
 DC = (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes(range(12)))
 AC_COUNTS = bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 0x7D])
