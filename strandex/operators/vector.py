@@ -48,12 +48,17 @@ def cosine(vectors: DataFrame, query: list[float], where: Column | None = None,
     return rows.orderBy(F.desc("vector_score"), "section_id").limit(limit) if limit else rows
 
 
+#: Scores (rows x queries) that one matrix product of a task gives, about: 32 MB of float64.
+SCORES_AT_ONCE = 1 << 22
+
+
 def cosine_batch(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int = 4096) -> DataFrame:
     """query_id, section_id, vector_score, vector_rank: the best k rows (vectors of unit length) for each of many queries (query_id, vector).
 
     Queries go in blocks of a stated size, each broadcast once: one scan of the vectors
-    serves a block by a matrix product for each batch, which yields the best k of the
-    batch for each query, so what is shuffled is k rows for each query and batch. Scores
+    serves a block by matrix products of at most SCORES_AT_ONCE scores, each of which yields
+    the best k of its rows for each query, so what is shuffled is k rows for each query and
+    product. Scores
     are rounded before the ranks, so equal vectors tie on their id. Vectors that are null,
     of another size or not finite are no results; as queries they are errors.
     """
@@ -79,11 +84,14 @@ def _best_of_batch(shared, k: int, digits: int):
             lists = batch.column("vector")
             if not len(lists):
                 continue
-            m = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
-            scores = m @ q.T
-            least = np.partition(scores, len(m) - k, axis=0)[len(m) - k] if len(m) > k else np.full(len(ids), -np.inf)
-            row, query = np.nonzero(scores >= least - 10.0**-digits)
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[query], pa.int64()), "section_id": batch.column("section_id").take(pa.array(row)), "vector_score": pa.array(scores[row, query], pa.float64())})
+            whole = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+            step = max(k, SCORES_AT_ONCE // max(len(ids), 1))
+            for lo in range(0, len(whole), step):
+                m = whole[lo : lo + step]
+                scores = m @ q.T
+                least = np.partition(scores, len(m) - k, axis=0)[len(m) - k] if len(m) > k else np.full(len(ids), -np.inf)
+                row, query = np.nonzero(scores >= least - 10.0**-digits)
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[query], pa.int64()), "section_id": batch.column("section_id").take(pa.array(lo + row)), "vector_score": pa.array(scores[row, query], pa.float64())})
 
     return run
 

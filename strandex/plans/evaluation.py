@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import latency_summary
+from ..functions.text import multiset_fingerprint
 from ..operators import evaluate
 from ..operators.search import Policies
 from ..sources.artifacts import Result, Run, done_cases, pending_cases, read_checkpoint
@@ -53,8 +54,8 @@ def run_cases(spark: SparkSession, config: Config, cases: DataFrame, folder: str
     pointer = engine.index()
     started = datetime.now(UTC).isoformat(timespec="milliseconds")
     rows = cases.collect()
-    files = Store(spark, config.store).table("files").select("path", "content_hash").orderBy("path")
-    corpus = fingerprint([list(r) for r in files.collect()])  # the notes of an evaluation
+    note = F.sha2(F.concat_ws("\n", "path", "content_hash"), 256)
+    corpus = fingerprint(list(Store(spark, config.store).table("files").agg(F.count(F.lit(1)), multiset_fingerprint(note)).first()))
     settings = {"mode": mode, "cutoffs": list(cutoffs), "policies": policy_diagnostics(config), "config": config.fingerprint, "encoder": engine.encoder_version}
     run = Run(fingerprint(settings)[:16], settings, fingerprint([r.asDict() for r in rows]), corpus, pointer["generation"] if encoder else None, cutoffs)
     known = read_checkpoint(spark, folder, run, "evaluate") if resume else None

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from ..functions.text import STOPWORDS, fold, index_form, tokens_of
 
 MAX_TOKENS, MAX_VARIANTS, MAX_CANDIDATES, MAX_RELAXED = 64, 16, 200, 1000
+MIN_CANDIDATES, OVERSAMPLE, RELAXED_SHARE = 50, 5, 0.5
 _STOP = frozenset(STOPWORDS)
 _IDENTIFIER = re.compile(r"[A-Za-z][A-Za-z0-9]*-\d+")
 _INDEX_WORD = re.compile(r"[^\W_]+")
@@ -57,7 +58,7 @@ def content_terms(tokens) -> list[str]:
 
 
 def required_terms(n: int) -> int:
-    return n if n <= 2 else max(2, math.ceil(0.5 * n))
+    return n if n <= 2 else max(2, math.ceil(RELAXED_SHARE * n))
 
 
 def guard_atoms(text: str) -> list[str]:
@@ -157,4 +158,4 @@ def resolve_scope(roots: list[Root], global_paths: list[str], project: str | Non
 def candidate_bound(limit: int) -> int:
     if limit < 1:
         raise ValueError("limit must be 1 or more")
-    return min(MAX_CANDIDATES, max(5 * limit, 50))
+    return min(MAX_CANDIDATES, max(OVERSAMPLE * limit, MIN_CANDIDATES))

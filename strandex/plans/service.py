@@ -20,7 +20,7 @@ from ..operators.lexical import COVERAGE_IDF
 from ..operators.search import Policies, search
 from ..sources.config import Config
 from ..sources.store import build, open_index, state_of
-from .query import MAX_CANDIDATES, MAX_TOKENS
+from .query import MAX_CANDIDATES, MAX_TOKENS, MIN_CANDIDATES, OVERSAMPLE, RELAXED_SHARE
 
 DEADLINE_MS = 750.0
 MODES = ("auto", "fused", "lexical")
@@ -47,14 +47,39 @@ class Response:
     refresh: set[str] = field(default_factory=set)
 
 
+#: Why each policy is there, for the diagnostics.
+RATIONALE = {
+    "semantic_score_floor": "Vectors below this cosine are noise for short questions.",
+    "relative_semantic_score_floor": "A vector hit far below the best lexical hit's cosine is off the topic.",
+    "ticket_id_cross_reference_filter": "A question about one identifier is not answered by a section about another.",
+    "balanced_admission": "Lanes take turns, so that a full lexical lane leaves room for vectors.",
+    "synonym_expansion": "A configured form finds sections that use another form of it.",
+    "synonym_variant_merge": "Variants merge by best score, so their order plays no part.",
+    "relaxed_lexical_matching": "A question rarely has all its words in one section.",
+}
+
+
 def policy_diagnostics(config: Config | None = None, policies: Policies | None = None) -> dict:
-    """The fixed numbers of the fusion and the policies in force."""
+    """The fixed numbers of the fusion, and the policies in force with their reasons."""
     policies = policies or Policies()
     table = config.synonyms.metadata(policies.synonym_expansion) if config else {"configured": False, "version": None, "fingerprint": None, "groups": 0, "enabled": False}
-    own = {k: {"enabled": v if isinstance(v, bool) else v is not None, **({} if isinstance(v, bool) else {"value": v})} for k, v in asdict(policies).items()}
-    own["relaxed_matching"]["idf_coverage"] = COVERAGE_IDF
-    own["synonym_expansion"]["enabled"] = bool(policies.synonym_expansion and table["groups"])
-    return {"algorithm": "rrf", "candidate_pool": {"minimum": 50, "oversample": 5, "maximum": MAX_CANDIDATES}, "rank_constant": RANK_CONSTANT, "query_term_cap": MAX_TOKENS, "policies": own, "synonym_table": table}
+    expands = bool(policies.synonym_expansion and table["groups"])
+    floors = {n: {"enabled": v is not None, "value": v} for n, v in asdict(policies).items() if n.endswith("floor")}
+    switches = {
+        "ticket_id_cross_reference_filter": {"enabled": policies.ticket_id_cross_reference_filter},
+        "balanced_admission": {"enabled": policies.balanced_admission},
+        "synonym_expansion": {"enabled": expands},
+        "synonym_variant_merge": {"enabled": expands},
+        "relaxed_lexical_matching": {
+            "enabled": policies.relaxed_matching, "value": RELAXED_SHARE, "idf_coverage": COVERAGE_IDF,
+            "with_strict_hits": {"content_term_coverage": "complete", "heading_anchor": "own_heading", "rank": "after_strict_hits"},
+            "without_strict_hits": {"content_term_coverage": "relaxed_thresholds", "heading_anchor": "not_required"},
+        },
+    }
+    own = {n: {**v, "rationale": RATIONALE[n]} for n, v in (floors | switches).items()}
+    pool = {"minimum": MIN_CANDIDATES, "oversample": OVERSAMPLE, "maximum": MAX_CANDIDATES}
+    shown = {n: own[n] for n in own if n not in ("synonym_expansion", "relaxed_lexical_matching")}
+    return {"algorithm": "rrf", "candidate_pool": pool, "rrf_rank_constant": RANK_CONSTANT, "query_term_cap": MAX_TOKENS, "selection_policies": own, **shown, "synonym_table": table}
 
 
 class Deadline(Exception):

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -61,3 +65,37 @@ def existing(spark: SparkSession, paths) -> list[str]:
         if fs.exists(p) and not fs.getFileStatus(p).isDirectory():
             out.append(path)
     return out
+
+
+def create_new(spark: SparkSession, path: str, text: str = "") -> bool:
+    """Make a file that is not there yet; False if it is. Of several callers one succeeds."""
+    p, fs = _at(spark, path)
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError as e:
+        if fs.exists(p):
+            return False
+        raise e
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+@contextmanager
+def lock(spark: SparkSession, path: str, wait: float = 60.0, stale: float = 600.0) -> Iterator[None]:
+    """Hold the file `path` for a short block; one that is older than `stale` seconds was left by a lost process and goes."""
+    p, fs = _at(spark, path)
+    end = time.monotonic() + wait
+    while not create_new(spark, path):
+        if fs.exists(p) and time.time() - fs.getFileStatus(p).getModificationTime() / 1000 > stale:
+            fs.delete(p, False)
+        elif time.monotonic() > end:
+            raise TimeoutError(f"{path} is held")
+        else:
+            time.sleep(0.1)
+    try:
+        yield
+    finally:
+        fs.delete(p, False)

@@ -1,9 +1,11 @@
 """The index on disk: a folder for each generation, and a pointer that names the current one.
 
-A refresh writes a whole new generation beside the current one, compares the sources once
-more, and moves the pointer by a rename; readers resolve the pointer once, so they see
-one generation. Unchanged files keep their rows (sections, postings, vectors), so only new
-and changed content is split, tokenised and encoded.
+A refresh without a change reads the sources and writes nothing. With one, it writes a
+whole new generation beside the current one, compares the sources once more, and moves the
+pointer by a rename; readers resolve the pointer once, so they see one generation.
+Unchanged files keep their rows (sections, postings, vectors), so only new and changed
+content is split, tokenised and encoded. Builders claim their generation's folder by a file
+that only one can make, and publish only if the pointer is still the one they started from.
 
 The pointer carries what a query needs of the whole index (rows, mean length), the state
 of the vectors and why they are not ready: a fixed, small document.
@@ -29,7 +31,6 @@ SCHEMA_VERSION = 3
 POINTER = "current.json"
 #: Known schemas: opening a table runs no job.
 SCHEMAS = {
-    "notes": "path string, root_id string, content binary, content_hash string",
     "files": "path string, root_id string, content_hash string",
     "new": markdown.SECTION_SCHEMA,
     "sections": markdown.SECTION_SCHEMA,
@@ -80,6 +81,28 @@ class Store:
                 files.remove(self.spark, f"{self.path}/{n}")
 
 
+    def claim(self) -> int:
+        """A generation of one's own."""
+        generation = self.last_generation() + 1
+        while not files.create_new(self.spark, self.folder("_claim", generation)):
+            generation += 1
+        return generation
+
+    def current(self) -> int:
+        """The generation that is published; 0 before the first, or under another schema."""
+        try:
+            return (self.pointer() or {"generation": 0})["generation"]
+        except StoreError:
+            return 0
+
+    def publish(self, pointer: dict, base: int) -> None:
+        """Make the generation current, if `base` still is."""
+        with files.lock(self.spark, f"{self.path}/publish.lock"):
+            if self.current() != base:
+                raise StoreError("another build was published meanwhile")
+            files.replace_text(self.spark, f"{self.path}/{POINTER}", canonical_json(pointer) + "\n")
+
+
 def build(spark: SparkSession, config: Config, rebuild: bool = False, encoder: Callable[[DataFrame], DataFrame] | None = None, encoder_version: str = "none") -> dict:
     """Bring the index up to date; returns the pointer.
 
@@ -88,23 +111,27 @@ def build(spark: SparkSession, config: Config, rebuild: bool = False, encoder: C
     sources change while the generation is written, the old one stays current.
     """
     store = Store(spark, config.store)
+    base = store.current()
+    old = store.pointer() if base and not rebuild else None
+    notes = markdown.scan(spark, list(config.roots), list(config.private))
+    live, touched = notes.select("path", "root_id", "content_hash").persist(), None
     try:
-        old = None if rebuild else store.pointer()
-    except StoreError:
-        old = None  # another schema: start anew
-    generation = store.last_generation() + 1
-    scan = lambda: markdown.scan(spark, list(config.roots), list(config.private))
-    store.write(scan(), "notes", generation)
-    notes = store.table("notes", generation)
-    live = notes.select("path", "root_id", "content_hash")
-    store.write(live, "files", generation)
+        if old:
+            touched = diff(store.table("files", old["generation"]), live).filter("change <> 'unchanged'").select("path")
+            if old["section_bytes"] != config.section_bytes:
+                touched = touched.unionByName(live.select("path")).distinct()
+            elif _serves(old, config, encoder is not None, encoder_version) and touched.isEmpty():
+                return old
+        generation = store.claim()
+        store.write(live, "files", generation)
+    finally:
+        live.unpersist()
+    live = store.table("files", generation)
     if old:
-        touched = diff(store.table("files", old["generation"]), live).filter("change <> 'unchanged'").select("path")
-        touched = touched.unionByName(live.select("path")) if old["section_bytes"] != config.section_bytes else touched
         new = markdown.split(notes.join(touched, "path", "left_semi"), config.section_bytes)
         kept = delete_by(store.table("sections", old["generation"]), touched)
     else:
-        touched, kept, new = None, None, markdown.split(notes, config.section_bytes)
+        kept, new = None, markdown.split(notes, config.section_bytes)
     store.write(new, "new", generation)
     new = store.table("new", generation)
     store.write(new if kept is None else kept.unionByName(new), "sections", generation)
@@ -116,9 +143,8 @@ def build(spark: SparkSession, config: Config, rebuild: bool = False, encoder: C
     buckets = postings.buckets_for(size["rows"])
     postings.write(own, store.folder("postings", generation), buckets, parts=1 + size["rows"] // (postings.BUCKET_ROWS * buckets))
     state = _embed(store, old, sections, generation, encoder, encoder_version)
-    changed = not same_sources(live, scan())
-    for name in ("notes", "new"):
-        files.remove(spark, store.folder(name, generation))
+    changed = not same_sources(live, notes)
+    files.remove(spark, store.folder("new", generation))
     if changed:
         if old:
             return old
@@ -128,10 +154,16 @@ def build(spark: SparkSession, config: Config, rebuild: bool = False, encoder: C
         "schema": SCHEMA_VERSION, "generation": generation, "sections": count, "section_bytes": config.section_bytes, "buckets": buckets,
         "mean_length": size["words"] / count if count else 0.0, "config": config.fingerprint, "encoder": encoder_version, **state,
     }
-    files.replace_text(spark, f"{store.path}/{POINTER}", canonical_json(pointer) + "\n")
+    store.publish(pointer, base)
     return pointer
 
 
+def _serves(old: dict, config: Config, encodes: bool, version: str) -> bool:
+    """Is the generation what a build of unchanged sources would make?"""
+    vectors = (old["state"], old["encoder"]) == (READY, version) if encodes else old["state"] == DISABLED
+    return vectors and old["config"] == config.fingerprint
+
+
 def _embed(store: Store, old: dict | None, sections: DataFrame, generation: int, encoder, version: str) -> dict:
     if encoder is None:
         return {"state": DISABLED, "reason": "NO_ENCODER"}

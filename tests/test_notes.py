@@ -289,18 +289,28 @@ def test_failures_of_encoders(spark, vault):
 def test_races_and_schemas(spark, vault, monkeypatch):
     c = conf.read_config(f"{vault}/c.toml")
     store.build(spark, c)
+    before = set(os.listdir(c.store))
+    assert store.build(spark, c)["generation"] == 1 and set(os.listdir(c.store)) == before  # no change, no write
+    (vault / "one/b.md").write_text("# Other\nnew text\n")
     monkeypatch.setattr(store, "same_sources", lambda a, b: False)
     assert store.build(spark, c)["generation"] == 1
+    # another builder publishes while this one writes
+    monkeypatch.setattr(store, "same_sources", lambda a, b: bool(files.replace_text(spark, at, json.dumps(current | {"generation": 2}))) or True)
+    at, current = f"{vault}/store/current.json", json.loads(files.read_text(spark, f"{vault}/store/current.json"))
+    with pytest.raises(store.StoreError, match="published"):
+        store.build(spark, c)
     monkeypatch.undo()
-    assert store.build(spark, c)["generation"] == 3
+    files.replace_text(spark, at, json.dumps(current))
+    assert store.build(spark, c)["generation"] == 4
+    assert not files.create_new(spark, f"{vault}/store/g00000004/_claim") and store.Store(spark, c.store).claim() == 5
     at = f"{vault}/store/current.json"
     files.replace_text(spark, at, json.dumps(json.loads(files.read_text(spark, at)) | {"schema": 1}))
     with pytest.raises(store.StoreError):
         store.open_index(spark, c)
     assert store.state_of(spark, c) == ("disabled", "INDEX_UNAVAILABLE")
-    assert store.build(spark, c)["generation"] == 4
+    assert store.build(spark, c)["generation"] == 6
     store.Store(spark, c.store).prune(1)
-    assert sorted(n for n in os.listdir(c.store) if n[0] == "g") == ["g00000004"]
+    assert sorted(n for n in os.listdir(c.store) if n[0] == "g") == ["g00000006"]
 
 
 def test_invalid_vectors_make_the_result_lexical(spark, vault):
@@ -322,7 +332,8 @@ def test_policies_and_arguments(spark, vault):
         with pytest.raises(ValueError):
             Policies(**bad)
     d = policy_diagnostics(None, Policies(semantic_score_floor=None))
-    assert not d["policies"]["semantic_score_floor"]["enabled"] and d["rank_constant"] == 60
+    assert not d["selection_policies"]["semantic_score_floor"]["enabled"] and d["rrf_rank_constant"] == 60
+    assert d["selection_policies"]["relaxed_lexical_matching"]["value"] == 0.5 and all(p["rationale"] for p in d["selection_policies"].values())
     engine = Engine(spark, conf.read_config(f"{vault}/c.toml"))
     for args in ({"mode": "other"}, {"deadline_ms": 0}, {"limit": 0}, {"all_projects": "yes"}):
         with pytest.raises(ValueError):
@@ -353,6 +364,10 @@ def test_command_line(spark, vault, capsys):
     assert cli.main([*at, "read", "nowhere.md"], spark) == 2 and "error" in capsys.readouterr().err
     assert cli.main([*at, "model", "status", "--json"]) == 0 and json.loads(capsys.readouterr().out)["reason"] == "MODEL_MISSING"
     assert cli.main(["--config", f"{vault}/none.toml", "index"], spark) == 2
+    (vault / "bundle").mkdir()
+    assert cli.main(["model", "license", "--bundle-dir", f"{vault}/bundle"]) == 0 and capsys.readouterr().out == ""
+    (vault / "bundle/manifest.json").write_text(json.dumps({"licenses": [{"name": "m", "spdx_id": "MIT", "notice": "all of it\n"}, {}]}))
+    assert cli.main(["model", "license", "--bundle-dir", f"{vault}/bundle"]) == 0 and capsys.readouterr().out == "m: MIT\nall of it\nlicense: unknown\n"
 
 
 def test_notes_as_a_stream(spark, vault):
