@@ -133,6 +133,51 @@ def map_texts(df: DataFrame, keys: list[str], text: str, fn: Callable, schema: s
     return src.mapInArrow(run, schema)
 
 
+class KeyFilter:
+    """A broadcast bitmap of 2 MB, whatever their number, of the longs in a column: `has` may say yes to one that is not there, never no to one that is.
+
+    It keeps rows out of a shuffle. Where the longs are so many that it is full, it keeps none out, and nothing else changes.
+    """
+
+    SLOTS = 1 << 24
+
+    def __init__(self, rows: DataFrame, column: str):
+        found = rows.select(F.col(column).alias("key")).mapInArrow(self._slots_of, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+        held = found.toPandas()  # at most SLOTS / 64 rows
+        table = np.zeros(self.SLOTS // 64, np.int64)
+        table[held["at"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
+        self.shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    @classmethod
+    def _slots(cls, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(keys.astype(np.int64).view(U8))
+        return tuple(((h >> U8(k)) & U8(cls.SLOTS - 1)).astype(np.int64) for k in (0, 32))
+
+    @classmethod
+    def _slots_of(cls, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = np.unique(np.concatenate(cls._slots(batch.column("key").drop_null().to_numpy())))
+            word, first = np.unique(slot >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(np.int64(1) << (slot & 63), first) if len(slot) else slot
+            yield pa.RecordBatch.from_pydict({"at": pa.array(word), "bits": pa.array(bits)})
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        table = self.shared.value
+        a, b = self._slots(keys)
+        return ((table[a >> 6] >> (a & 63)) & (table[b >> 6] >> (b & 63)) & 1) == 1
+
+    def rows(self, df: DataFrame, column: str) -> DataFrame:
+        """Rows of df whose long is among them, and a few others; not those with a null."""
+        has = self.has
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key = batch.column(column)
+                yield batch.filter(pa.array(has(key.fill_null(0).to_numpy()) & key.is_valid().to_numpy(zero_copy_only=False)))
+
+        return df.mapInArrow(run, df.schema)
+
+
 def _arrow(kind: str) -> pa.DataType:
     plain = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
     return plain[kind] if kind in plain else pa.list_(plain[kind[6:-1]])

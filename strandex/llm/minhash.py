@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import U8, map_texts, mix, raw_words, spread, word_hashes
+from .flat import U8, KeyFilter, map_texts, mix, raw_words, spread, word_hashes
 from .storage import Scratch, scratch, written
 
 ROWS, BANDS = 5, 40
@@ -386,13 +386,13 @@ def _near_duplicates(df: DataFrame, size: int, percent: int, key: str, text: str
     reps = tables.written(linked.groupBy("fa", "fb").agg(first).select("fa", "fb", F.col("first.key").alias("rep"), "first.n", "first.sig"), "classes")
     classes = reps.select("fa", "fb", "rep")
     buckets = tables.written(_buckets(reps), "buckets")
-    # leaders, candidates and members are few where few texts have near copies; written first, their size decides how they are joined
+    # leaders and candidates are few where few texts have near copies: what has none of them stays out of the joins
     leaders = tables.written(buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).filter("a < top").select("bucket", "a"), "leaders")
-    shared = tables.written(buckets.join(leaders, "bucket"), "shared-buckets")
-    candidates = tables.written(shared.select("rep").distinct(), "candidates")
-    members = tables.written(reps.join(candidates, "rep").select("rep", "n", "sig"), "members")
-    texts = df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).join(candidates.withColumnRenamed("rep", key), key, "left_semi")
-    sets = tables.written(_sets(texts, size, key, text), "shingle-sets")
+    shared = tables.written(KeyFilter(leaders, "bucket").rows(buckets, "bucket").join(leaders.hint("merge"), "bucket"), "shared-buckets")
+    candidates = KeyFilter(shared, "rep")
+    members = tables.written(candidates.rows(reps.select("rep", "n", "sig"), "rep"), "members")
+    texts = candidates.rows(df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text")), "key")
+    sets = tables.written(_sets(texts, size, "key", "text"), "shingle-sets")
     # a key with several sets is one document: their classes belong together
     own = linked.select("key", "fa", "fb").join(classes, ["fa", "fb"]).groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("top"), F.collect_set("rep").alias("reps")).filter("a < top")
     links = tables.written(_leader_links(shared, members, sets, percent).union(own.select("a", F.explode("reps").alias("b"))), "leader-links")
