@@ -52,6 +52,12 @@ def test_near_dedup_stage_uses_five_words(spark):
     assert {r.doc_id for r in minhash.near_duplicates(docs, size=2, percent=80).filter("kept").collect()} == {1}
 
 
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_every_operator_is_registered():
     names = [f"op{n}_" for n in range(1, 11)]
     assert all(sum(q.startswith(n) for q in llm.QUERIES) == 1 for n in names) and len(corpus_pipeline.STAGES) == 5
