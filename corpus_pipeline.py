@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and
 returns the columns of documents; the last returns the bins. `run` writes each stage's
 rows as Parquet in the shared folder and rereads them.
+
+A doc_id names a document: rows that repeat one share its fate, and go if one of them goes.
+Rows with a null doc_id stay. Null and empty texts have no letters, so they go in the first
+stage unless their doc_id is null. Further columns are kept up to the last stage. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -50,7 +55,7 @@ def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of 2048 tokens without two documents of a source."""
+    """Bins of 2048 tokens without two documents of a source or of a duplicate cluster."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
