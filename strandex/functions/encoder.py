@@ -109,6 +109,39 @@ class OnnxEncoder:
         return out
 
 
+def bundle_token(bundle: str) -> tuple:
+    """What tells one state of a bundle's files from another, without reading them."""
+    found = sorted(os.scandir(bundle), key=lambda e: e.name) if os.path.isdir(bundle) else []
+    return tuple((e.name, e.stat().st_mtime_ns, e.stat().st_size) for e in found)
+
+
+class LazyEncoder:
+    """An encoder that a factory makes at its first use. A failure is remembered, and raised again, as long as the token stays the same."""
+
+    def __init__(self, factory: Callable[[], object], token: Callable[[], object] = lambda: None, version: str | None = None):
+        self.factory, self.token, self._version = factory, token, version
+        self._made, self._failed = None, None
+
+    def get(self):
+        if self._made is None:
+            now = self.token()
+            if self._failed is not None and self._failed[0] == now:
+                raise self._failed[1]
+            try:
+                self._made, self._failed = self.factory(), None
+            except Exception as e:  # foreign code
+                self._failed = (now, e)
+                raise
+        return self._made
+
+    @property
+    def version(self) -> str:
+        return self._version or self.get().version
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        return self.get().encode(texts)
+
+
 def encode_rows(rows: DataFrame, encoder, key: str = "section_id", text: str = "text") -> DataFrame:
     """key, vector (array of float) of every row; one Arrow batch at a time is in memory."""
     apply = getattr(encoder, "encode", encoder)

@@ -62,6 +62,7 @@ class Index:
     n_rows: int = 0
     mean_length: float = 0.0
     buckets: int | None = None
+    generation: int = 0
     _held: list = field(default_factory=list)
 
     def __post_init__(self):
@@ -288,6 +289,28 @@ def read_section(index: Index, path: str, heading: str | None = None, limit: int
     return cut_bytes("\n\n".join(r["text"] for r in parts), limit)
 
 
+def isolated_search(docs: DataFrame, queries: DataFrame, k: int, group: str = "conv_id") -> DataFrame:
+    """query_id, doc_id, score, rank: the best k documents with any term of each query, by BM25 within the query's group.
+
+    docs: group, doc_id, words (array); queries: query_id, group, terms (array, distinct).
+    Each group is an index of its own: a query sees its group's documents, and rows, mean
+    length and frequencies are those of the group. One join, on group and term; terms that
+    no query of the group asks for never leave their task.
+    """
+    size = docs.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"))
+    asked = queries.select("query_id", group, F.explode("terms").alias("term"))
+    wanted = asked.groupBy(group).agg(F.collect_set("term").alias("wanted"))  # a group's questions are few
+    some = docs.join(wanted, group).select(group, "doc_id", F.size("words").alias("length"), F.explode(F.filter("words", lambda w: F.array_contains("wanted", w))).alias("term"))
+    tf = some.groupBy(group, "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    df = tf.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(lexical.LEAST_IDF))
+    part = F.lit(lexical.K1) * (F.lit(1 - lexical.B) + F.lit(lexical.B) * F.col("length") / F.col("mean"))
+    rows = tf.join(df, [group, "term"]).join(size, group).withColumn("part", idf * F.col("tf") * F.lit(lexical.K1 + 1) / (F.col("tf") + part))
+    scored = asked.join(rows, [group, "term"]).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def batch_all_terms(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, doc_id, score, rank: the best k documents that hold all terms of each query, by BM25.
 

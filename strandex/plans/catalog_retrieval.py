@@ -13,7 +13,7 @@ from ..functions.text import index_tokens, query_tokens
 from ..functions.vectors import is_valid
 from ..operators import lexical, vector
 from ..operators.fusion import fuse
-from ..operators.search import batch_all_terms
+from ..operators.search import batch_all_terms, isolated_search
 from ..sources.conversations import path_of
 from .query import Root, Synonyms, compile_query, guard_atoms, query_variants, resolve_scope
 from .registry import query, table
@@ -359,3 +359,19 @@ def batch_search(spark, sf_dir):
     terms = F.array_distinct(F.slice(index_tokens(F.lower("text")), 1, 64))
     rows = batch_all_terms(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("terms")), k=1 << 30)
     return rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.round(F.max("score"), 3).alias("best"))
+
+
+@query(r"""WITH d AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM conversations),
+q AS (SELECT conv_id AS query_id, conv_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM conversations WHERE turn = 1),
+s AS (SELECT conv_id, count(*) AS n, avg(len(w)) AS m FROM d GROUP BY conv_id),
+p AS (SELECT query_id, d.conv_id, turn, len(w) AS len_, unnest(t) AS term, w FROM d JOIN q USING (conv_id)),
+f AS (SELECT query_id, conv_id, turn, len_, term, len(list_filter(w, lambda x: x = term)) AS tf FROM p),
+g AS (SELECT *, count(*) OVER (PARTITION BY query_id, term) AS df FROM f WHERE tf > 0),
+r AS (SELECT query_id, turn, round(sum(greatest(ln((n - df + 5e-1) / (df + 5e-1)), 1e-6) * (tf * 2.2e0) / (tf + 1.2e0 * (25e-2 + 75e-2 * len_ / m))), 6) AS score FROM g JOIN s USING (conv_id) GROUP BY query_id, turn)
+SELECT query_id, turn, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, turn) AS rank FROM r QUALIFY rank <= 3""")
+def conversation_search(spark, sf_dir):
+    """The second turn of each conversation as a query within that conversation alone: its best three turns."""
+    c = table(spark, sf_dir, "conversations").withColumn("words", index_tokens(F.lower("text")))
+    asked = c.filter("turn = 1").select(F.col("conv_id").alias("query_id"), "conv_id", F.array_distinct("words").alias("terms"))
+    rows = isolated_search(c.select("conv_id", F.col("turn").alias("doc_id"), "words"), asked, 3)
+    return rows.select("query_id", F.col("doc_id").alias("turn"), F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))

@@ -31,10 +31,11 @@ ABLATIONS = {
 _HITS = "case_id string, rank int, path string, section_id string"
 
 
-def search_case(engine: Engine, case, mode: str, limit: int, policies: Policies) -> dict:
-    """hits and timings of one case (a row of `config.read_cases`); paths are relative to their root's parent where the case's are."""
+def search_case(engine: Engine, case, mode: str, limit: int, policies: Policies, base: str = "") -> dict:
+    """hits and timings of one case (a row of `config.read_cases`), whose `deleted` sources count as gone while it is searched."""
+    gone = {f"{base}/{p}" if base and not p.startswith("/") else p for p in case.asDict().get("deleted") or []}
     began = time.perf_counter()
-    got = engine.search(case["query"], case["project"], case["root"], case["all_projects"], limit, mode, policies)
+    got = engine.search(case["query"], case["project"], case["root"], case["all_projects"], limit, mode, policies, gone=gone)
     return {"hits": [[r["rank"], r["path"], r["section_id"]] for r in got.items], "ms": (time.perf_counter() - began) * 1000, "retrieval_mode": got.metrics.retrieval_mode, "fallback": got.metrics.fallback, "failure_reason": got.metrics.failure_reason, "semantic_state": got.metrics.semantic_state}
 
 
@@ -63,7 +64,7 @@ def run_cases(spark: SparkSession, config: Config, cases: DataFrame, folder: str
     outputs = {r["case_id"]: json.loads(r["output"]) for r in done.collect()}
     run.checkpoint("ingest", {"generation": pointer["generation"], "sections": pointer["sections"]}).write(spark, folder)
     for case in pending_cases(cases, done).orderBy("case_id").collect():
-        outputs[case["case_id"]] = out = search_case(engine, case, mode, max(cutoffs), Policies())
+        outputs[case["case_id"]] = out = search_case(engine, case, mode, max(cutoffs), Policies(), base)
         run.checkpoint("search", out, case["case_id"]).write(spark, folder)
     shaped = cases.select("case_id", "category", "expected", "forbidden", "abstain")
     scored = evaluate.score_cases(_hits(spark, outputs, base), shaped, cutoffs)
@@ -84,6 +85,6 @@ def run_cases(spark: SparkSession, config: Config, cases: DataFrame, folder: str
 def _ablations(spark, engine, rows, shaped, base, mode, cutoffs, active: DataFrame) -> list[dict]:
     parts = active.withColumn("policy", F.lit("active"))
     for name, change in ABLATIONS.items():
-        outputs = {c["case_id"]: search_case(engine, c, mode, max(cutoffs), replace(Policies(), **change)) for c in rows}
+        outputs = {c["case_id"]: search_case(engine, c, mode, max(cutoffs), replace(Policies(), **change), base) for c in rows}
         parts = parts.unionByName(evaluate.score_cases(_hits(spark, outputs, base), shaped, cutoffs).withColumn("policy", F.lit(name)))
     return [r.asDict() for r in evaluate.ablation_deltas(parts.groupBy("policy", "k").agg(*evaluate.gate_measures())).orderBy("policy", "k").collect()]

@@ -12,7 +12,7 @@ import time
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.encoder import DISABLED, MODEL_MISSING, READY
 from ..operators.fusion import RANK_CONSTANT
@@ -87,10 +87,15 @@ class Deadline(Exception):
 
 
 class Engine:
-    """encoder: an object with `encode` and `version`, or a callable; None: lexical only."""
+    """encoder: an object with `encode` and `version`, or a callable; None: lexical only.
 
-    def __init__(self, spark: SparkSession, config: Config, encoder=None, live: bool = True):
-        self.spark, self.config, self.encoder, self.live = spark, config, encoder, live
+    With keep_vectors, the executors hold the vectors of the current generation from query
+    to query (in memory, and on their disks beyond it).
+    """
+
+    def __init__(self, spark: SparkSession, config: Config, encoder=None, live: bool = True, keep_vectors: bool = True):
+        self.spark, self.config, self.encoder, self.live, self.keep_vectors = spark, config, encoder, live, keep_vectors
+        self._kept: tuple[int, DataFrame] | None = None
 
     @property
     def encoder_version(self) -> str:
@@ -102,7 +107,8 @@ class Engine:
         apply = None if self.encoder is None else lambda rows: encode_rows(rows, self.encoder)
         return build(self.spark, self.config, rebuild, apply, self.encoder_version)
 
-    def search(self, query: str, project=None, root_id=None, all_projects=False, limit: int = 20, mode: str = "auto", policies: Policies | None = None, deadline_ms: float | None = None) -> Response:
+    def search(self, query: str, project=None, root_id=None, all_projects=False, limit: int = 20, mode: str = "auto", policies: Policies | None = None, deadline_ms: float | None = None, gone: set[str] = frozenset()) -> Response:
+        """gone: sources that count as deleted for this query."""
         if mode not in MODES:
             raise ValueError(f"mode must be one of {', '.join(MODES)}")
         if deadline_ms is not None and deadline_ms <= 0:
@@ -115,6 +121,7 @@ class Engine:
         left = lambda: None if deadline_ms is None else deadline_ms / 1000 - (time.perf_counter() - began)
         state, why = state_of(self.spark, self.config, self.encoder_version if self.encoder is not None else None)
         options = {"project": project, "root_id": root_id, "all_projects": all_projects, "limit": limit, "policies": policies}
+        gone = frozenset(gone)
         m = Metrics(semantic_state=state)
         done = lambda items, refresh=frozenset(), **k: Response(items, replace(m, total_ms=_ms(began), **k), set(refresh))
         if state == DISABLED and why in ("INDEX_MISSING", "INDEX_UNAVAILABLE"):
@@ -127,35 +134,46 @@ class Engine:
                 failure, status = why or "semantic backend unavailable", "semantic_failure"
             else:
                 try:
-                    return self._fused(query, options, left(), done)
+                    return self._fused(query, options, gone, left(), done)
                 except Deadline:
                     failure, status = "deadline_exceeded", "timeout"
                 except Exception as e:  # an encoder or a broken table: the lexical lane still serves
                     failure, status = str(e).split("\n")[0] or "semantic query failed", "semantic_failure"
         start = time.perf_counter()
         try:
-            items, refresh = self._within(lambda: self._rows(query, None, options), left())
+            items, refresh = self._within(lambda: self._rows(query, None, options, gone), left())
         except Deadline:
             return done([], status="timeout", failure_reason="deadline_exceeded", fallback=mode != "lexical")
         spent = {"search_ms": _ms(start)} if mode == "lexical" else {"fallback_ms": _ms(start), "fallback": True, "failure_reason": failure, "status": status}
         return done(items, refresh, **spent)
 
-    def _fused(self, query, options, left, done) -> Response:
+    def _fused(self, query, options, gone, left, done) -> Response:
         start = time.perf_counter()
         vector = getattr(self.encoder, "encode", self.encoder)([query])[0]
         encode_ms, start = _ms(start), time.perf_counter()
-        items, refresh = self._within(lambda: self._rows(query, list(vector), options), None if left is None else left - encode_ms / 1000)
+        items, refresh = self._within(lambda: self._rows(query, list(vector), options, gone), None if left is None else left - encode_ms / 1000)
         lexical = bool(refresh)
         return done(items, refresh, encode_ms=encode_ms, search_ms=_ms(start), retrieval_mode="lexical" if lexical else "fused", fallback=lexical, failure_reason="stale sources" if lexical else None)
 
-    def _rows(self, query, vector, options) -> tuple[list[dict], set[str]]:
+    def _rows(self, query, vector, options, gone) -> tuple[list[dict], set[str]]:
         refresh: set[str] = set()
-        index = open_index(self.spark, self.config, self.live)
+        index = open_index(self.spark, self.config, self.live, gone)
+        if vector is not None and index.vectors is not None and self.keep_vectors:
+            if self._kept is None or self._kept[0] != index.generation:
+                self.close()
+                self._kept = (index.generation, index.vectors.persist())
+            index.vectors = self._kept[1]
         try:
             return [r.asDict() for r in search(index, query, query_vector=vector, refresh=refresh, **options).collect()], refresh  # `limit` rows
         finally:
             index.release()
 
+    def close(self) -> None:
+        """Let go of the vectors."""
+        if self._kept is not None:
+            self._kept[1].unpersist()
+            self._kept = None
+
     def _within(self, work, left: float | None):
         """The result of work, or Deadline after `left` seconds, with its jobs cancelled."""
         if left is not None and left <= 0:

@@ -138,7 +138,7 @@ def read_thresholds(path: str) -> dict:
     return raw
 
 
-CASES = "status string, case_id string, category string, query string, expected array<string>, forbidden array<string>, abstain boolean, project string, root string, all_projects boolean"
+CASES = "status string, case_id string, category string, query string, expected array<string>, forbidden array<string>, abstain boolean, project string, root string, all_projects boolean, deleted array<string>"
 
 
 def read_cases(spark: SparkSession, path: str, least: int = 40) -> DataFrame:
@@ -150,11 +150,11 @@ def read_cases(spark: SparkSession, path: str, least: int = 40) -> DataFrame:
         raise ConfigError("status must be DRAFT or REVIEWED")
     for c in raw.get("cases", []):
         scope = c.get("scope", {})
-        lists = [c.get("expected_source_paths", []), c.get("forbidden_paths", [])]
+        lists = [c.get("expected_source_paths", []), c.get("forbidden_paths", []), c.get("delete_sources", [])]
         if not isinstance(c.get("id"), str) or c["id"] in seen or not isinstance(c.get("query"), str) or not isinstance(c.get("abstain", False), bool) or not all(isinstance(x, list) and all(isinstance(p, str) for p in x) for x in lists):
             raise ConfigError(f"case {c.get('id')!r} is not valid")
         seen.add(c["id"])
-        rows.append((status, c["id"], c.get("category"), c["query"], *lists, c.get("abstain", False), scope.get("project"), scope.get("root"), bool(scope.get("all_projects", False))))
+        rows.append((status, c["id"], c.get("category"), c["query"], *lists[:2], c.get("abstain", False), scope.get("project"), scope.get("root"), bool(scope.get("all_projects", False)), lists[2]))
     if len(rows) < least:
         raise ConfigError(f"{len(rows)} cases; at least {least} are needed")
     return spark.createDataFrame(rows, CASES)

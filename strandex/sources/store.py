@@ -199,13 +199,13 @@ def state_of(spark: SparkSession, config: Config, encoder_version: str | None =
     return at["state"], at["reason"]
 
 
-def open_index(spark: SparkSession, config: Config, live: bool = True) -> Index | None:
-    """The current generation, or None before the first; with `live`, hits are compared with the files as they are now."""
+def open_index(spark: SparkSession, config: Config, live: bool = True, gone: frozenset[str] = frozenset()) -> Index | None:
+    """The current generation, or None before the first; with `live`, or sources that count as `gone`, hits are compared with the files as they are now."""
     store = Store(spark, config.store)
     at = store.pointer()
     if at is None:
         return None
     g = at["generation"]
-    now = (lambda paths: markdown.hashes_now(spark, config, paths)) if live else None
+    now = (lambda paths: markdown.hashes_now(spark, config, paths - gone)) if live or gone else None
     vectors = store.table("vectors", g) if at["state"] == READY else None
-    return Index(store.table("sections", g), list(config.roots), list(config.global_notes), now, vectors, config.synonyms, store.table("postings", g), at["sections"], at["mean_length"], at["buckets"])
+    return Index(store.table("sections", g), list(config.roots), list(config.global_notes), now, vectors, config.synonyms, store.table("postings", g), at["sections"], at["mean_length"], at["buckets"], g)

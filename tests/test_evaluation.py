@@ -180,7 +180,7 @@ def test_run_of_cases(spark, tmp_path, monkeypatch):
     (tmp_path / "notes/a.md").write_text("# Cache\nthe cache budget\n")
     (tmp_path / "notes/b.md").write_text("# Other\nsomething else\n")
     config = conf.Config((Root("n", "p", f"{tmp_path}/notes"),), f"{tmp_path}/store")
-    cases = spark.createDataFrame([("DRAFT", "one", "verbatim", "cache budget", ["a.md"], [], False, "p", None, False), ("DRAFT", "two", "abstention", "nowhere", [], [], True, "p", None, False)], conf.CASES)
+    cases = spark.createDataFrame([("DRAFT", "one", "verbatim", "cache budget", ["a.md"], [], False, "p", None, False, []), ("DRAFT", "two", "abstention", "nowhere", [], [], True, "p", None, False, None)], conf.CASES)
     go = lambda **k: evaluation.run_cases(spark, config, cases, f"{tmp_path}/run", {"recall": 1.0, "abstention_accuracy": 1.0}, base=f"{tmp_path}/notes", **k)
     first = go(ablate=True)
     assert first.metrics["passed"] and len(first.metrics["ablations"]) == 4 and all(d["d_recall"] == 0 for d in first.metrics["ablations"])

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandex import cli
-from strandex.functions.encoder import HashEncoder, backend_reason
+from strandex.functions.encoder import HashEncoder, LazyEncoder, backend_reason
 from strandex.functions.text import links
 from strandex.operators.search import Policies, search, semantic_with
 from strandex.plans.query import Root
@@ -271,6 +271,49 @@ def counted(rows, encoder, seen):
     return rows.sparkSession.createDataFrame([(s, v) for (s, _), v in zip(texts, vectors, strict=True)], "section_id string, vector array<float>")
 
 
+def test_sources_that_count_as_deleted(spark, vault):
+    c = conf.read_config(f"{vault}/c.toml")
+    engine = Engine(spark, c, HashEncoder(16))
+    engine.index()
+    got = engine.search("cache budget", project="p", mode="lexical", gone={f"{vault}/one/a.md"})
+    assert names(got.items, vault) == [("shared/always.md", "Always")] and got.refresh == {f"{vault}/one/a.md"}
+    assert len(engine.search("cache budget", project="p", mode="lexical").items) == 2
+
+
+def test_vectors_are_kept_by_generation(spark, vault):
+    engine = Engine(spark, conf.read_config(f"{vault}/c.toml"), HashEncoder(16))
+    engine.index()
+    assert engine.search("cache budget", project="p").metrics.retrieval_mode == "fused"
+    first = engine._kept
+    engine.search("cache budget", project="p")
+    assert engine._kept is first and first[1].storageLevel.useMemory
+    (vault / "one/b.md").write_text("# New\ncache budget again\n")
+    engine.index()
+    assert len(engine.search("cache budget", project="p").items) == 3 and engine._kept[0] == 2 and not first[1].storageLevel.useMemory
+    engine.close()
+
+
+def test_encoders_that_load_late():
+    calls, token = [], [1]
+
+    def factory():
+        calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError("no model")
+        return HashEncoder(16)
+
+    lazy = LazyEncoder(factory, lambda: token[0], "v")
+    for _ in range(3):
+        with pytest.raises(RuntimeError):
+            lazy.encode(["a"])
+    assert len(calls) == 1 and lazy.version == "v"
+    token[0] = 2
+    with pytest.raises(RuntimeError):
+        lazy.encode(["a"])
+    token[0] = 3
+    assert len(lazy.encode(["a"])) == 1 and lazy.encode(["b"]) and len(calls) == 3
+
+
 def test_failures_of_encoders(spark, vault):
     c = conf.read_config(f"{vault}/c.toml")
 
