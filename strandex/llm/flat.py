@@ -112,16 +112,18 @@ def word_hashes(b: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return span_hash(b[spread(starts, lengths)], offsets(lengths)[:-1], lengths)
 
 
-def map_texts(df: DataFrame, keys: list[str], text: str, fn: Callable, schema: str, kind: str = "string") -> DataFrame:
+def map_texts(df: DataFrame, keys: list[str], text: str, fn: Callable, schema: str, kind: str = "string", only: KeyFilter | None = None) -> DataFrame:
     """Run fn(keys: dict of lists, texts: list of str or None) -> dict of columns over slices of each batch.
 
     Only `keys` and `text` are read, under positional names, so other columns and their names play no part.
+    only: rows whose first key the filter does not have are passed over.
     """
     names = [f"k{i}" for i in range(len(keys))]
     src = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], F.col(f"`{text}`").cast(kind).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = only.of(batch, "k0") if only else batch
             texts = batch.column("t")
             # a slice at a time becomes Python strings
             for lo, hi in ranges(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
@@ -166,16 +168,14 @@ class KeyFilter:
         a, b = self._slots(keys)
         return ((table[a >> 6] >> (a & 63)) & (table[b >> 6] >> (b & 63)) & 1) == 1
 
-    def rows(self, df: DataFrame, column: str) -> DataFrame:
-        """Rows of df whose long is among them, and a few others; not those with a null."""
-        has = self.has
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                key = batch.column(column)
-                yield batch.filter(pa.array(has(key.fill_null(0).to_numpy()) & key.is_valid().to_numpy(zero_copy_only=False)))
+    def of(self, batch: pa.RecordBatch, column: str) -> pa.RecordBatch:
+        """Rows of a batch whose long is among them, and a few others; not those with a null."""
+        key = batch.column(column)
+        return batch.filter(pa.array(self.has(key.fill_null(0).to_numpy()) & key.is_valid().to_numpy(zero_copy_only=False)))
 
-        return df.mapInArrow(run, df.schema)
+    def rows(self, df: DataFrame, column: str) -> DataFrame:
+        of = self.of
+        return df.mapInArrow(lambda batches: (of(b, column) for b in batches), df.schema)
 
 
 def _arrow(kind: str) -> pa.DataType:

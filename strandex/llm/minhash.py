@@ -124,12 +124,12 @@ def signatures(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
     return map_texts(df, [key], text, run, "key long, n long, fa long, fb long, sig binary")
 
 
-def _sets(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
+def _sets(df: DataFrame, size: int, key: str, text: str, only: KeyFilter) -> DataFrame:
     def run(keys, texts):
         sets = shingle_sets([t or "" for t in texts], size)
         return {"key": keys[key], "set": [s.tobytes() for s in sets]}
 
-    return map_texts(df, [key], text, run, "key long, set binary")
+    return map_texts(df, [key], text, run, "key long, set binary", only=only)
 
 
 def _map(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
@@ -391,8 +391,7 @@ def _near_duplicates(df: DataFrame, size: int, percent: int, key: str, text: str
     shared = tables.written(KeyFilter(leaders, "bucket").rows(buckets, "bucket").join(leaders.hint("merge"), "bucket"), "shared-buckets")
     candidates = KeyFilter(shared, "rep")
     members = tables.written(candidates.rows(reps.select("rep", "n", "sig"), "rep"), "members")
-    texts = candidates.rows(df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text")), "key")
-    sets = tables.written(_sets(texts, size, "key", "text"), "shingle-sets")
+    sets = tables.written(_sets(df, size, key, text, candidates), "shingle-sets")
     # a key with several sets is one document: their classes belong together
     own = linked.select("key", "fa", "fb").join(classes, ["fa", "fb"]).groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("top"), F.collect_set("rep").alias("reps")).filter("a < top")
     links = tables.written(_leader_links(shared, members, sets, percent).union(own.select("a", F.explode("reps").alias("b"))), "leader-links")
