@@ -27,7 +27,7 @@ def test_columns_of_text(spark):
     assert one(spark, text.excerpt(F.lit(" a\n b c "))) == "a b c"
     assert one(spark, text.excerpt(F.lit(long))) == long[:500].rstrip() + "..."
     assert one(spark, text.excerpt(F.lit(None).cast("string"))) is None
-    assert one(spark, text.links(F.lit("[a](x.md) [[n|N]] and [b](x.md 't') [[ m ]]"))) == ["x.md", "n", "m"]
+    assert one(spark, text.links(F.lit("[a](x.md) [[n|N]] and [b](x.md 't') [[ m ]]"))) == ["x.md", "n", " m "]
     assert one(spark, text.identifiers(F.lit("See ABC-12, abc-12 and X1-3 or 1A-2"))) == ["abc-12", "x1-3", "a-2"]
     assert one(spark, text.answer(F.lit("so ANSWER: no. ANSWER:  yes "))) == "yes"
     assert one(spark, text.evidence_id(F.lit("a\\b.md"), F.lit(5), F.lit(7))) == "a/b.md#00000005-00000007"
