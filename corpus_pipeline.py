@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and
 returns the columns of documents; the last returns the bins. `run` writes each stage's
-rows as Parquet in the shared folder and rereads them.
+rows as Parquet in the shared folder and rereads them. What exchanges texts with Python is
+written within the stage, in small batches, so whoever writes a stage's rows needs no more
+memory for it.
 
 A doc_id names a document: rows that repeat one share its fate, and go if one of them goes.
 Rows with a null doc_id stay. Null and empty texts have no letters, so they go in the first
@@ -33,7 +35,7 @@ def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in a language that is not learned, go."""
-    found = langid.predict(docs, langid.learn(docs))
+    found = written(langid.predict(docs, langid.learn(docs)), "languages")
     return _only(docs, found.filter((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_SCORE)))
 
 
@@ -50,7 +52,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that disclose them are replaced; n_chars follows the text."""
-    clean = pii.sanitise_documents(docs)
+    clean = written(pii.sanitise_documents(docs), "clean-documents")
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 

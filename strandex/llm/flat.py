@@ -6,7 +6,9 @@ points (or bytes) plus document offsets, so the work per document is array work.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +114,17 @@ def word_hashes(b: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return span_hash(b[spread(starts, lengths)], offsets(lengths)[:-1], lengths)
 
 
+@lru_cache(maxsize=1)
+def _malloc_trim() -> Callable:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def release() -> None:
+    """Gives memory that is free back to the system, which the allocator would keep for a worker's life, through all later stages."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)
+
+
 def map_texts(df: DataFrame, keys: list[str], text: str, fn: Callable, schema: str, kind: str = "string", only: KeyFilter | None = None) -> DataFrame:
     """Run fn(keys: dict of lists, texts: list of str or None) -> dict of columns over slices of each batch.
 
@@ -130,6 +143,7 @@ def map_texts(df: DataFrame, keys: list[str], text: str, fn: Callable, schema: s
                 own = {k: batch.column(n).slice(lo, hi - lo).to_pylist() for k, n in zip(keys, names, strict=True)}
                 out = fn(own, texts.slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, type=_arrow(kinds[k])) for k, v in out.items()})
+            release()
 
     kinds = {name: kind for name, kind in (x.strip().split(" ", 1) for x in schema.split(","))}
     return src.mapInArrow(run, schema)

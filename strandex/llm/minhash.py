@@ -42,6 +42,8 @@ from .storage import Scratch, scratch, written
 ROWS, BANDS = 5, 40
 COORDS = ROWS * BANDS
 PLACES = 1 << 20
+#: Pairs of a bucket and a class that make a part, about; those that are sorted at once; classes whose buckets are computed at once.
+PART, HELD, _CLASSES = 1 << 18, 1 << 19, 2048
 #: Members and shingles of a bucket that one block holds, about.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 #: Pairs of signatures in one comparison, and shingles in one step of a matrix product.
@@ -146,17 +148,106 @@ def _signature_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDS)
 
 
-def _buckets(reps: DataFrame) -> DataFrame:
-    """bucket, rep: a row for each band of each class."""
+def _band_hashes(sig: np.ndarray) -> np.ndarray:
+    """[class, band]: the bucket of each band."""
+    sig = sig.astype(U8).reshape(-1, BANDS, ROWS)
+    h = np.broadcast_to(np.arange(BANDS, dtype=U8) + U8(1), sig.shape[:2])
+    for k in range(ROWS):
+        h = mix(h * U8(3) + sig[:, :, k])
+    return h
 
-    def run(c):
-        sig = _signature_rows(c["rep_sig"]).astype(U8).reshape(-1, BANDS, ROWS)
-        h = np.broadcast_to(np.arange(BANDS, dtype=U8) + U8(1), sig.shape[:2])
-        for k in range(ROWS):
-            h = mix(h * U8(3) + sig[:, :, k])
-        return {"bucket": pa.array(_signed(np.ascontiguousarray(h)).ravel()), "rep": pa.array(np.repeat(c["rep"].to_numpy(), BANDS))}
 
-    return _map(reps.select("rep", F.col("sig").alias("rep_sig")), run, "bucket long, rep long")
+def _dealt(reps: DataFrame, parts: int) -> DataFrame:
+    """part, pairs: the (bucket, rep) of each band of each class, 16 bytes each, in parts of whole buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush():
+            pairs = np.concatenate(held)
+            held.clear()
+            part = ((pairs[:, 0].view(U8) >> U8(32)) % U8(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            names, first = np.unique(part[order], return_index=True)
+            rows = [x.tobytes() for x in np.split(pairs[order], first[1:])]
+            return pa.RecordBatch.from_pydict({"part": pa.array(names), "pairs": pa.array(rows, pa.binary())})
+
+        for b in batches:
+            for lo in range(0, b.num_rows, _CLASSES):
+                own = b.slice(lo, _CLASSES)
+                bucket = _signed(np.ascontiguousarray(_band_hashes(_signature_rows(own.column("sig"))))).ravel()
+                held.append(np.stack([bucket, np.repeat(own.column("rep").to_numpy(), BANDS)], 1))
+                if sum(map(len, held)) >= PART:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return reps.select("rep", "sig").mapInArrow(run, "part long, pairs binary")
+
+
+class _Leaders:
+    """Members of shared buckets with their leaders: each bucket's smallest member so far, from some pairs at a time.
+
+    What is held between calls is a row for each bucket, however many members one has.
+    """
+
+    def __init__(self):
+        self.first, self.shared = np.zeros((0, 2), np.int64), np.zeros(0, bool)
+
+    def add(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket, rep, leader) of those members that are no longer, or were never, the smallest of their buckets."""
+        pairs, shared = np.concatenate([self.first, pairs]), np.concatenate([self.shared, np.zeros(len(pairs), bool)])
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        pairs, shared = pairs[order], shared[order]
+        new = np.ones(len(pairs), bool)
+        new[1:] = pairs[1:, 0] != pairs[:-1, 0]
+        at = np.flatnonzero(new)
+        many = np.diff(np.append(at, len(pairs)))
+        self.first = pairs[at]
+        self.shared = (many > 1) | np.logical_or.reduceat(shared, at) if len(at) else shared
+        return pairs[~new, 0], pairs[~new, 1], np.repeat(self.first[:, 1], many)[~new]
+
+    def end(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket, rep, leader) of the leaders, and of no bucket any more."""
+        own = self.first[self.shared]
+        self.first, self.shared = self.first[:0], self.shared[:0]
+        return own[:, 0], own[:, 1], own[:, 1]
+
+
+def _shared_buckets(reps: DataFrame) -> DataFrame:
+    """bucket, rep, a: a row for each class in a bucket that several are in, and the leader it is checked against, a smaller class of the bucket or itself.
+
+    The leader is the smallest class, or the smallest among some, with that one led by a smaller one, where a part has more than HELD pairs.
+    Pairs travel as bytes, some thousands in a row, so a band of a class is no row of Spark's.
+    """
+    parts = max(1, -(-reps.count() * BANDS // PART))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaders, held, part = _Leaders(), [], None
+
+        def rows(found):
+            return pa.RecordBatch.from_pydict({c: pa.array(np.ascontiguousarray(x)) for c, x in zip(("bucket", "rep", "a"), found, strict=True)})
+
+        def take():
+            found = leaders.add(np.concatenate(held))
+            held.clear()
+            return rows(found)
+
+        for b in batches:
+            for own, raw in zip(b.column("part").to_pylist(), b.column("pairs"), strict=True):
+                if own != part:
+                    if held:
+                        yield take()
+                    yield rows(leaders.end())
+                    part = own
+                held.append(np.frombuffer(raw.as_py(), np.int64).reshape(-1, 2))
+                if sum(map(len, held)) >= HELD:
+                    yield take()
+        if held:
+            yield take()
+        yield rows(leaders.end())
+
+    return _dealt(reps, parts).repartition("part").sortWithinPartitions("part").mapInArrow(run, "bucket long, rep long, a long")
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -385,10 +476,8 @@ def _near_duplicates(df: DataFrame, size: int, percent: int, key: str, text: str
     first = F.min_by(F.struct("key", "n", "sig"), "key").alias("first")
     reps = tables.written(linked.groupBy("fa", "fb").agg(first).select("fa", "fb", F.col("first.key").alias("rep"), "first.n", "first.sig"), "classes")
     classes = reps.select("fa", "fb", "rep")
-    buckets = tables.written(_buckets(reps), "buckets")
-    # leaders and candidates are few where few texts have near copies: what has none of them stays out of the joins
-    leaders = tables.written(buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).filter("a < top").select("bucket", "a"), "leaders")
-    shared = tables.written(KeyFilter(leaders, "bucket").rows(buckets, "bucket").join(leaders.hint("merge"), "bucket"), "shared-buckets")
+    # candidates are few where few texts have near copies: what is in no shared bucket stays out of the joins
+    shared = tables.written(_shared_buckets(reps), "shared-buckets")
     candidates = KeyFilter(shared, "rep")
     members = tables.written(candidates.rows(reps.select("rep", "n", "sig"), "rep"), "members")
     sets = tables.written(_sets(df, size, key, text, candidates), "shingle-sets")

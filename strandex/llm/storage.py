@@ -27,7 +27,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 #: Rows of whole texts that JVM and Python exchange at once: both hold a few such batches for each task.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2500", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2500", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 @contextmanager

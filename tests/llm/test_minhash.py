@@ -120,3 +120,34 @@ def test_work_tables_are_removed(spark):
     before = set(at.iterdir())
     near_duplicates(spark.createDataFrame([(1, "a b c"), (2, "a b c d")], "doc_id long, text string"), 2, 80)
     assert [p.name.split("-")[:2] for p in set(at.iterdir()) - before] == [["near", "duplicates"]]
+
+
+def _signed_classes(spark, n):
+    sig = np.random.default_rng(5).integers(0, 3, (n, minhash.COORDS)).astype(np.uint16)  # few values, so buckets of every size
+    return sig, spark.createDataFrame([(i * 7 % n, s.tobytes()) for i, s in enumerate(sig)], "rep long, sig binary").repartition(3)
+
+
+@pytest.mark.parametrize(("part", "held"), [(1 << 18, 1 << 19), (1 << 9, 1 << 10), (1 << 18, 100)])
+def test_shared_buckets_by_brute_force(spark, monkeypatch, part, held):
+    monkeypatch.setattr(minhash, "PART", part)
+    monkeypatch.setattr(minhash, "HELD", held)
+    sig, reps = _signed_classes(spark, 300)
+    by = {}
+    for i, row in enumerate(sig):
+        for b in range(minhash.BANDS):
+            by.setdefault((b, row[b * minhash.ROWS : (b + 1) * minhash.ROWS].tobytes()), set()).add(i * 7 % 300)
+    rows = minhash._shared_buckets(reps).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.bucket, {})[r.rep] = r.a
+    assert len(rows) == sum(map(len, got.values()))  # each member once
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in by.values() if len(x) > 1)
+    for lead in got.values():
+        assert lead[min(lead)] == min(lead) and all(a in lead and a < x for x, a in lead.items() if x != min(lead))
+        if held > 100 * minhash.BANDS:
+            assert set(lead.values()) == {min(lead)}
+
+
+def test_bands_of_classes_are_no_rows_of_a_shuffle(spark):
+    _, reps = _signed_classes(spark, 300)
+    assert minhash._dealt(reps, 4).count() <= 12 + 4

@@ -52,6 +52,14 @@ def test_near_dedup_stage_uses_five_words(spark):
     assert {r.doc_id for r in minhash.near_duplicates(docs, size=2, percent=80).filter("kept").collect()} == {1}
 
 
+def test_texts_are_exchanged_with_python_before_a_stage_returns(spark):
+    """Small batches hold for what a stage writes itself; its result has only rows for the JVM to join."""
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(["one two three", "mail a@b.example", "four five"] * 4)], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.language_stage, corpus_pipeline.dedup_stage, corpus_pipeline.privacy_stage):
+        plan = stage(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and "Python" not in plan, stage.__name__
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
