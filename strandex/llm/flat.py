@@ -55,14 +55,31 @@ def sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
+#: Values and places in a span that `_mixed` has.
+_VALUES, _PLACES = 256, 32
+
+
+@lru_cache(maxsize=1)
+def _mixed() -> np.ndarray:
+    """The mixed hash of each small value at each of the first places of a span, by place: 64 KB."""
+    place, value = np.divmod(np.arange(_VALUES * _PLACES, dtype=U8), U8(_VALUES))
+    return mix((value + U8(1)) * _K + place * _M2)
+
+
 def span_hash(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """64-bit hashes of consecutive, non-empty spans that cover `values` from starts[0] on."""
     if not len(starts):
         return np.zeros(0, U8)
-    place = np.arange(len(values), dtype=U8) - np.repeat(starts, counts).astype(U8)
-    x = (values.astype(U8) + U8(1)) * _K
-    x += place * _M2
-    x = mix(x)
+    place = np.arange(len(values), dtype=np.int32)
+    place -= np.repeat(starts.astype(np.int32), counts)
+    small = place < _PLACES
+    if values.dtype != np.uint8:
+        small &= values < _VALUES
+    at = place * np.int32(_VALUES)
+    at += values.astype(np.int32)
+    x = _mixed().take(at, mode="clip")
+    if len(rest := np.flatnonzero(~small)):  # long spans and large values
+        x[rest] = mix((values[rest].astype(U8) + U8(1)) * _K + place[rest].astype(U8) * _M2)
     return mix(np.add.reduceat(x, starts - starts[0]) + counts.astype(U8))
 
 

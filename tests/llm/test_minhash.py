@@ -1,11 +1,13 @@
 import random
 import re
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
 import pytest
 
 from strandex.llm import minhash
+from strandex.llm.flat import U8, mix, span_hash
 from strandex.llm.minhash import components, near_duplicates
 from strandex.llm.storage import scratch
 
@@ -151,3 +153,22 @@ def test_shared_buckets_by_brute_force(spark, monkeypatch, part, held):
 def test_bands_of_classes_are_no_rows_of_a_shuffle(spark):
     _, reps = _signed_classes(spark, 300)
     assert minhash._dealt(reps, 4).count() <= 12 + 4
+
+
+def test_span_hash_of_any_value_and_length_needs_little_memory():
+    def plain(span):
+        x = mix((span.astype(U8) + U8(1)) * U8(0x165667B19E3779F9) + np.arange(len(span), dtype=U8) * U8(0xC2B2AE3D27D4EB4F))
+        return int(mix(x.sum(dtype=U8, keepdims=True) + U8(len(span)))[0])
+
+    rnd = np.random.default_rng(3)
+    for kind, top, longest in ((np.uint8, 256, 9), (np.uint32, 300, 90), (np.uint32, 0x110000, 2000)):
+        counts = rnd.integers(1, longest, 50)
+        starts = np.cumsum(counts) - counts
+        values = rnd.integers(0, top, counts.sum()).astype(kind)
+        assert span_hash(values, starts, counts).tolist() == [plain(values[s : s + n]) for s, n in zip(starts, counts, strict=True)]
+    counts = np.full(100_000, 5)
+    tracemalloc.start()
+    span_hash(np.zeros(500_000, np.uint8), np.cumsum(counts) - counts, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 31 * 500_000
