@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, content_terms, excerpt, fold_udf, index_tokens, links, lower_form, multiset_fingerprint, query_tokens
@@ -234,8 +234,11 @@ def wordpiece_tokens(spark, sf_dir):
     letters = [chr(c) for c in range(ord("a"), ord("z") + 1)] + list("0123456789")
     tok = WordPiece({t: n for n, t in enumerate(special + letters + [f"##{x}" for x in letters])}, length=256)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "ids": [tok.encode(t or "") for t in f["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                ids = [tok.encode(t.as_py() or "") for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")

@@ -1,6 +1,10 @@
 """Text, vector and statistics functions, the query compiler, word pieces."""
 
 import math
+import pickle
+import random
+import time
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -124,3 +128,41 @@ def test_word_pieces():
     assert tok.encode("un " * 20) == [2, *[4] * 6, 3]
     assert WordPiece(vocab, length=4, keep="right").encode("un un !") == [2, 4, 7, 3]
     assert tok.encode("x" * 101) == [2, 1, 3] and tok.encode("\x00\x07") == [2, 3]
+
+
+def test_word_pieces_by_the_rules_and_in_linear_time():
+    def pieces(tok, word):
+        if len(word) > tok.longest:
+            return [1]
+        out, at = [], 0
+        while at < len(word):
+            end = next((e for e in range(len(word), at, -1) if ("##" if at else "") + word[at:e] in tok.vocabulary), None)
+            if end is None:
+                return [1]
+            out.append(tok.vocabulary[("##" if at else "") + word[at:end]])
+            at = end
+        return out
+
+    letters = list("abcde")
+    short = {t: n for n, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters, *[f"##{x}" for x in letters], "!", "漢"])}
+    vocabularies = [short, short | {"abc": 50, "##bcd": 51, "[SEP][SEP]": 52, "σς": 53}]
+    bits = [*letters, "A", "É", "Σ", "漢", "!", ".", " ", "\n", "\x1c", "\x85", " ", "­", "́", "[SEP]", "[PAD]", "[", "a" * 101]
+    rnd = random.Random(3)
+    for vocabulary in vocabularies:
+        tok = WordPiece(vocabulary, length=100_000)
+        for _ in range(2000):
+            text = "".join(rnd.choices(bits, k=rnd.randint(0, 12)))
+            want, rest = [], text
+            while rest:
+                at, _, found = min(((i, -len(t), t) for t in tok.special if (i := rest.find(t)) >= 0), default=(len(rest), 0, ""))
+                clean = "".join(f" {c} " if c == "漢" else c for c in rest[:at] if c in "\n" or unicodedata.category(c) not in ("Cc", "Cf"))
+                clean = "".join(c for c in unicodedata.normalize("NFD", clean) if unicodedata.category(c) != "Mn").lower()
+                for w in "".join(f" {c} " if c in "!.[]" else c for c in clean).split():
+                    want += pieces(tok, w)
+                want += [vocabulary[found]] if found else []
+                rest = rest[at + len(found) :]
+            assert tok.body(text) == want, text
+            assert pickle.loads(pickle.dumps(tok)).body(text) == want
+    began = time.process_time()
+    assert len(WordPiece(short).body("[SEP]" * 60_000)) == 60_000  # each of them was a search through all that follows
+    assert time.process_time() - began < 5
