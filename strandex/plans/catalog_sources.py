@@ -184,7 +184,7 @@ def split_sections(spark, sf_dir):
 def split_body_chunks(spark, sf_dir):
     """Documents through the splitter, in chunks of 2000 bytes."""
     rows = notes(spark, sf_dir).select("path", "root_id", F.col("text").cast("binary").alias("content"))
-    return markdown.split(rows, 2000).select("section_id", "path", "heading", "line_start", "line_end", "text")
+    return markdown.split(rows, 2000, ["section_id", "path", "heading", "line_start", "line_end", "text"])
 
 
 @query("""SELECT conv_id, printf('conv/%08d.md', conv_id) AS path, '# Conversation ' || conv_id || chr(10) || chr(10) || '## Session 1' || chr(10) || chr(10) ||

@@ -1,7 +1,7 @@
 """Markdown notes: scanning roots, splitting notes into sections.
 
 `scan` reads files with Spark's binary source; `split` turns each note into sections in
-`mapInPandas`, since the heading and fence state runs through a note line by line.
+`mapInArrow`, since the heading and fence state runs through a note line by line.
 """
 
 import fnmatch
@@ -10,11 +10,12 @@ import os
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import accumulate, pairwise
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -37,6 +38,9 @@ SCHEMA = (
     "root_id string, text string, content_hash string, note_type string, updated_date string, created_date string"
 )
 SECTION_SCHEMA = SCHEMA + ", links array<string>"
+#: Characters of texts and links, and rows, of the sections that Python hands back at once; one section may have more.
+_SLICE, _ROWS = 1_000_000, 1000
+_ARROW = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
 
 
 def frontmatter(lines: list[str]) -> tuple[dict[str, str | None], int]:
@@ -134,12 +138,15 @@ def links_of(text: str) -> list[str]:
 
 def split_note(path: str, content: bytes, section_bytes: int = 12000) -> list[dict]:
     """The sections of a note, chunked by size; ids depend on path, ancestry and its occurrence."""
+    return list(_split_note(path, content, section_bytes))
+
+
+def _split_note(path: str, content: bytes, section_bytes: int, with_links: bool = True) -> Iterator[dict]:
     note = content.decode("utf-8", "replace")
     lines = note.splitlines(keepends=True)
     meta, skip = frontmatter(lines)
-    same = {"path": path, "content_hash": hashlib.sha256(content).hexdigest(), **meta, "links": links_of(note)}
+    same = {"path": path, "content_hash": hashlib.sha256(content).hexdigest(), **meta, "links": links_of(note) if with_links else []}
     times: Counter[str] = Counter()
-    out = []
     for heading, ancestry, at, body, end in sections_of(lines, skip):
         identity = " > ".join(ancestry) or DOCUMENT
         times[identity] += 1
@@ -149,7 +156,7 @@ def split_note(path: str, content: bytes, section_bytes: int = 12000) -> list[di
             chunks = [(0, end - body, "")]
         for k, (lo, hi, text) in enumerate(chunks):
             name = identity + (f"#chunk-{k + 1}" if len(chunks) > 1 else "")
-            out.append({
+            yield {
                 "section_id": hashlib.sha256(f"{path}\0{name}".encode()).hexdigest(),
                 "heading": heading,
                 "heading_path": ancestry,
@@ -157,20 +164,42 @@ def split_note(path: str, content: bytes, section_bytes: int = 12000) -> list[di
                 "line_end": body + hi,
                 "text": text,
                 **same,
-            })
-    return out
+            }
+
 
+def _slices(rows: Iterable[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        own = len(row["text"]) + sum(map(len, row["links"]))
+        if held and (size + own > _SLICE or len(held) == _ROWS):
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+        held.append(row)
+        size += own
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def split(notes: DataFrame, section_bytes: int = 12000, columns: list[str] | None = None) -> DataFrame:
+    """notes: path, root_id, content (binary) -> sections with their links (those of the whole note), or the given columns of them.
+
+    A worker holds the batch that it is sent, one note of it and one slice of sections.
+    """
+    kinds = dict(f.split(" ") for f in SECTION_SCHEMA.split(", "))
+    names = columns or list(kinds)
+    schema = pa.schema([(n, _ARROW[kinds[n]]) for n in names])
 
-def split(notes: DataFrame, section_bytes: int = 12000) -> DataFrame:
-    """notes: path, root_id, content (binary) -> sections with their links (those of the whole note)."""
-    names = [f.split(" ")[0] for f in SECTION_SCHEMA.split(", ")]
+    def sections(batch: pa.RecordBatch) -> Iterator[dict]:
+        for row in zip(*(batch.column(n) for n in ("path", "root_id", "content")), strict=True):
+            path, root, content = (x.as_py() for x in row)
+            for s in _split_note(path, content, section_bytes, "links" in names):
+                yield s | {"root_id": root}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [{**s, "root_id": r} for p, r, c in zip(frame["path"], frame["root_id"], frame["content"], strict=True) for s in split_note(p, bytes(c), section_bytes)]
-            yield pd.DataFrame(rows, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _slices(sections(batch), schema)
 
-    return notes.select("path", "root_id", "content").mapInPandas(run, SECTION_SCHEMA)
+    return notes.select("path", "root_id", "content").mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
 # --- scanning

@@ -4,10 +4,13 @@ import hashlib
 import json
 import os
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from strandex import cli
 from strandex.functions.encoder import HashEncoder, LazyEncoder, backend_reason
 from strandex.functions.text import links
@@ -134,6 +137,42 @@ def test_links(spark):
     assert [r.l for r in got] == [markdown.links_of(n) for n in notes]
 
 
+class Captured:
+    """Stands for notes: what `split` would run in a worker, as a function of Arrow batches."""
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return lambda batches: run(iter(batches))
+
+    def mapInPandas(self, run, schema):  # noqa: N802
+        return lambda batches: (pa.RecordBatch.from_pandas(f) for f in run(b.to_pandas() for b in batches))
+
+
+def of_notes(contents):
+    return pa.RecordBatch.from_pylist([{"path": f"{n}.md", "root_id": "r", "content": c} for n, c in enumerate(contents)])
+
+
+def test_a_worker_holds_a_slice_of_sections():
+    batch = of_notes([(f"# Note {n}\n" + "some words of a line\n" * 250).encode() for n in range(3000)])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in markdown.split(Captured(), 2000)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 9000 and peak < 10_000_000  # the batch has 15 MB of texts
+    # the links of a note are in each of its sections
+    note = "".join(f"# H{n}\n[link](target-{n}.md)\n" for n in range(1500))
+    got = list(markdown.split(Captured())([of_notes([note.encode()])]))
+    assert max(b.nbytes for b in got) < 3_000_000
+    assert [r for b in got for r in b.to_pylist()] == [s | {"root_id": "r"} for s in markdown.split_note("0.md", note.encode())]
+
+
+def test_queries_of_chunks_hand_back_their_columns_only(spark):
+    plan = queries()["split_body_chunks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "links" not in plan
+
+
 def test_chunks():
     got = sections("# A\n" + "x" * 40, 10)
     assert len(got) > 1 and all(len(s["text"].encode()) <= 10 and s["heading_path"] == ["A"] for s in got)
