@@ -176,7 +176,7 @@ SELECT sha256(path || chr(0) || ids) AS section_id, path, heading, ids AS headin
 def split_sections(spark, sf_dir):
     """Rendered conversations through the splitter."""
     rendered = conversations.render(table(spark, sf_dir, "conversations"))
-    rows = markdown.split(rendered.select("path", F.lit("conversations").alias("root_id"), F.col("markdown").cast("binary").alias("content")))
+    rows = markdown.split(rendered.select("path", F.lit("conversations").alias("root_id"), F.col("markdown").cast("binary").alias("content")), columns=["section_id", "path", "heading", "heading_path", "line_start", "line_end", "text"])
     return rows.select("section_id", "path", "heading", F.array_join("heading_path", " > ").alias("heading_path"), "line_start", "line_end", "text")
 
 

@@ -169,8 +169,9 @@ def test_a_worker_holds_a_slice_of_sections():
 
 
 def test_queries_of_chunks_hand_back_their_columns_only(spark):
-    plan = queries()["split_body_chunks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
-    assert "MapInArrow" in plan and "links" not in plan
+    for name in ("split_body_chunks", "split_sections"):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+        assert "MapInArrow" in plan and "links" not in plan, name
 
 
 def test_chunks():
